@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tokenize
+from . import quality, tokenize
 
-QUERIES = {**tokenize.QUERIES}
+QUERIES = {**tokenize.QUERIES, **quality.QUERIES}
 ORACLES: dict[str, str] = {}
