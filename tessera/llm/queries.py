@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, tokenize
+from . import quality, secrets, tokenize, warc
 
-QUERIES = {**tokenize.QUERIES, **quality.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**tokenize.QUERIES, **warc.QUERIES, **quality.QUERIES, **secrets.QUERIES}
+ORACLES: dict[str, str] = {**warc.ORACLES, **secrets.ORACLES}
