@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, tokenize, warc
+from . import fingerprint, quality, secrets, tokenize, warc
 
-QUERIES = {**tokenize.QUERIES, **warc.QUERIES, **quality.QUERIES, **secrets.QUERIES}
+QUERIES = {**tokenize.QUERIES, **warc.QUERIES, **quality.QUERIES, **secrets.QUERIES, **fingerprint.QUERIES}
 ORACLES: dict[str, str] = {**warc.ORACLES, **secrets.ORACLES}

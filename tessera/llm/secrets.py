@@ -107,7 +107,7 @@ class Segment:
     """The inverted index of some texts: for each trigram asked for, the numbers of the texts that hold it."""
 
     def __init__(self, texts: list[str], wanted: set[str]):
-        low = [t.lower() if t.isascii() else "".join(c.lower() if c < "\x80" else c for c in t) if "İ" in t or "K" in t else t.lower() for t in texts]
+        low = [t.lower() for t in texts]
         self.size = len(texts)
         self.postings = {g: np.array([i for i, t in enumerate(low) if g in t], dtype=np.int64) for g in wanted}
 
