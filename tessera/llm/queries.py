@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, ngram_join, packing, quality, secrets, tokenize, warc
+from . import fingerprint, ngram_join, packing, pii, quality, secrets, tokenize, warc
 
-QUERIES = {**tokenize.QUERIES, **warc.QUERIES, **quality.QUERIES, **secrets.QUERIES, **fingerprint.QUERIES, **ngram_join.QUERIES, **packing.QUERIES}
+QUERIES = {**tokenize.QUERIES, **warc.QUERIES, **quality.QUERIES, **secrets.QUERIES, **fingerprint.QUERIES, **ngram_join.QUERIES, **packing.QUERIES, **pii.QUERIES}
 ORACLES: dict[str, str] = {**warc.ORACLES, **secrets.ORACLES}
