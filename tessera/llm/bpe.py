@@ -109,65 +109,106 @@ def merge_long(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]])
 class Transducer:
     """Encodes pre-tokens by the ranks of a vocabulary; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
         self.proper = {t[:k] for t in ranks for k in range(1, len(t))}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.made_of: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
         """Forget all states; state 0 is the start of a pre-token."""
-        self.states: list[tuple[int, bytes, tuple[tuple[int, int, int], ...]]] = [(-1, b"", ())]
-        self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
+        self.states: list[tuple[int, bytes, tuple[tuple[int, int, int], ...], tuple[int, ...]]] = [(-1, b"", (), (0,))]
+        self.number: dict[tuple, int] = {(-1, b""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: list[tuple[int, ...] | None] = [()]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token; None for a single byte or a token that doesn't encode as itself."""
+        if token not in self.made_of:
+            self.made_of[token] = self.last_merge(self.bytes_of[token])
+        return self.made_of[token]
+
+    def last_merge(self, word: bytes) -> tuple[int, int] | None:
+        # every merge but the last stays within one half, so some cut leaves two halves that are tokens
+        # by themselves and that no earlier merge joins
+        if merge_by_rank(self.ranks, word) != [self.ranks[word]]:
+            return None
+        least = [word[i : i + 1] for i in range(len(word))]
+        while len(least) > 2:
+            pairs = [self.ranks.get(a + b, NEVER) for a, b in zip(least, least[1:])]
+            i = pairs.index(min(pairs))
+            least[i : i + 2] = [least[i] + least[i + 1]]
+        return tuple(self.ranks[x] for x in least) if len(least) == 2 else None
+
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens alone encode as themselves; left -1: whether the right one does."""
-        pair = [right] if left < 0 else [left, right]
+        """Whether the two tokens alone encode as themselves; left -1: whether the right one does.
+
+        Undoes the merges of both, the latest first. They don't survive if, at some step, the two
+        parts at the seam would merge before the merge that was just undone.
+        """
         if len(self.fits) > 4 * self.max_states:
             self.fits.clear()
-        known = self.fits[left, right] = merge_by_rank(self.ranks, b"".join(map(self.bytes_of.__getitem__, pair))) == pair
+        a, b, known = left, right, None
+        if len(self.bytes_of[right]) > 1 and self.halves(right) is None:
+            known = False
+        elif left < 0:
+            known = True
+        limit = NEVER
+        while known is None:
+            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if joined is not None and joined < limit:
+                known = False
+                break
+            one, two = self.halves(a), self.halves(b)
+            if one is None and two is None:
+                known = True
+            elif two is None or one is not None and a > b:
+                # of equal rank the leftmost merges first, and the seam is to the right of what was undone
+                limit, a = a, one[1]
+            else:
+                limit, b = b + 1, two[0]
+        self.fits[left, right] = known
         return known
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and the tokens settled by one more byte."""
-        settled, tail, last = self.states[state]
+        settled, tail, last, live = self.states[state]
         tail += bytes((byte,))
-        n, get, fits = len(tail), self.ranks.get, self.fits.get
+        n, get, fits, proper = len(tail), self.ranks.get, self.fits.get, self.proper
         # last[i]: of the one token that ends after i + 1 bytes of the tail, its id, its start, and
-        # the ends of it and the tokens before it as bits
-        for start in range(max(0, n - self.longest), n):
-            if (token := get(tail[start:])) is None:
-                continue
+        # the ends of it and the tokens before it as bits; live: where a token may have begun
+        found, still, shared = None, [], -1
+        for start in live:
+            word = tail[start:]
             left, _, path = last[start - 1] if start else (settled, 0, 0)
-            pair = (left, token)
-            if (known := fits(pair)) or known is None and self.may_follow(*pair):
-                last = (*last, (token, start, path | 1 << n))
-                break
-        else:
+            if found is None and (token := get(word)) is not None:
+                if (known := fits((left, token))) or known is None and self.may_follow(left, token):
+                    found = (token, start, path | 1 << n)
+            if word in proper:
+                still.append(start)
+                shared &= path
+        if found is None:
             raise ValueError("the vocabulary lacks a byte, or one of its tokens can't be followed")
-        # where a later token may still start; all their paths back to 0 share what is settled
-        shared, proper = last[-1][2], self.proper
-        for j in range(max(0, n - self.longest), n):
-            if tail[j:] in proper:
-                shared &= last[j - 1][2] if j else 0
+        last = (*last, found)
         emitted: list[int] = []
-        if shared:
+        # what all paths to where a later token may start have in common is settled
+        if shared := shared & found[2]:
             j = cut = shared.bit_length() - 1
             while j:
                 token, j, _ = last[j - 1]
                 emitted.append(token)
             emitted.reverse()
-            settled, tail = emitted[-1], tail[cut:]
+            settled, tail, n = emitted[-1], tail[cut:], n - cut
             # no live path has a token across the cut, so what starts before it is never read
-            last = tuple((t, s - cut, p >> cut & ~1) for t, s, p in last[cut:])
-        key = (settled, tail)
+            last = tuple((t, s - cut, p >> cut & ~1) if s >= cut else (-1, 0, 0) for t, s, p in last[cut:])
+            still = [s - cut for s in still]
+        # the settled token matters as long as a token may begin right after it
+        key = (settled, tail) if not still or not still[0] else (tail, last)
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
-            self.states.append((settled, tail, last))
+            self.states.append((settled, tail, last, (*still, n)))
             self.ends.append(None)
         made = self.moves[state << 8 | byte] = (to, tuple(emitted))
         return made
@@ -175,7 +216,7 @@ class Transducer:
     def end(self, state: int) -> tuple[int, ...]:
         """The tokens left when the pre-token ends here."""
         if (made := self.ends[state]) is None:
-            _, tail, last = self.states[state]
+            _, tail, last, _ = self.states[state]
             out, j = [], len(tail)
             while j > 0:
                 token, j, _ = last[j - 1]
@@ -196,20 +237,21 @@ class Transducer:
 
 
 class Pieces(dict):
-    """What each piece between two spaces comes to, remembered up to a bound.
+    """What each piece comes to, remembered up to twice a bound.
 
-    A space belongs to the pre-token after it, so with single spaces only, the piece after a
-    space has the same pre-tokens wherever it stands.
+    When the bound is reached the older half goes, but for what has been used since.
     """
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, piece: str):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        made = self[piece] = self.make(piece)
+        made = self.old[piece] if piece in self.old else self.make(piece)
+        self[piece] = made
         return made
 
 
@@ -218,7 +260,7 @@ class Encoder:
 
     def __init__(self, pattern: str, whole):
         find = regex.compile(pattern).findall
-        word = Pieces(whole, 200_000)
+        word = Pieces(whole, 100_000)
         self.find = lambda s: [word[t] for t in find(s)]
 
     def of(self, combine):
@@ -230,7 +272,7 @@ class Encoder:
                 return None
             return combine(self.find(" " + piece))
 
-        at = Pieces(make).__getitem__
+        at = Pieces(make, 300_000).__getitem__
 
         def run(text: str) -> list:
             if not text:

@@ -63,18 +63,21 @@ def word_array(text: Column) -> Column:
 
 
 def each_batch(df: DataFrame, make, schema: str, **state) -> DataFrame:
-    """mapInArrow with make(**state) called once a task; it returns a function from a batch's columns to lists.
+    """mapInArrow with make(**state), which returns a function from a batch's columns to lists.
 
-    state: values broadcast to the tasks; their size must not grow with the data.
+    state: values broadcast to the tasks; their size must not grow with the data. A Python worker
+    keeps a broadcast value from task to task, and the function made from it along with it, so
+    what the function remembers (within its own bounds) serves all tasks of the worker.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     types = to_arrow_schema(_parse_datatype_string(schema))
-    held = df.sparkSession.sparkContext.broadcast(state) if state else None
+    held = df.sparkSession.sparkContext.broadcast({"state": state})
 
     def run(batches):
-        f = make(**(held.value if held else {}))
+        here = held.value
+        f = here.get("made") or here.setdefault("made", make(**here["state"]))
         for batch in batches:
             if batch.num_rows:
                 out = f(*(c.to_pylist() for c in batch.columns))

@@ -52,15 +52,21 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
     """
 
     def make(ranks):
-        encode, bytes_of = encoder(ranks, pattern), {i: t for t, i in ranks.items()}
-        decimal = {i: str(i) for i in bytes_of}.__getitem__
+        bytes_of, machine = {i: t for t, i in ranks.items()}, bpe.Transducer(ranks)
+
+        def with_decimals(parts):
+            ids = bpe.flat(parts)
+            return ids, " ".join(map(str, ids))
+
+        encode = bpe.Encoder(pattern, lambda t: machine.encode(t.encode())).of(with_decimals)
 
         def run(doc_ids, texts):
             counts, hashes, back = [], [], []
             for text in texts:
-                ids = list(chain.from_iterable(encode(text)))
+                parts, decimals = zip(*encode(text)) if text else ((), ())
+                ids = list(chain.from_iterable(parts))
                 counts.append(len(ids))
-                hashes.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+                hashes.append(hashlib.sha256(" ".join(decimals).encode()).hexdigest())
                 digest = hashlib.sha256()
                 for piece in bpe.decode(ids, bytes_of):
                     digest.update(piece.encode())
