@@ -1,6 +1,316 @@
-"""Every query of the library by name, with the SQL that gives the same rows."""
+"""Every query of the library by name, with the SQL that gives the same rows.
+
+The tables at hand hold no source code, so documents stand in for definitions, embeddings for
+vectors, benchmark passages for labelled queries, and events for jobs and latency samples.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import entities as E
+from ..operators import evaluation as V
+from ..operators import jobs as J
+from ..operators import latency as L
+from ..operators import retrieval as R
+from ..sources import code
+
+
+
+def now():
+    """The time that job queries take as present: a fixed one, so that results can be compared."""
+    return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+
+
+KEYWORDS = "the of"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- stand-ins ---------------------------------------------------------------------------------
+
+
+def stored_entities(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").where("doc_id % 10 <> 0")
+    return docs.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("qualname"), E.content_hash(F.col("text")).alias("content_hash"),
+        F.col("lang").alias("entity_type"), F.lit(1).alias("start_line"), F.col("n_chars").cast("int").alias("end_line"),
+    )
+
+
+def parsed_entities(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").where("doc_id % 10 <> 1")
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" # edited"))).otherwise(F.col("text"))
+    shift = F.when(F.col("doc_id") % 5 == 0, 3).otherwise(0)
+    return docs.select(
+        F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("qualname"), E.content_hash(text).alias("content_hash"), F.col("lang").alias("entity_type"),
+        (F.lit(1) + shift).alias("start_line"), (F.col("n_chars").cast("int") + shift).alias("end_line"), F.col("doc_id").alias("ordinal"),
+    )
+
+
+STORED_SQL = "stored as (select doc_id as id, source as file_path, doc_id::varchar as qualname, sha256(text) as content_hash, lang as entity_type, 1 as start_line, n_chars::int as end_line from documents where doc_id % 10 <> 0)"
+PARSED_SQL = "parsed as (select source as file_path, doc_id::varchar as qualname, sha256(case when doc_id % 7 = 0 then text || ' # edited' else text end) as content_hash, lang as entity_type, 1 + case when doc_id % 5 = 0 then 3 else 0 end as start_line, n_chars::int + case when doc_id % 5 = 0 then 3 else 0 end as end_line, doc_id as ordinal from documents where doc_id % 10 <> 1)"
+DIFF_SQL = f"{STORED_SQL}, {PARSED_SQL}, diffed as (select p.*, s.id as stored_id, case when s.id is null or p.content_hash is distinct from s.content_hash then 'changed' when p.start_line is not distinct from s.start_line and p.end_line is not distinct from s.end_line then 'unchanged' else 'moved' end as bucket from parsed p left join stored s using (file_path, qualname))"
+
+
+def job_rows(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "succeeded").otherwise("failed")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("project_id"), status.alias("status"), (F.col("event_id") % 4).cast("int").alias("attempts"), F.col("ts").alias("run_after"),
+        F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("heartbeat_at"),
+    )
+
+
+JOBS_SQL = "jobs as (select event_id as id, user_id as project_id, case event_type when 'view' then 'queued' when 'click' then 'running' when 'purchase' then 'succeeded' else 'failed' end as status, (event_id % 4)::int as attempts, ts as run_after, case when event_id % 5 <> 0 then ts end as heartbeat_at from events)"
+STALE_SQL = "(status = 'running' and (heartbeat_at is null or heartbeat_at < timestamp '2024-01-15 00:00:00' - interval 120 second))"
+
+
+def samples(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("sample_id"), F.col("value").alias("ms"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
+
+
+SAMPLES_SQL = "samples as (select event_id as sample_id, value as ms, case when event_type = 'error' then 500 else 200 end as status from events)"
+
+# --- indexing ----------------------------------------------------------------------------------
+
+
+@query("select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1")
+def dedupe_last_wins(spark, d):
+    return E.dedupe_last_wins(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"], "turn")
+
+
+@query("select doc_id, sha256(text) as content_hash from documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", E.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"with {DIFF_SQL} select file_path, qualname, content_hash, stored_id, bucket from diffed")
+def entity_diff(spark, d):
+    return E.diff(parsed_entities(spark, d), stored_entities(spark, d)).select("file_path", "qualname", "content_hash", "stored_id", "bucket")
+
+
+@query(f"with {DIFF_SQL} select count(*) filter (bucket = 'changed') as changed, count(*) filter (bucket = 'moved') as moved, count(*) filter (bucket = 'unchanged') as unchanged, count(*) filter (bucket <> 'changed') as reused, count(*) filter (bucket <> 'changed') / count(*)::double as reuse_ratio from diffed")
+def diff_summary(spark, d):
+    return E.diff_summary(E.diff(parsed_entities(spark, d), stored_entities(spark, d)))
+
+
+@query(f"with {STORED_SQL}, {PARSED_SQL} select s.id, s.file_path, s.qualname from stored s anti join parsed p using (file_path, qualname)")
+def vanished(spark, d):
+    return E.vanished(stored_entities(spark, d), parsed_entities(spark, d)).select("id", "file_path", "qualname")
+
+
+@query(f"with {DIFF_SQL} select file_path, qualname, content_hash, start_line, end_line, stored_id as kept_id from diffed union all select s.file_path, s.qualname, s.content_hash, s.start_line, s.end_line, s.id from stored s anti join parsed p using (file_path, qualname)")
+def snapshot_upsert(spark, d):
+    stored = stored_entities(spark, d).withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("updated_at", F.col("created_at"))
+    top = stored.agg(F.max("id").alias("top"))
+    new = E.upsert(stored, parsed_entities(spark, d).drop("ordinal").withColumn("updated_at", now()))
+    kept = F.when(F.col("id") <= F.col("top"), F.col("id"))
+    return new.crossJoin(F.broadcast(top)).select(*E.KEYS, "content_hash", "start_line", "end_line", kept.alias("kept_id"))
+
+
+@query(f"with {DIFF_SQL} select s.id, case when d.bucket is distinct from 'changed' and d.bucket is not null then 'run' end as last_seen_run, case when d.bucket = 'moved' then d.start_line else s.start_line end as start_line, case when d.bucket = 'moved' then d.end_line else s.end_line end as end_line from stored s left join diffed d using (file_path, qualname)")
+def mark_seen(spark, d):
+    stored = stored_entities(spark, d).withColumn("last_seen_run", F.lit(None).cast("string"))
+    return E.mark_seen(stored, E.diff(parsed_entities(spark, d), stored), "run").select("id", "last_seen_run", "start_line", "end_line")
+
+
+@query("select doc_id, replace(source, chr(92), '/') || '::' || doc_id::varchar as key from documents")
+def entity_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", E.entity_key(F.col("source"), F.col("doc_id").cast("string")).alias("key"))
+
+
+@query("select page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')[1] as owner, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')[2] as name from pages")
+def repository_names(spark, d):
+    return table(spark, d, "pages").select("page_id", code.repository(F.col("url")).alias("r")).select("page_id", "r.owner", "r.name")
+
+
+@query("select o_orderkey from orders semi join (select c_custkey from customer where c_acctbal > 0) c on o_custkey = c_custkey")
+def cascade_delete(spark, d):
+    kept = table(spark, d, "customer").where("c_acctbal > 0")
+    return E.cascade_delete(table(spark, d, "orders"), kept, "o_custkey", "c_custkey").select("o_orderkey")
+
+
+# --- retrieval ---------------------------------------------------------------------------------
+
+
+def dense_hits(spark, d, k=R.DEPTH):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding", "label")
+    asked = vectors.where("entity_id = 0").first()  # the query's own vector, one row
+    return R.dense_topk(vectors, [float(x) for x in asked["embedding"]], k)
+
+
+DENSE_SQL = "dense as (select e.vec_id as entity_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score, e.label from embeddings e, (select embedding from embeddings where vec_id = 0) q order by score desc, entity_id limit 30)"
+
+
+@query(f"with {DENSE_SQL} select entity_id, score, label from dense")
+def dense_topk(spark, d):
+    return dense_hits(spark, d).select("entity_id", "score", "label")
+
+
+def keyword_docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "source", "text")
+
+
+@query("select doc_id as entity_id from documents where list_contains(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), 'the') and list_contains(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), 'of')")
+def keyword_match(spark, d):
+    return keyword_docs(spark, d).where(T.matches(T.tokens(F.col("text")), KEYWORDS)).select("entity_id")
+
+
+@query()
+def keyword_rank(spark, d):
+    return R.keyword_topk(keyword_docs(spark, d), KEYWORDS, {"A": "source", "D": "text"}, R.DEPTH)
+
+
+RANKS_SQL = "ranks as (select doc_id as entity_id, row_number() over (order by n_chars desc, doc_id) as rank from documents union all select doc_id, row_number() over (order by sha256(text), doc_id) from documents)"
+
+
+def two_rankings(spark, d):
+    """The top of two orders of documents, as two retrievers give them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "n_chars", "text")
+    first = docs.select("entity_id", "n_chars").orderBy(F.desc("n_chars"), "entity_id").limit(R.DEPTH)
+    second = docs.select("entity_id", E.content_hash(F.col("text")).alias("hash")).orderBy("hash", "entity_id").limit(R.DEPTH)
+    return [R.ranked(first, [F.desc("n_chars"), F.col("entity_id")], "length"), R.ranked(second, [F.col("hash"), F.col("entity_id")], "hash")]
+
+
+TOP_SQL = RANKS_SQL + ", fused as (select entity_id, round(sum(1.0::double / (60 + rank)), 12) as score, min(rank) as best_rank from ranks where rank <= 30 group by entity_id)"
+
+
+@query(f"with {TOP_SQL} select entity_id, score, best_rank from fused")
+def rrf_fusion(spark, d):
+    return R.rrf(two_rankings(spark, d))
+
+
+@query(f"with {TOP_SQL}, top as (select entity_id, score / max(score) over () as score, best_rank from fused order by score desc, best_rank, entity_id limit 10) select entity_id, score, coalesce(source, '') as file_path, coalesce(lang, '') as entity_type, coalesce(n_chars, 0) as end_line from top join documents on doc_id = entity_id")
+def search_hydrated(spark, d):
+    top = R.order(R.normalised(R.rrf(two_rankings(spark, d)))).limit(10)
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "entity_id")
+    return R.hydrated(top, docs, {"file_path": F.coalesce("source", F.lit("")), "entity_type": F.coalesce("lang", F.lit("")), "end_line": F.coalesce("n_chars", F.lit(0))})
+
+
+@query()
+def hybrid_search(spark, d):
+    top = R.hybrid(dense_hits(spark, d).select("entity_id", "score"), R.keyword_topk(keyword_docs(spark, d), KEYWORDS, {"A": "source", "D": "text"}, R.DEPTH))
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "entity_id")
+    return R.order(R.hydrated(top.withColumn("best_rank", F.lit(0)).select("entity_id", "score"), docs, {"best_rank": F.lit(0), "file_path": F.coalesce("source", F.lit("")), "entity_type": F.coalesce("lang", F.lit(""))})).drop("best_rank")
+
+
+# --- evaluation --------------------------------------------------------------------------------
+
+
+def judged(spark, d):
+    """Queries, expected pairs, and two strategies' rankings of the expected documents' sources.
+
+    The passages (as many as the benchmark has, a table that doesn't grow with the corpus) are
+    looked up in every document.
+    """
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).alias("category"), F.substring("text", 40, 60).alias("passage"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text", "n_chars")
+    pairs = docs.join(F.broadcast(items), F.contains("text", F.col("passage"))).select("query_id", "entity_id", "n_chars", E.content_hash(F.col("text")).alias("hash"))
+    rank = lambda by: R.ranked(pairs, by, "r", ["query_id"])
+    return items.select("query_id", "category"), pairs.select("query_id", "entity_id"), rank([F.desc("n_chars"), F.col("entity_id")]), rank([F.col("hash"), F.col("entity_id")])
+
+
+JUDGED_SQL = """items as (select item_id as query_id, item_id % 4 as category, substr(text, 40, 60) as passage from benchmark),
+pairs as (select query_id, doc_id as entity_id, n_chars, sha256(text) as hash from documents join items on contains(text, passage)),
+ranking as (select query_id, entity_id, row_number() over (partition by query_id order by n_chars desc, entity_id) as rank, row_number() over (partition by query_id order by hash, entity_id) as rank2 from pairs),
+per as (select query_id, min(rank) as first_hit, min(rank2) as first_hit2, count(distinct entity_id) filter (rank <= 5) as found, count(distinct entity_id) as wanted from ranking group by query_id),
+outcome as (select i.query_id, i.category, first_hit, coalesce(found, 0) as found, coalesce(wanted, 0) as wanted from items i left join per using (query_id))"""
+METRICS_SQL = ", ".join(["count(*) as n", *(f"round(avg(case when first_hit <= {k} then 1.0::double else 0.0 end), 9) as success_{k}" for k in (1, 5, 10)), "round(avg(case when wanted > 0 then found::double / wanted else 0.0 end), 9) as strict_recall_5", "round(avg(coalesce(1.0::double / first_hit, 0.0)), 9) as mrr"])
+
+
+@query(f"with {JUDGED_SQL} select query_id, category, first_hit, found, wanted from outcome")
+def eval_outcomes(spark, d):
+    queries, expected, ranking, _ = judged(spark, d)
+    return V.outcomes(queries, ranking, expected)
+
+
+@query(f"with {JUDGED_SQL} select {METRICS_SQL} from outcome")
+def eval_report(spark, d):
+    queries, expected, ranking, _ = judged(spark, d)
+    return V.report(V.outcomes(queries, ranking, expected))
+
+
+@query(f"with {JUDGED_SQL} select category, {METRICS_SQL} from outcome group by category")
+def category_report(spark, d):
+    queries, expected, ranking, _ = judged(spark, d)
+    return V.report(V.outcomes(queries, ranking, expected), ["category"])
+
+
+@query(f"with {JUDGED_SQL}, shifted as (select query_id, min(rank) as a, min(rank2 + query_id % 3 * 4) as b from ranking group by query_id), every as (select query_id, a, b from items left join shifted using (query_id)) select count(*) filter (not coalesce(a <= 5, false) and coalesce(b <= 5, false)) as gained, count(*) filter (coalesce(a <= 5, false) and not coalesce(b <= 5, false)) as lost, count(*) filter (coalesce(a <= 5, false) = coalesce(b <= 5, false) and a is distinct from b) as reordered from every")
+def head_to_head(spark, d):
+    queries, expected, one, two = judged(spark, d)
+    two = two.withColumn("rank", F.col("rank") + F.col("query_id") % 3 * 4)  # so that the two differ
+    return V.head_to_head(V.outcomes(queries, one, expected), V.outcomes(queries, two, expected))
+
+
+# --- jobs and latency --------------------------------------------------------------------------
+
+
+@query(f"with {JOBS_SQL} select id, status, attempts from jobs where run_after <= timestamp '2024-01-15 00:00:00' and (status = 'queued' or {STALE_SQL})")
+def job_claimable(spark, d):
+    return job_rows(spark, d).where(J.claimable(now())).select("id", "status", "attempts")
+
+
+@query(f"with {JOBS_SQL} select id, least(30 * pow(2, greatest(attempts - 1, 0)), 900)::bigint as delay_s from jobs")
+def job_backoff(spark, d):
+    return job_rows(spark, d).select("id", J.backoff_seconds(F.col("attempts")).alias("delay_s"))
+
+
+@query(f"with {JOBS_SQL} select id, case when (status = 'queued' or {STALE_SQL}) and attempts >= 3 then 'failed' when status = 'queued' or {STALE_SQL} then 'queued' end as outcome from jobs")
+def job_reconcile(spark, d):
+    return J.reconcile(job_rows(spark, d), now()).select("id", "outcome")
+
+
+@query(f"with {JOBS_SQL} select id, case when status = 'running' and attempts < 3 then 'queued' when status = 'running' then 'failed' else status end as status, case when status = 'running' and attempts < 3 then timestamp '2024-01-15 00:00:00' + to_seconds(least(30 * pow(2, greatest(attempts - 1, 0)), 900)) else run_after end as run_after from jobs")
+def job_fail(spark, d):
+    jobs = job_rows(spark, d).withColumns({"finished_at": F.lit(None).cast("timestamp_ntz"), "last_error": F.lit(None).cast("string")})
+    return J.fail(jobs, F.col("status") == "running", F.lit("error"), now()).select("id", "status", "run_after")
+
+
+@query(f"with {JOBS_SQL} select project_id, id, status, attempts from jobs qualify row_number() over (partition by project_id order by run_after desc, id desc) = 1")
+def latest_job(spark, d):
+    return J.latest(job_rows(spark, d))
+
+
+@query(f"with {JOBS_SQL} select distinct project_id from jobs where status in ('queued', 'running')")
+def active_projects(spark, d):
+    return J.active(job_rows(spark, d))
+
+
+@query(f"with {SAMPLES_SQL} select count(ms) filter (status = 200) as n, count(*) filter (status <> 200) as failures, min(ms) filter (status = 200) as min_ms, quantile_disc(ms, 0.5) filter (status = 200) as p50_ms, quantile_disc(ms, 0.9) filter (status = 200) as p90_ms, quantile_disc(ms, 0.95) filter (status = 200) as p95_ms, quantile_disc(ms, 0.99) filter (status = 200) as p99_ms, max(ms) filter (status = 200) as max_ms, round(avg(ms) filter (status = 200), 6) as mean_ms, round(stddev_samp(ms) filter (status = 200), 6) as stdev_ms from samples")
+def latency_summary(spark, d):
+    return L.summary(samples(spark, d))
+
+
+@query(f"with {SAMPLES_SQL} select status, count(*) as n from samples where status <> 200 group by status")
+def failures_by_status(spark, d):
+    return L.failures_by_status(samples(spark, d))
+
+
+@query(f"with {SAMPLES_SQL} select sample_id, ms, status from samples where status = 200 order by ms desc, sample_id limit 3")
+def slowest_samples(spark, d):
+    return L.slowest(samples(spark, d))
+
+
+@query("with m as (select event_type as stage, quantile_disc(value, 0.5) as p50_ms from events group by event_type) select stage, p50_ms, round(p50_ms / sum(p50_ms) over (), 9) as share from m")
+def stage_share(spark, d):
+    return L.stage_share(table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
