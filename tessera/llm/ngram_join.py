@@ -11,9 +11,10 @@ some parts of a set, so that similar sets share one:
   (fewer than two features) uses its other parts, a set with more of them uses all.
 
 Sets that share a signature are candidates, and only an exact count of common n-grams makes a
-link. Sets equal as a whole are one class beforehand. Within a group of sets with one signature
-not all pairs are tried: first the least id against the others, then, for groups that are not one
-component yet, 2, 4, 8 ... further members, always against members of other components only.
+link. Sets equal as a whole are one class beforehand. Sets connected by shared signatures form a
+cluster, and every set lies in one, so its features move once. A cluster is dealt into blocks of
+bounded size; a task counts the common features of the sets in two blocks as a product of 0/1
+matrices and emits no pairs, only as many connections as it has sets.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,11 +147,63 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by an exact count."""
-    left, right = (sets.select(F.col("id").alias(x), F.col("features").alias(f"f{x}")) for x in "ab")
-    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("fa", "fb")))
-    return both.where(100 * F.col("common") >= percent * (F.size("fa") + F.size("fb") - F.col("common"))).select("a", "b").distinct()
+def connected(near: np.ndarray) -> list[tuple[int, int]]:
+    """(first, other) for each row of a symmetric 0/1 matrix that others reach, the first of its component."""
+    out, todo = [], np.ones(len(near), bool)
+    for first in range(len(near)):
+        if not todo[first]:
+            continue
+        todo[first], front = False, [first]
+        while front:
+            met = np.flatnonzero(near[front].any(axis=0) & todo)
+            todo[met] = False
+            out += [(first, int(x)) for x in met]
+            front = met.tolist()
+    return out
+
+
+def common_features(features: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many features each two sets have in common, by products of 0/1 matrices, some features at a time."""
+    n = len(features)
+    row = np.repeat(np.arange(n), [len(f) for f in features])
+    _, column, times = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+    row, number = row[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    row, number, out = row[order], number[order], np.zeros((n, n), np.float32)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        part = slice(*np.searchsorted(number, [first, first + width]))
+        held = np.zeros((n, width), np.float32)
+        held[row[part], number[part] - first] = 1
+        out += held @ held.T
+    return out
+
+
+def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent: int, most_sets: int = 1500, most_features: int = 1_500_000) -> DataFrame:
+    """(a, b): connections by links between the members (id, label) of each cluster.
+
+    A cluster has so many blocks that one holds about most_sets sets or most_features features;
+    each two blocks (a block with itself, too) are one group.
+    """
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", ignore_index=True)
+        sets, block = [np.asarray(f).view(np.uint64) for f in part["features"]], part["block"].to_numpy()
+        common, n = common_features(sets), np.array([len(f) for f in sets])
+        near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        if len(np.unique(block)) > 1:
+            near &= block[:, None] != block[None, :]
+        np.fill_diagonal(near, False)
+        ids = part["id"].to_numpy()
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in connected(near)], columns=["a", "b"], dtype="int64")
+
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("v"))
+    blocks = sizes.select("label", F.ceil(F.greatest(F.col("m") / most_sets, F.col("v") / most_features)).cast("int").alias("blocks"))
+    dealt = clusters.join(blocks, "label").select("id", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    sets = sets_of(docs, clusters.select("id"), size).join(dealt, "id")
+    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grouped = paired.groupBy("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return grouped.applyInPandas(compare, "a long, b long")
 
 
 def groups_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -171,29 +225,12 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")), "classes")
     groups = groups_of(whole.where("n_shingles > 0"), classes)
     drop_written(whole)
-    labels = groups.sparkSession.createDataFrame([], "id long, label long")
     if groups.isEmpty():
-        return rows, classes, labels
-    sets = written(sets_of(docs, groups.select("id").distinct(), size), "sets")
-    tried = groups.where("id <> key.hub").select(F.col("key.hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verified(tried, sets, percent), "links")
-    labels = components(links)
-    first, open_groups = 1, None
-    while True:
-        labelled = (groups if open_groups is None else open_groups).join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where((F.col("low") != F.col("high")) & (F.col("m") > first)).select("key")
-        ranked = labelled.join(mixed_keys, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1)
-        ranked = written(ranked, "open")
-        hubs = ranked.where((F.col("rank") >= first) & (F.col("rank") <= 2 * first)).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        if hubs.isEmpty():
-            return rows, classes, labels
-        # ranks stay as they are from round to round, since groups are only ever left out whole
-        tried = hubs.join(ranked, "key").where("rank > ra and label <> la").select("a", F.col("id").alias("b")).distinct()
-        found = written(verified(tried, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        open_groups, first = ranked.select("key", "id"), 2 * first + 1
+        return rows, classes, groups.sparkSession.createDataFrame([], "id long, label long")
+    near = components(groups.where("id <> key.hub").select(F.col("key.hub").alias("a"), F.col("id").alias("b")).distinct())
+    counts = rows.groupBy("key").agg(F.max("n_shingles").alias("n_shingles")).join(classes, "key").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
+    clusters = written(near.join(counts, "id"), "clusters")
+    return rows, classes, components(links_in_clusters(docs, clusters, size, percent))
 
 
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

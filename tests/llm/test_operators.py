@@ -1,0 +1,280 @@
+"""The training-data operators against libraries, SQL and brute force."""
+
+import base64
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+import tokenizers
+from brute import components, personal, rules, shingles
+from oracle import same, views
+
+import corpus_pipeline
+from tessera.llm import bpe, fingerprint, ngram_join, packing, pii, quality, secrets, tokenize, warc
+from tessera.llm.common import shared_dir, table, written
+from tessera.llm.queries import ORACLES, QUERIES
+
+PIECES = ["a", "b", "the", " ", "  ", "\n", "\t", "é", "日本", "😀", "1", "23", "'s", "!!", "_", " ", "²", "xxxxx", "ing", "\r\n", "<|endoftext|>", "\x00", "́"]
+
+
+def texts(n, seed=1):
+    r = random.Random(seed)
+    return ["".join(r.choice(PIECES) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+def documents(sf_dir):
+    return views(sf_dir).sql("select doc_id, coalesce(text, '') from documents order by doc_id").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_as_sql(spark, sf_dir, name):
+    same(spark, sf_dir, QUERIES[name], ORACLES[name])
+
+
+def test_encoding_is_the_librarys(spark, sf_dir):
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encode, by_id = tokenize.encoder(ranks), {i: t for t, i in ranks.items()}
+    for t in texts(3000):
+        ids = list(bpe.flat(encode(t)))
+        assert ids == library.encode_ordinary(t) and "".join(bpe.decode(ids, by_id, 3)) == t
+    want = {d: library.encode_ordinary(t) for d, t in documents(sf_dir)}
+    for r in tokenize.op1_bpe(spark, sf_dir).collect():
+        assert r.n_tokens == len(want[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want[r.doc_id])).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode_bytes(want[r.doc_id])).hexdigest()
+
+
+def test_states_start_anew(monkeypatch):
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    small, large = bpe.Transducer(ranks, 50), bpe.Transducer(ranks)
+    for t in texts(500, 2):
+        assert small.encode(t.encode()) == large.encode(t.encode())
+
+
+def test_streaming_decode_like_replace():
+    r = random.Random(5)
+    for _ in range(2000):
+        data = bytes(r.choice((0x61, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF)) for _ in range(r.randint(0, 12)))
+        stream, out, at = bpe.Utf8Stream(), "", 0
+        while at < len(data):
+            step = r.randint(1, 3)
+            out += stream.feed(data[at : at + step])
+            at += step
+        assert out + stream.close() == data.decode("utf-8", "replace")
+
+
+def test_counts_are_the_librarys(spark, sf_dir):
+    library = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids, merges, added = bpe.read_json(P.path("byte_bpe_50k.json"))
+    count, some = tokenize.counter(ids, merges, added, tokenize.whole_tokens(ids, merges)), [*texts(2000, 3), "ab" * 3000]
+    assert [count(t) for t in some] == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    want = {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in documents(sf_dir)}
+    for r in tokenize.op4_token_counts(spark, sf_dir).collect():
+        assert r.n_tokens == want[r.doc_id] and r.over_limit == (r.n_tokens > 512)
+
+
+def test_magic_in_payloads(spark):
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999\r\n\r\n"
+    rows = [(1, "u", f"a {fake}abc\r\n\r\nWARC/1.1\r\nx"), (2, "u", ""), (4, "u\r\nX: y", "é\r\n" * 10), (5, "u", f"a {fake}abc\r\n\r\nWARC/1.1\r\nx"), (6, "v", fake * 30 + "z\r\n\r\n"), (7, "w", "abc\r\n\r\n"), (7, "w", "abc\r\n\r\n"), (8, "w", "WARC/1." * 3)]
+    rows += [(100 + i, "q", f"p{i}WARC/1.0\r\n" * (i % 7) + "é" * i) for i in range(60)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")  # several splits a file
+    try:
+        path = shared_dir(spark)
+        warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+        got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    first = {}
+    for i, _, h in rows:
+        first[h] = min(i, first.get(h, i))
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    assert got == collections.Counter((i, len(h.encode()), digest(h), "response" if first[h] == i else "revisit", None if first[h] == i else first[h]) for i, _, h in rows)
+
+
+def test_trees_step_like_a_loop():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float)
+    model = quality.fit_trees(x, y, count=30)
+    score = model.score(x[:50])
+    for row, s in zip(x, score):
+        total = model.base
+        for f, c, leaf in zip(model.feature, model.cut, model.leaf):
+            at = 0
+            while at < len(f):
+                at = 2 * at + 1 + (row[f[at]] > c[at])
+            total += leaf[at - len(f)]
+        assert s == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_classifier_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = dict(views(sf_dir).sql("select doc_id, quality from labels").fetchall())
+    got = [r for r in quality.op3_quality(spark, sf_dir).collect() if r.held_out and r.doc_id in labels]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert len(got) > 50 and np.mean([r.predicted == labels[r.doc_id] for r in got]) > 0.95
+
+
+def test_rules(spark, sf_dir):
+    docs, labels = dict(documents(sf_dir)), dict(views(sf_dir).sql("select doc_id, quality from labels").fetchall())
+    kept = []
+    for r in quality.op9_quality_rules(spark, sf_dir).collect():
+        want = rules(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+        if labels.get(r.doc_id) == 1 and not r.base_failed:
+            kept.append(r.kept)
+    assert np.mean(kept) > 0.95
+
+
+def test_forest_steps_like_a_loop():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 3))
+    forest = quality.fit_forest(x, 0.1, count=20, rows=64)
+    probe = np.concatenate([x[:30], x[:5] + 50])
+    score = forest.score(probe)
+    for row, s in zip(probe, score):
+        paths = []
+        for f, c, p in zip(forest.feature, forest.cut, forest.path):
+            at = 0
+            while f[at] >= 0:
+                at = 2 * at + 1 + (row[f[at]] > c[at])
+            paths.append(p[at])
+        assert s == pytest.approx(2 ** (-np.mean(paths) / forest.scale))
+    assert score[30:].min() > np.median(score[:30])
+
+
+def test_personal_data(spark):
+    r = random.Random(4)
+    odd = ["a@b.c_d@e.f.g", "1.2.3.4.5.6.7.8", "999.1.1.1 0000255.1.1.1", "4111 1111 1111 1111-", "+1 (988) 555-2485", "é😀 a@b.co, 😀+44 20 7946 0958", "..@a.b", "a@b..c", "1-1-1 1", "@@a@b.c", "256.1.1.1.1.1", None]
+    odd += ["".join(r.choice("ab1.2@+ -()é4😀") for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    for x in pii.find_personal(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect():
+        want = ",".join(personal(odd[x.doc_id]))
+        assert x.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and x.spans.startswith(want), odd[x.doc_id]
+
+
+def test_context_finds_more(spark):
+    rows = [(i, f"w my member code is {'u%d@x.org' % i if i < 35 else 'Q-%d' % i} end") for i in range(40)] + [(50, "costs 7 euros")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal(docs).collect()}
+    assert got[39] == "id:20:24" and got[50] == "" and got[3].startswith("email:")
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[39] == "w my member code is <ID> end"
+
+
+def test_similar_sets_share_a_signature():
+    rng, r, tried = np.random.default_rng(3), random.Random(3), 0
+    for percent in (85, 80):
+        sign = ngram_join.Signer(percent)
+        for _ in range(1500):
+            a = set(rng.integers(0, 2**63, r.choice((1, 2, 3, 5, 8, 13, 20, 40, 80, 150, 300))).tolist())
+            b = set(a)
+            for _ in range(r.randint(0, max(1, len(a) // 8))):
+                if r.random() < 0.5 and len(b) > 1:
+                    b.discard(next(iter(b)))
+                if r.random() < 0.6:
+                    b.add(int(rng.integers(0, 2**63)))
+            if 100 * len(a & b) >= percent * len(a | b):
+                tried += 1
+                assert set(sign(np.array(sorted(a), np.uint64)).tolist()) & set(sign(np.array(sorted(b), np.uint64)).tolist())
+    assert tried > 1000
+
+
+def test_join(spark):
+    r = random.Random(7)
+    base, rows = [f"w{r.randint(0, 400)}" for _ in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4))):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 30)}"
+        rows.append((i + 10, " ".join(w)))
+    rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1004, " \n")]
+    got = {tuple(x) for x in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows, 4, 85)
+
+
+def test_join_of_the_table(spark, sf_dir):
+    assert {tuple(x) for x in ngram_join.op6_ngram_join(spark, sf_dir).collect()} == components(documents(sf_dir), 4, 85)
+
+
+def test_queries_of_rules():
+    queries = {kind: secrets.trigram_query(p) for kind, p, _ in secrets.RULES}
+    assert queries["hex"] == secrets.ALL and secrets.trigrams(queries["access"]) == {"aki", "kia"}
+    segment = secrets.Segment(["my API_KEY=1", "apikey: x", "api key", "TOKEN", ""], secrets.trigrams(queries["assign"]))
+    assert segment.find(queries["assign"]).tolist() == [0, 1, 3]
+
+
+def test_fingerprints(spark, sf_dir):
+    docs = sorted(documents(sf_dir), reverse=True)
+    got, errors = {r.doc_id: r for r in fingerprint.op8_fingerprints(spark, sf_dir).collect()}, []
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    plain = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    for (d, t), (_, after) in zip(docs, docs[1:] + docs[:1]):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        errors.append(got[d].near_edited - like(plain(t), plain(edited)))
+    assert abs(np.mean(errors)) < 0.01 and np.sqrt(np.mean(np.square(errors))) < 0.05
+
+
+def test_patterns():
+    rng = np.random.default_rng(1)
+    for scale in (3, 1000):
+        demand = np.maximum(0, (rng.exponential(1, 128) * scale).astype(int))
+        plan, sizes = packing.solve(demand, 128), np.arange(1, 129)
+        assert (sum(n * p for p, n in plan) == demand).all() and all((p * sizes).sum() <= 128 for p, _ in plan)
+        assert sum(n for _, n in plan) <= 1.05 * (demand * sizes).sum() / 128 + 3
+    assert packing.solve(np.zeros(8, int), 8) == []
+
+
+def check_packed(rows, docs):
+    library = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    of_doc, of_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        of_doc[r.doc_id].append(r)
+        of_sequence[r.sequence_id].append(r)
+    assert set(of_doc) == set(docs)
+    for d, text in docs.items():
+        ids, at = [*library.encode(text, add_special_tokens=False).ids, 1], 0
+        for r in sorted(of_doc[d], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for rs in of_sequence.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    return sum(r.length for r in rows) / 2048 / len(of_sequence)
+
+
+def test_packing(spark, sf_dir):
+    assert check_packed(packing.op10_packing(spark, sf_dir).collect(), dict(documents(sf_dir))) > 0.9
+
+
+def test_pipeline(spark, sf_dir):
+    """Each stage against what its operator decides, row by row."""
+    docs, stages = table(spark, sf_dir, "documents"), dict(corpus_pipeline.STAGES)
+    labels = table(spark, sf_dir, "labels")
+    for name, operator in (("quality classifier", lambda d: {r.doc_id for r in quality.classify(d, labels).where("predicted = 1").collect()}), ("quality rules", lambda d: {r.doc_id for r in quality.apply_rules(d, labels).where("kept").collect()})):
+        kept = written(stages[name](spark, docs, sf_dir))
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == operator(docs)
+        docs = kept
+    texts_in = {r.doc_id: r.text for r in docs.collect()}
+    docs = written(stages["n-gram Jaccard join"](spark, docs, sf_dir))
+    assert {r.doc_id for r in docs.collect()} == {c for _, _, c in components(sorted(texts_in.items()), 5, 80)}
+    clean = written(stages["personal data"](spark, docs, sf_dir))
+    assert clean.columns == docs.columns
+    for r in clean.collect():
+        assert personal(r.text) == [] and r.n_chars == len(r.text)
+        assert r.text == texts_in[r.doc_id] or personal(texts_in[r.doc_id])
+    assert check_packed(stages["packing"](spark, clean, sf_dir).collect(), {r.doc_id: r.text for r in clean.collect()}) > 0.8
+    assert len(shingles("a b", 4)) == 1
