@@ -83,25 +83,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).when(a == b, 1.0).otherwise(corrected)
 
 
-def in_order(docs: DataFrame, parts: int) -> DataFrame:
+def in_order(docs: DataFrame, rows_a_part: int = 1000, most_parts: int = 2048) -> DataFrame:
     """Adds part, and a copy of each part's first row (flag copy) to the part before it; the order is descending doc_id.
 
     Rows of one id are ordered by text, null ids come last. Parts are ranges of ids between
-    quantiles; only their bounds, at most `parts` of them, come to the driver.
+    quantiles, so many that one has about rows_a_part rows; only their bounds (most_parts at
+    most, beyond which parts grow) come to the driver.
     """
-    cuts = sorted({c for c in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)})
-    part = reduce(lambda x, y: x + y, [F.lit(0), *((F.col("doc_id") <= c).cast("int") for c in cuts)])
-    numbered = docs.withColumn("part", F.coalesce(part, F.lit(len(cuts) + 1)))
+    parts = min(most_parts, docs.count() // rows_a_part + 1)
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    part = F.size(F.filter(F.lit(cuts), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
+    numbered = docs.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(part))
     heads = numbered.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
-    before = F.lit(None).cast("int")
+    head_of, above_of = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
     for above, here in zip([heads[-1], *heads] if heads else [], heads):
-        before = F.when((F.col("part") == here["part"]) & F.col("doc_id").eqNullSafe(F.lit(here["head"])), above["part"]).otherwise(before)
-    copies = F.when(before.isNull(), F.array(F.struct(F.col("part"), F.lit(False).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(before.alias("part"), F.lit(True).alias("copy"))))
-    return numbered.withColumn("place", F.explode(copies)).withColumns({"part": F.col("place.part"), "copy": F.col("place.copy")}).drop("place")
+        head_of[here["part"]], above_of[here["part"]] = here["head"], above["part"]
+    head, above = (F.get(F.array(*(F.lit(x).cast(kind) for x in values)), F.col("part")) for values, kind in ((head_of, "long"), (above_of, "int")))
+    own, copy = F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(above.alias("part"), F.lit(True).alias("copy"))
+    places = F.when(F.col("doc_id").eqNullSafe(head), F.array(own, copy)).otherwise(F.array(own))
+    return numbered.withColumn("place", F.explode(places)).withColumns({"part": F.col("place.part"), "copy": F.col("place.copy")}).drop("place")
 
 
-def fingerprints(docs: DataFrame, parts: int = 128) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next for each row of docs.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or
@@ -111,7 +114,7 @@ def fingerprints(docs: DataFrame, parts: int = 128) -> DataFrame:
     Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    placed = in_order(base, parts).withColumn("fingerprint", fingerprint(F.col("text")))
+    placed = in_order(base).withColumn("fingerprint", fingerprint(F.col("text")))
     follow = Window.partitionBy("part").orderBy("copy", F.desc("doc_id"), "text")
     nexts = placed.select("*", F.lead("text").over(follow).alias("next_text"), F.lead("fingerprint").over(follow).alias("next_fingerprint")).where(~F.col("copy"))
     n = F.length("text")
