@@ -65,26 +65,38 @@ def merge_by_rank(ranks: dict[bytes, int], word: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def merge_by_pair(ids: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], word: bytes) -> list[int]:
+#: Ids have fewer bits than this; a merge's rank and id share one number.
+ID_BITS = 24
+
+
+class Merger:
     """The ids of one pre-token by a table of pair merges, the leftmost of equal rank first."""
-    parts = [ids[word[i : i + 1]] for i in range(len(word))]
-    if len(parts) > 256:
-        return merge_long(parts, merges)
-    get, none = merges.get, (NEVER, -1)
-    pairs = [get(p, none) for p in zip(parts, parts[1:])]
-    while pairs and (least := min(pairs)) is not none:
-        i = pairs.index(least)
-        parts[i : i + 2] = [least[1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = get((parts[i - 1], parts[i]), none)
-        if i < len(pairs):
-            pairs[i] = get((parts[i], parts[i + 1]), none)
-    return parts
+
+    def __init__(self, ids: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]]):
+        self.merges = merges
+        self.byte_ids = [ids.get(bytes((b,))) for b in range(256)]
+        self.packed = {pair: rank << ID_BITS | made for pair, (rank, made) in merges.items()}
+
+    def __call__(self, word: bytes) -> list[int]:
+        byte_ids = self.byte_ids
+        parts = [byte_ids[b] for b in word]
+        if len(parts) > 256:
+            return merge_long(parts, self.merges)
+        get, mask = self.packed.get, (1 << ID_BITS) - 1
+        pairs = [get(p, NEVER) for p in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) < NEVER:
+            i = pairs.index(least)
+            parts[i] = least & mask
+            del parts[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+            if i < len(pairs):
+                pairs[i] = get((parts[i], parts[i + 1]), NEVER)
+        return parts
 
 
 def merge_long(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """merge_by_pair for long pre-tokens: a heap of candidate pairs over a linked list, n log n."""
+    """Merger's work for long pre-tokens: a heap of candidate pairs over a linked list, n log n."""
     from heapq import heapify, heappop, heappush
 
     n = len(parts)
@@ -256,32 +268,40 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Texts to what `whole` makes of their pre-tokens, combined by the pieces between spaces."""
+    """Texts to what `whole` makes of their pre-tokens, combined by the pieces between spaces.
+
+    The pattern must take a space and the letters after it as one pre-token, and letters without
+    a space before them too.
+    """
 
-    def __init__(self, pattern: str, whole):
+    def __init__(self, pattern: str, whole, limit: int = 300_000):
         find = regex.compile(pattern).findall
+        self.whole, self.limit = whole, limit
         word = Pieces(whole, 100_000)
         self.find = lambda s: [word[t] for t in find(s)]
 
     def of(self, combine):
         """A function from a text to the list of combine(values of its pre-tokens), a value for each piece."""
+        find, whole = self.find, self.whole
 
         def make(piece: str):
+            if piece.isalpha():
+                return combine([whole(" " + piece)])
             # beside other white space, or at an end, a space is part of a longer run
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 return None
-            return combine(self.find(" " + piece))
+            return combine(find(" " + piece))
 
-        at = Pieces(make, 300_000).__getitem__
+        at = Pieces(make, self.limit).__getitem__
 
         def run(text: str) -> list:
             if not text:
                 return []
             first, *rest = text.split(" ")
             if rest and (not first or first[0].isspace() or first[-1].isspace()):
-                return [combine(self.find(text))]
-            out = [combine(self.find(first)), *map(at, rest)]
-            return [combine(self.find(text))] if None in out else out
+                return [combine(find(text))]
+            out = [combine(find(first)), *map(at, rest)]
+            return [combine(find(text))] if None in out else out
 
         return run
 

@@ -29,14 +29,14 @@ def id_bytes(ids, merges, added, whole, pattern: str = public_tokenizers.PATTERN
     """A function from a text to its ids as little-endian 32-bit numbers."""
     import regex
 
-    number = lambda i: i.to_bytes(4, "little")
+    number, merge = lambda i: i.to_bytes(4, "little"), bpe.Merger(ids, merges)
 
     def encode(pre: str) -> bytes:
         if pre in whole:
             return number(ids[pre.encode()])
-        return b"".join(map(number, bpe.merge_by_pair(ids, merges, pre.encode())))
+        return b"".join(map(number, merge(pre.encode())))
 
-    run = bpe.Encoder(pattern, encode).of(b"".join)
+    run = bpe.Encoder(pattern, encode, 600_000).of(b"".join)
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
     def all_ids(text: str) -> bytes:

@@ -92,13 +92,13 @@ def whole_tokens(ids: dict[bytes, int], merges, pattern: str = public_tokenizers
     """
     import regex
 
-    alone, out = regex.compile(pattern).fullmatch, []
+    alone, merge, out = regex.compile(pattern).fullmatch, bpe.Merger(ids, merges), []
     for raw in ids:
         try:
             s = raw.decode()
         except UnicodeDecodeError:
             continue
-        if alone(s) and len(bpe.merge_by_pair(ids, merges, raw)) == 1:
+        if alone(s) and len(merge(raw)) == 1:
             out.append(s)
     return frozenset(out)
 
@@ -107,10 +107,12 @@ def counter(ids, merges, added, whole, pattern: str = public_tokenizers.PATTERN)
     """A function from a text to its number of tokens; strings of added tokens count one each."""
     import regex
 
+    merge = bpe.Merger(ids, merges)
+
     def tokens(pre: str) -> int:
-        return 1 if pre in whole else len(bpe.merge_by_pair(ids, merges, pre.encode()))
+        return 1 if pre in whole else len(merge(pre.encode()))
 
-    run = bpe.Encoder(pattern, tokens).of(sum)
+    run = bpe.Encoder(pattern, tokens, 600_000).of(sum)
     cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))).split if added else None
 
     def count(text: str) -> int:
