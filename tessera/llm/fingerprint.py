@@ -104,7 +104,7 @@ def in_order(docs: DataFrame, rows_a_part: int = 1000, most_parts: int = 2048) -
     return numbered.withColumn("place", F.explode(places)).withColumns({"part": F.col("place.part"), "copy": F.col("place.copy")}).drop("place")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, rows_a_part: int = 1000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next for each row of docs.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    placed = in_order(base).withColumn("fingerprint", fingerprint(F.col("text")))
+    placed = in_order(base, rows_a_part).withColumn("fingerprint", fingerprint(F.col("text")))
     follow = Window.partitionBy("part").orderBy("copy", F.desc("doc_id"), "text")
     nexts = placed.select("*", F.lead("text").over(follow).alias("next_text"), F.lead("fingerprint").over(follow).alias("next_fingerprint")).where(~F.col("copy"))
     n = F.length("text")

@@ -213,7 +213,9 @@ def test_queries_of_rules():
 
 def test_fingerprints(spark, sf_dir):
     docs = sorted(documents(sf_dir), reverse=True)
-    got, errors = {r.doc_id: r for r in fingerprint.op8_fingerprints(spark, sf_dir).collect()}, []
+    rows = fingerprint.fingerprints(table(spark, sf_dir, "documents"), rows_a_part=9).collect()  # many parts
+    assert {tuple(r) for r in rows} == {tuple(r) for r in fingerprint.op8_fingerprints(spark, sf_dir).collect()}
+    got, errors = {r.doc_id: r for r in rows}, []
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     plain = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
     for (d, t), (_, after) in zip(docs, docs[1:] + docs[:1]):
