@@ -117,16 +117,19 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return each_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()), make, "doc_id long, key binary, n_shingles long, sigs array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and features of the documents with the given ids, one row for each different set."""
+def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """The members (id, label, blocks, block) with the features of their documents.
+
+    The texts stay where they are read if a count finds few enough members to broadcast.
+    """
 
     def make():
         shingles = Shingler(size)
-        return lambda doc_ids, texts: (doc_ids, [shingles(t).view(np.int64) for t in texts])
+        return lambda ids, labels, blocks, block, texts: (ids, labels, blocks, block, [shingles(t).view(np.int64) for t in texts])
 
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(few, "id", "left_semi")
-    return each_batch(chosen.select("id", "text"), make, "id long, features array<long>")
+    few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(few, "id")
+    return each_batch(chosen.select("id", "label", "blocks", "block", "text"), make, "id long, label long, blocks int, block int, features array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,7 +203,7 @@ def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent:
     sizes = clusters.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("v"))
     blocks = sizes.select("label", F.ceil(F.greatest(F.col("m") / most_sets, F.col("v") / most_features)).cast("int").alias("blocks"))
     dealt = clusters.join(blocks, "label").select("id", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    sets = sets_of(docs, clusters.select("id"), size).join(dealt, "id")
+    sets = sets_of(docs, written(dealt, "members"), size)
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = paired.groupBy("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return grouped.applyInPandas(compare, "a long, b long")
