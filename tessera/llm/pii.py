@@ -5,8 +5,8 @@ every identifier-like token (one with a digit or an @) is an instance, its lexic
 two words before it, lower-cased. In each round a pattern's confidence is the share
 of its occurrences whose token is known, smoothed and weighted by how many different tokens it
 has; an instance's is the chance that not all its patterns are wrong; instances of high confidence
-are known in the next round. Tokens found by a confident pattern that no base span covers become
-spans of kind "id".
+are known in the next round. Occurrences that a confident pattern itself finds and that no base span
+covers in their own text become spans of kind "id"; what other texts hold of the token doesn't matter.
 
 Offsets need no Python: what a pattern matches and what splitting by it leaves alternate, so their
 lengths add up to each match's place, in code points.
@@ -96,32 +96,36 @@ def instances(spans: DataFrame) -> DataFrame:
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_tokens: int = 3) -> DataFrame:
-    """The tokens that confident patterns find, none of them covered by a base span.
+    """The patterns that are confident in the last round.
 
     The graph of patterns and tokens is aggregated before anything is joined, so a pattern that
     a third of all tokens share is one row for each of its tokens.
     """
     graph = written(found.groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph")
     known = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("weight"))
-    for _ in range(rounds):
+    for i in range(rounds):
         scored = graph.join(known, "token").groupBy("pattern").agg(F.sum("weight").alias("good"), F.count("*").alias("tokens"))
         sure = scored.select("pattern", "tokens", (F.col("good") / (F.col("tokens") + 1)).alias("confidence")).where((F.col("tokens") >= least_tokens) & (F.col("confidence") >= confident))
+        if i == rounds - 1:
+            return written(sure.select("pattern"), "confident")
         reached = graph.join(sure, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("chance"))
         seeds = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("seeded"))
         known = written(seeds.join(reached, "token", "left").select("token", F.greatest("seeded", F.when(F.col("chance") >= confident, F.col("chance")).otherwise(0.0)).alias("weight")), "known")
-    fresh = graph.groupBy("token").agg(F.max("seed").alias("seed")).where("not seed").select("token")
-    return known.where(F.col("weight") >= confident).select("token").join(fresh, "token", "left_semi")
 
 
-def all_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (the hash of the text), base and extra (arrays of spans) for each row of docs."""
+def all_spans(docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """doc_id, mark (the hash of the text), base and extra (arrays of spans) for each row of docs.
+
+    Confident patterns are broadcast if a count finds few of them.
+    """
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
     marked = rows.withColumn("mark", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
     # only texts that may hold an instance are kept
     based = written(marked.withColumn("text", F.when(F.col("text").rlike("[0-9@]"), F.col("text")).otherwise("")), "base")
     found = written(instances(based), "instances")
-    tokens = bootstrap(found)
-    more = found.where("not seed").join(tokens, "token", "left_semi").groupBy("row").agg(
+    patterns = bootstrap(found)
+    few = F.broadcast(patterns) if patterns.count() <= broadcast_rows else patterns
+    more = found.where("not seed").join(few, "pattern", "left_semi").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "stop", F.col("token").alias("value")))).alias("extra")
     )
     slim = based.select("doc_id", "row", "mark", "base")

@@ -169,6 +169,17 @@ def test_context_finds_more(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[39] == "w my member code is <ID> end"
 
 
+def test_context_counts_where_it_stands(spark):
+    """A bare number is found after a confident pattern though other texts' base spans cover it, and only there."""
+    texts_of = {i: f"w my member code is u{i}@x.org end" for i in range(40)}
+    texts_of |= {50: "call +1 988-555-2485 now", 51: "w my member code is 988-555-2485 end", 52: "w my member code is 2024 end", 53: "back in 2024 again", 54: "was 988-555-2485 before"}
+    docs = spark.createDataFrame(list(texts_of.items()), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal(docs).collect()}
+    assert got[50] == "phone:5:20" and got[51] == "id:20:32" and got[52] == "id:20:24" and got[53] == got[54] == ""
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[51] == clean[52] == "w my member code is <ID> end" and all(clean[i] == texts_of[i] for i in (53, 54))
+
+
 def test_similar_sets_share_a_signature():
     rng, r, tried = np.random.default_rng(3), random.Random(3), 0
     for percent in (85, 80):
