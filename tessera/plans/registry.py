@@ -155,6 +155,8 @@ def cascade_delete(spark, d):
 def dense_hits(spark, d, k=R.DEPTH):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding", "label")
     asked = vectors.where("entity_id = 0").first()  # the query's own vector, one row
+    if asked is None:
+        return vectors.limit(0).withColumn("score", F.lit(None).cast("double"))
     return R.dense_topk(vectors, [float(x) for x in asked["embedding"]], k)
 
 
@@ -166,6 +168,21 @@ def dense_topk(spark, d):
     return dense_hits(spark, d).select("entity_id", "score", "label")
 
 
+def search_queries(spark, d) -> DataFrame:
+    """The queries of a batch search: every vector whose id is divisible by 100."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def dense_batch_hits(spark, d, k=R.DEPTH) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding", "label")
+    return R.dense_topk_batch(vectors, search_queries(spark, d), k)
+
+
+@query("select q.vec_id as query_id, e.vec_id as entity_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score, e.label from embeddings e, embeddings q where q.vec_id % 100 = 0 qualify row_number() over (partition by query_id order by score desc, entity_id) <= 30")
+def dense_topk_batch(spark, d):
+    return dense_batch_hits(spark, d).select("query_id", "entity_id", "score", "label")
+
+
 def keyword_docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "source", "text")
 
@@ -208,9 +225,12 @@ def search_hydrated(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    top = R.hybrid(dense_hits(spark, d).select("entity_id", "score"), R.keyword_topk(keyword_docs(spark, d), KEYWORDS, {"A": "source", "D": "text"}, R.DEPTH))
-    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "entity_id")
-    return R.order(R.hydrated(top.withColumn("best_rank", F.lit(0)).select("entity_id", "score"), docs, {"best_rank": F.lit(0), "file_path": F.coalesce("source", F.lit("")), "entity_type": F.coalesce("lang", F.lit(""))})).drop("best_rank")
+    """Every query vector's dense ranking fused with the ranking of the one keyword query."""
+    words = R.keyword_topk(keyword_docs(spark, d), KEYWORDS, {"A": "source", "D": "text"}, R.DEPTH)
+    keyword = search_queries(spark, d).select("query_id").distinct().crossJoin(F.broadcast(words))
+    top = R.hybrid_batch(dense_batch_hits(spark, d).select("query_id", "entity_id", "score"), keyword)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.coalesce("source", F.lit("")).alias("file_path"), F.coalesce("lang", F.lit("")).alias("entity_type"))
+    return top.join(docs, "entity_id").select("query_id", "entity_id", "score", "file_path", "entity_type").orderBy("query_id", F.desc("score"), "entity_id")
 
 
 # --- evaluation --------------------------------------------------------------------------------

@@ -104,3 +104,29 @@ def test_plans(spark, sf_dir):
     plan = registry.QUERIES["job_claimable"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts)" in plan and "props" not in plan
     assert "TakeOrderedAndProject" in registry.QUERIES["dense_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_answers_every_query(spark, sf_dir, tmp_path):
+    from tessera.plans import registry
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = {r.vec_id: r.embedding for r in vectors.where("vec_id % 100 = 0").collect()}
+    got = registry.QUERIES["hybrid_search"](spark, sf_dir).collect()
+    assert len(asked) > 1 and {r.query_id for r in got} == set(asked)
+    rows = vectors.select(F.col("vec_id").alias("entity_id"), "embedding")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    for block in (2, 2048):
+        many = R.dense_topk_batch(rows, queries, 7, block).collect()
+        for q, v in asked.items():
+            one = R.dense_topk(rows, [float(x) for x in v], 7).collect()
+            assert sorted((-r.score, r.entity_id) for r in many if r.query_id == q) == [(-r.score, r.entity_id) for r in one]
+    # ties go by id over all tasks, vectors without a score come last
+    odd = spark.createDataFrame([*((i, [1.0, 1.0]) for i in range(600, 0, -1)), (601, [0.0, 0.0]), (602, None), (603, [1.0])], "entity_id long, embedding array<float>").repartition(3)
+    few = spark.createDataFrame([(9, [2.0, 2.0])], "query_id long, embedding array<float>")
+    assert sorted(r.entity_id for r in R.dense_topk_batch(odd, few, 5).collect()) == [1, 2, 3, 4, 5]
+    last = R.dense_topk_batch(odd.where("entity_id > 598"), few, 4).collect()
+    assert sorted((r.entity_id, r.score) for r in last if r.score) == [(599, 1.0), (600, 1.0)] and {r.entity_id for r in last if r.score is None} == {601, 602}
+    # a table without vec_id 0
+    vectors.where("vec_id > 0").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.QUERIES["dense_topk"](spark, str(tmp_path)).count() == 0
+    assert {r.query_id for r in registry.QUERIES["dense_topk_batch"](spark, str(tmp_path)).collect()} == set(asked) - {0}
