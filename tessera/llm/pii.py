@@ -2,9 +2,8 @@
 
 Base spans come from four fixed patterns. They are the seeds of a bootstrap over all documents:
 every identifier-like token (one with a digit or an @) is an instance, its lexical pattern is the
-two words before it, lower-cased. In each round a pattern's confidence is the share
-of its occurrences whose token is known, smoothed and weighted by how many different tokens it
-has; an instance's is the chance that not all its patterns are wrong; instances of high confidence
+two words before it, lower-cased. In each round a pattern's confidence is the share of its different
+tokens that are known, if it has three at least; an instance's is the chance that not all its patterns are wrong; instances of high confidence
 are known in the next round. Occurrences that a confident pattern itself finds and that no base span
 covers in their own text become spans of kind "id"; what other texts hold of the token doesn't matter.
 
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import GAP, table, text_of, word_array, written
 from .fingerprint import let
 
 #: The kinds in their order with their patterns. Possessive loops, and starts only where
@@ -82,16 +81,25 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def words_before(width: int | None) -> Column:
+    """The whole words among the width characters before span s, all words for None; null if there are more but not two here."""
+    if width is None:
+        return word_array(F.expr("substring(text, 1, s.start)"))
+    split = F.split(F.expr(f"substring(text, greatest(1, s.start - {width - 1}), least({width}, s.start))"), GAP)
+    # the first part is empty or may be the end of a word
+    rest = let(split, lambda parts: F.filter(F.slice(parts, 2, F.size(parts)), lambda w: w != ""))
+    return F.when(F.expr(f"s.start <= {width}"), F.filter(split, lambda w: w != "")).otherwise(let(rest, lambda w: F.when(F.size(w) >= 2, w)))
+
+
 def instances(spans: DataFrame) -> DataFrame:
     """row, start, stop, token, pattern and known for each identifier-like token of (row, text, base)."""
     tokens = spans.where(F.col("text").rlike("[0-9@]")).select("row", "base", "text", F.explode(located(F.col("text"), INSTANCE, len(KINDS))).alias("s"))
-    before = F.expr("substring(text, greatest(1, s.start - 79), least(80, s.start))")
-    context = F.slice(F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != ""), -2, 2)
+    context = F.array_join(F.slice(F.coalesce(*map(words_before, (80, 1280, 20480, None))), -2, 2), " ")
     token = F.regexp_replace("s.value", r"[.,;:!?]+$", "")
     covered = F.exists("base", lambda b: (b["start"] < F.col("s.stop")) & (b["stop"] > F.col("s.start")))
     return tokens.where("s.start > 0").select(
         "row", F.col("s.start").alias("start"), (F.col("s.start") + F.length(token)).alias("stop"), token.alias("token"), covered.alias("seed"),
-        F.lower(F.array_join(context, " ")).alias("pattern"),
+        let(F.lower(context), lambda c: F.when(F.length(c) > 160, F.sha2(c.cast("binary"), 256)).otherwise(c)).alias("pattern"),  # long words by their hash
     ).where("token <> '' and pattern <> ''")
 
 
@@ -101,14 +109,14 @@ def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_t
     The graph of patterns and tokens is aggregated before anything is joined, so a pattern that
     a third of all tokens share is one row for each of its tokens.
     """
-    graph = written(found.groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph")
+    graph = written(found.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "graph")
     known = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("weight"))
     for i in range(rounds):
         scored = graph.join(known, "token").groupBy("pattern").agg(F.sum("weight").alias("good"), F.count("*").alias("tokens"))
-        sure = scored.select("pattern", "tokens", (F.col("good") / (F.col("tokens") + 1)).alias("confidence")).where((F.col("tokens") >= least_tokens) & (F.col("confidence") >= confident))
+        sure = scored.select("pattern", "tokens", (F.col("good") / F.col("tokens")).alias("confidence")).where((F.col("tokens") >= least_tokens) & (F.col("confidence") >= confident))
         if i == rounds - 1:
             return written(sure.select("pattern"), "confident")
-        reached = graph.join(sure, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("chance"))
+        reached = graph.join(sure, "pattern").groupBy("token").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))), 12).alias("chance"))
         seeds = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("seeded"))
         known = written(seeds.join(reached, "token", "left").select("token", F.greatest("seeded", F.when(F.col("chance") >= confident, F.col("chance")).otherwise(0.0)).alias("weight")), "known")
 

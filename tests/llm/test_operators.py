@@ -180,6 +180,16 @@ def test_context_counts_where_it_stands(spark):
     assert clean[51] == clean[52] == "w my member code is <ID> end" and all(clean[i] == texts_of[i] for i in (53, 54))
 
 
+def test_sparse_contexts(spark):
+    """Four known tokens of five are enough, three of four are not; words of any length count whole."""
+    long, other = "a" + "x" * 1500, "b" + "x" * 1500
+    texts_of = {i: f"w my member code is u{i}@x.org end" for i in range(4)} | {9: "w my member code is Q-9 end"}
+    texts_of |= {10 + i: f"the old key was v{i}@x.org end" for i in range(3)} | {19: "the old key was Q-19 end"}
+    texts_of |= {20 + i: f"{long} is t{i}@x.org end" for i in range(4)} | {28: f"some {long} is Q-28 end", 29: f"{other} is Q-29 end"}
+    got = {r.doc_id: r.spans for r in pii.find_personal(spark.createDataFrame(list(texts_of.items()), "doc_id long, text string")).collect()}
+    assert got[9] == "id:20:23" and got[28] == "id:1510:1514" and got[19] == got[29] == ""
+
+
 def test_similar_sets_share_a_signature():
     rng, r, tried = np.random.default_rng(3), random.Random(3), 0
     for percent in (85, 80):
