@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,25 +64,50 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
+    """A batch in slices whose strings and binaries hold about most_bytes; a longer value is a slice of its own."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = held.cumsum(), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def each_batch(df: DataFrame, make, schema: str, **state) -> DataFrame:
-    """mapInArrow with make(**state), which returns a function from a batch's columns to lists.
+    """each_arrow() for a function of columns as lists."""
+
+    def of_lists(**state):
+        f = make(**state)
+        return lambda *columns: f(*(c.to_pylist() for c in columns))
+
+    return each_arrow(df, of_lists, schema, **state)
+
+
+def each_arrow(df: DataFrame, make, schema: str, **state) -> DataFrame:
+    """mapInArrow with make(**state), which returns a function from Arrow arrays to columns.
 
-    state: values broadcast to the tasks; their size must not grow with the data. A Python worker
-    keeps a broadcast value from task to task, and the function made from it along with it, so
-    what the function remembers (within its own bounds) serves all tasks of the worker.
+    A call gets a bounded number of bytes of text, or one text. state: values broadcast to the
+    tasks; their size must not grow with the data. A Python worker keeps a broadcast value from
+    task to task, and the function made from it along with it, so what the function remembers
+    (within its own bounds) serves all tasks of the worker.
     """
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    types = to_arrow_schema(_parse_datatype_string(schema))
+    types = to_arrow_schema(StructType.fromDDL(schema))
     held = df.sparkSession.sparkContext.broadcast({"state": state})
 
     def run(batches):
         here = held.value
         f = here.get("made") or here.setdefault("made", make(**here["state"]))
         for batch in batches:
-            if batch.num_rows:
-                out = f(*(c.to_pylist() for c in batch.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, types, strict=True)], schema=types)
+            for part in slices(batch):
+                out = f(*part.columns)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(out, types, strict=True)], schema=types)
 
     return df.mapInArrow(run, schema)

@@ -190,22 +190,65 @@ def test_sparse_contexts(spark):
     assert got[9] == "id:20:23" and got[28] == "id:1510:1514" and got[19] == got[29] == ""
 
 
+def signed(percent, sets):
+    """The signatures of each of some sets."""
+    number, signature = ngram_join.Signer(percent)(np.array([x for s in sets for x in sorted(s)], np.uint64), np.array([len(s) for s in sets]))
+    out = [set() for _ in sets]
+    for i, x in zip(number.tolist(), signature.tolist()):
+        out[i].add(x)
+    return out
+
+
+def changed(a, rng, r):
+    """A set with a few features lost and won."""
+    b = set(a)
+    for _ in range(r.randint(0, max(1, len(a) // 8))):
+        if r.random() < 0.5 and len(b) > 1:
+            b.discard(next(iter(b)))
+        if r.random() < 0.6:
+            b.add(int(rng.integers(0, 2**63)))
+    return b
+
+
 def test_similar_sets_share_a_signature():
-    rng, r, tried = np.random.default_rng(3), random.Random(3), 0
+    """All pairs of different similar sets do, and pass the bound on their bitmaps; equal sets are one class beforehand."""
+    rng, r = np.random.default_rng(3), random.Random(3)
     for percent in (85, 80):
-        sign = ngram_join.Signer(percent)
-        for _ in range(1500):
-            a = set(rng.integers(0, 2**63, r.choice((1, 2, 3, 5, 8, 13, 20, 40, 80, 150, 300))).tolist())
-            b = set(a)
-            for _ in range(r.randint(0, max(1, len(a) // 8))):
-                if r.random() < 0.5 and len(b) > 1:
-                    b.discard(next(iter(b)))
-                if r.random() < 0.6:
-                    b.add(int(rng.integers(0, 2**63)))
-            if 100 * len(a & b) >= percent * len(a | b):
-                tried += 1
-                assert set(sign(np.array(sorted(a), np.uint64)).tolist()) & set(sign(np.array(sorted(b), np.uint64)).tolist())
-    assert tried > 1000
+        sets = []
+        for _ in range(3000):
+            a = set(rng.integers(0, 2**63, r.choice((1, 2, 3, 4, 5, 6, 7, 8, 13, 20, 30, 40, 80, 150, 300, 1200))).tolist())
+            b = changed(a, rng, r)
+            if a != b and 100 * len(a & b) >= percent * len(a | b):
+                sets += [a, b]
+        assert len(sets) > 2000
+        each, sizes = signed(percent, sets), np.array([len(s) for s in sets])
+        bits = ngram_join.parity_bits(np.array([x for s in sets for x in s], np.uint64), sizes)
+        for i in range(0, len(sets), 2):
+            assert each[i] & each[i + 1], (len(sets[i]), len(sets[i + 1]))
+            assert ngram_join.bitmaps_near(bits[i : i + 2], sizes[i : i + 2], percent)(0, np.array([1])).all()
+
+
+@pytest.mark.parametrize("percent", (80, 85))
+def test_unrelated_sets_share_no_signature(percent):
+    rng = np.random.default_rng(5)
+    sets = [set(rng.integers(0, 2**63, n).tolist()) for n in (20, 25, 30, 40, 60, 90, 120, 150, 200, 300, 500, 700, 1000, 2000) for _ in range(100)]
+    seen = collections.Counter(x for s in signed(percent, sets) for x in s)
+    assert max(seen.values()) == 1
+
+
+def test_features_and_bitmaps_find_the_same_links():
+    rng, r = np.random.default_rng(4), random.Random(4)
+    sets = [set(rng.integers(0, 2**63, 50).tolist())]
+    for _ in range(80):
+        sets.append(changed(r.choice(sets), rng, r))
+    sets += [set(rng.integers(0, 2**63, n).tolist()) for n in (1, 3, 50, 200)]
+    flat = [np.array(sorted(s), np.uint64) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    exact, bound = ngram_join.features_near(flat, 80), ngram_join.bitmaps_near(ngram_join.parity_bits(np.concatenate(flat), sizes), sizes, 80)
+    for i, a in enumerate(sets):
+        items = np.array([j for j in range(len(sets)) if j != i])
+        want = np.array([100 * len(a & sets[j]) >= 80 * len(a | sets[j]) for j in items])
+        assert (exact(i, items) == want).all() and not (want & ~bound(i, items)).any()
 
 
 def test_join(spark):
@@ -219,6 +262,23 @@ def test_join(spark):
     rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1004, " \n")]
     got = {tuple(x) for x in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == components(rows, 4, 85)
+    got = {tuple(x) for x in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == components(rows, 5, 80)
+
+
+def test_join_in_blocks(spark, monkeypatch):
+    """Groups and clusters of many blocks, and tables beyond the broadcast bound."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)
+    for name, most in (("candidate_clusters", {"most_sets": 7, "rows_a_bucket": 50}), ("links_in_clusters", {"most_sets": 5})):
+        f = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda *a, f=f, most=most: f(*a, **most))
+    r, base, rows = random.Random(9), [f"w{i}" for i in range(50)], []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 2, 3))):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 30)}"
+        rows.append((i, " ".join(w)))
+    assert {tuple(x) for x in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()} == components(rows, 5, 80)
 
 
 def test_join_of_the_table(spark, sf_dir):
