@@ -58,11 +58,13 @@ def diff_summary(diffed: DataFrame) -> DataFrame:
     )
 
 
-def new_ids(rows: DataFrame, first: Column, keys: list[str] = KEYS, buckets: int = 256) -> DataFrame:
+def new_ids(rows: DataFrame, first: Column, keys: list[str] = KEYS, rows_a_bucket: int = 100_000) -> DataFrame:
     """Adds id: first, first + 1, ... in an order that depends on the keys alone.
 
-    Keys are dealt into buckets by hash; a bucket numbers its own rows after those before it.
+    Keys are dealt into buckets by hash, as many as a count of the rows needs; a bucket numbers
+    its own rows after those before it.
     """
+    buckets = rows.count() // rows_a_bucket + 1
     dealt = rows.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over the buckets' counts only
     offset = dealt.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -86,8 +88,11 @@ def upsert(stored: DataFrame, rows: DataFrame, keys: list[str] = KEYS) -> DataFr
     return vanished(stored, rows, keys).select(*columns).unionByName(known).unionByName(added)
 
 
-def mark_seen(stored: DataFrame, diffed: DataFrame, run_id: str, keys: list[str] = KEYS) -> DataFrame:
-    """Stamps rows that the run found unchanged or moved; moved rows get their new lines and updated_at."""
+def mark_seen(stored: DataFrame, diffed: DataFrame, run_id: str, keys: list[str] = KEYS, now: Column | None = None) -> DataFrame:
+    """Stamps rows that the run found unchanged or moved; moved rows get their new lines and, where now is given, updated_at.
+
+    Stamped rows that didn't move keep their updated_at.
+    """
     seen = diffed.where("bucket <> 'changed'").select(*keys, "bucket", F.col("start_line").alias("__start"), F.col("end_line").alias("__end"))
     joined = stored.join(seen, keys, "left")
     moved = F.col("bucket") == "moved"
@@ -95,6 +100,7 @@ def mark_seen(stored: DataFrame, diffed: DataFrame, run_id: str, keys: list[str]
         "last_seen_run": F.when(F.col("bucket").isNotNull(), F.lit(run_id)).otherwise(F.col("last_seen_run")),
         "start_line": F.when(moved, F.col("__start")).otherwise(F.col("start_line")),
         "end_line": F.when(moved, F.col("__end")).otherwise(F.col("end_line")),
+        **({"updated_at": F.when(moved, now).otherwise(F.col("updated_at"))} if now is not None else {}),
     }).select(*stored.columns)
 
 
@@ -107,3 +113,26 @@ def delete_missing(stored: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame
 def cascade_delete(children: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
     """The children whose parent is still there."""
     return children.join(parents.select(F.col(parent_key).alias(key)), key, "left_semi")
+
+
+def count_for_project(entities: DataFrame) -> DataFrame:
+    """How many entities each project has."""
+    return entities.groupBy("project_id").agg(F.count("*").alias("n"))
+
+
+def corpus_counts(entities: DataFrame) -> DataFrame:
+    """How many entities there are, and how many of them stand in tests."""
+    key = entity_key(F.col("file_path"), F.col("qualname"))
+    return entities.agg(F.count("*").alias("entities"), F.count_if(F.contains(key, F.lit("/tests/"))).alias("test_distractors"))
+
+
+def progress(diffed: DataFrame, chunk: int = 200, keys: list[str] = KEYS, rows_a_bucket: int = 100_000) -> DataFrame:
+    """(chunk, done, total) after each chunk of changed rows is described; reused rows count as done from the start.
+
+    Only the numbers of rows in buckets of keys are summed in one place.
+    """
+    changed = diffed.where("bucket = 'changed'")
+    numbered = new_ids(changed.select(*keys), F.lit(0), keys, rows_a_bucket).groupBy(F.floor(F.col("id") / chunk).alias("chunk")).agg(F.count("*").alias("n"))
+    total = diffed.agg(F.count("*").alias("total"), F.count_if(F.col("bucket") != "changed").alias("reused"))
+    # all chunks before are full
+    return numbered.crossJoin(F.broadcast(total)).select("chunk", (F.col("reused") + F.col("chunk") * chunk + F.col("n")).alias("done"), "total")

@@ -1,8 +1,12 @@
-"""Retrieval metrics over (query_id, entity_id, rank) and expected (query_id, entity_id)."""
+"""Retrieval metrics over (query_id, entity_id, rank) and expected (query_id, entity_id), and checks of labelled queries.
+
+A label is `path::qualname`. Labelled queries and page-long rankings are small beside the corpus,
+so they are broadcast where a count finds them so.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +39,118 @@ def head_to_head(base: DataFrame, other: DataFrame, k: int = 5) -> DataFrame:
         F.count_if(~in_a & in_b).alias("gained"), F.count_if(in_a & ~in_b).alias("lost"),
         F.count_if((in_a == in_b) & ~F.col("a").eqNullSafe(F.col("b"))).alias("reordered"),
     )
+
+
+SUMMARY = ("success_1", "success_5", "success_10", "strict_recall_5", "mrr")
+#: Up to so many rows a table of labels is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count finds few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def split_label(label: Column) -> tuple[Column, Column]:
+    """Path and name of a label, cut at the last `::`; without one, all of it is the name."""
+    name = F.substring_index(label, "::", -1)
+    path = F.substring(label, F.lit(1), F.greatest(F.lit(0), F.length(label) - F.length(name) - 2))
+    return path, name
+
+
+def resolved(ranking: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The ranking with file_path and qualname of its ids; unknown ids are dropped, and ranks close up.
+
+    catalogue: (entity_id, file_path, qualname). Ranks close within a query's page of results.
+    """
+    known = small(ranking).join(catalogue.select("entity_id", "file_path", "qualname"), "entity_id")
+    return known.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "entity_id")).cast("long"))
+
+
+def label_match(labels: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(query_id, label, entity_id): a label means the entities of its name whose path it ends with, or that ends with its path.
+
+    The join is on the name; the paths are compared for rows of one name only.
+    """
+    path, name = split_label(F.replace("label", F.lit("\\"), F.lit("/")))
+    wanted = labels.select("query_id", "label", path.alias("want_path"), name.alias("qualname"))
+    stored = catalogue.select("entity_id", F.replace("file_path", F.lit("\\"), F.lit("/")).alias("path"), "qualname")
+    suffix = F.endswith(F.col("path"), F.col("want_path")) | F.endswith(F.col("want_path"), F.col("path"))
+    return stored.join(small(wanted), "qualname").where(suffix).select("query_id", "label", "entity_id")
+
+
+def label_outcomes(queries: DataFrame, ranking: DataFrame, labels: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
+    """outcomes() where several entities may satisfy a label: found and wanted count labels."""
+    hits = label_match(labels, catalogue).join(small(resolved(ranking, catalogue).select("query_id", "entity_id", "rank")), ["query_id", "entity_id"])
+    per = hits.groupBy("query_id").agg(F.min("rank").alias("first_hit"), F.count_distinct(F.when(F.col("rank") <= k, F.col("label"))).alias("found"))
+    wanted = labels.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    return queries.join(per, "query_id", "left").join(wanted, "query_id", "left").withColumns({"found": F.coalesce("found", F.lit(0)), "wanted": F.coalesce("wanted", F.lit(0))})
+
+
+def misses(found: DataFrame, ranking: DataFrame, k: int = 5, depth: int = 10) -> DataFrame:
+    """The queries without a hit within k: why (found at a later rank, or not in the top depth) and the first id of their ranking."""
+    top = ranking.where("rank = 1").select("query_id", F.col("entity_id").alias("top1"))
+    missed = found.where(F.col("first_hit").isNull() | (F.col("first_hit") > k))
+    reason = F.when(F.col("first_hit").isNotNull(), F.concat(F.lit("found at "), F.col("first_hit").cast("string"))).otherwise(f"not in top {depth}")
+    return missed.join(top, "query_id", "left").withColumn("reason", reason)
+
+
+def strategy_deltas(reports: DataFrame, base: str) -> DataFrame:
+    """Each strategy's metrics less the base strategy's; reports: strategy and the metrics, a row for each."""
+    first = reports.where(F.col("strategy") == base).select(*(F.col(m).alias(f"base_{m}") for m in SUMMARY))
+    return reports.crossJoin(F.broadcast(first)).select("strategy", *(F.round(F.col(m) - F.col(f"base_{m}"), 9).alias(f"delta_{m}") for m in SUMMARY))  # one row
+
+
+def unknown_labels(labels: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The labels that are no entity's key."""
+    known = catalogue.select(F.concat_ws("::", F.replace("file_path", F.lit("\\"), F.lit("/")), "qualname").alias("label"))
+    return labels.join(known, "label", "left_anti")
+
+
+def frequent_anchors(labels: DataFrame, most: int = 2) -> DataFrame:
+    """The labels that more than `most` queries expect."""
+    return labels.groupBy("label").agg(F.count("*").alias("queries")).where(F.col("queries") > most)
+
+
+def category_counts(queries: DataFrame) -> DataFrame:
+    return queries.groupBy("category").agg(F.count("*").alias("queries"))
+
+
+def anchor_count(labels: DataFrame) -> DataFrame:
+    """How many different answers there are."""
+    return labels.agg(F.count_distinct("label").alias("distinct_answers"))
+
+
+#: Words that tell nothing about a query.
+PLAIN = "a an the of to and or with for in on at by that this is are be we it its one under every when into out up so not".split()
+
+
+def distinctive_terms(query: Column) -> Column:
+    """The lower-cased words of a query, without punctuation at their ends, of more than three letters and not plain."""
+    words = F.transform(F.split(F.lower(query), r"\s+"), lambda w: F.regexp_replace(w, r"^[,.?'\"]+|[,.?'\"]+$", ""))
+    return F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(PLAIN))
+
+
+def plain_jargon(queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """The jargon queries (query_id, category, query) all of whose distinctive terms stand in some source (source_code) or other.
+
+    The terms, of labelled queries only, become one pass of aggregates over the sources.
+    """
+    terms = queries.where("category = 'jargon'").select("query_id", "query", distinctive_terms(F.col("query")).alias("terms"))
+    known = sorted({t for r in terms.select("terms").collect() for t in r["terms"]})
+    if not known:
+        return terms.limit(0)
+    low = F.lower("source_code")
+    seen = sources.agg(F.array(*(F.coalesce(F.bool_or(F.contains(low, F.lit(t))), F.lit(False)) for t in known)).alias("seen"))
+    present = seen.select(F.filter(F.array(*map(F.lit, known)), lambda t, i: F.get(F.col("seen"), i)).alias("present"))
+    return terms.crossJoin(F.broadcast(present)).where((F.size("terms") > 0) & (F.size(F.array_except("terms", "present")) == 0)).drop("present")  # one row
+
+
+def strategies(dense: DataFrame, keyword: DataFrame, depth: int = 10) -> dict[str, DataFrame]:
+    """The rankings (query_id, entity_id, rank) of each strategy, from two scored lists of candidates."""
+    from . import retrieval as R
+
+    best = [F.desc("score"), F.col("entity_id")]
+    lists = {"dense": R.ranked(dense, best, "dense", ["query_id"]), "keyword": R.ranked(keyword, best, "keyword", ["query_id"])}
+    out = {name: x.where(F.col("rank") <= depth).select("query_id", "entity_id", "rank") for name, x in lists.items()}
+    return out | {"hybrid": R.hybrid_batch(dense, keyword, depth).select("query_id", "entity_id", F.col("place").cast("long").alias("rank"))}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Seconds and attempts.
 STALE_S, BASE_S, CAP_S, ATTEMPTS, ERROR_CHARS = 120, 30, 900, 3, 2000
+#: What is said of a job that nothing can revive.
+ABANDONED = "abandoned: no worker answers and no attempts remain"
 
 
 def stale(now: Column) -> Column:
@@ -61,10 +63,24 @@ def fail(jobs: DataFrame, chosen: Column, error: Column, now: Column) -> DataFra
 
 
 def reconcile(jobs: DataFrame, now: Column) -> DataFrame:
-    """Adds outcome to queued and stale jobs (failed if out of attempts, else queued: deliver again) and sets it as status."""
+    """Adds outcome to queued and stale jobs (failed if out of attempts, else queued: deliver again) and sets it as status.
+
+    A job out of attempts ends now; both lose their heartbeat. Columns that jobs lacks are left out.
+    """
     open_ = (F.col("status") == "queued") | stale(now)
     outcome = F.when(open_ & (F.col("attempts") >= ATTEMPTS), "failed").when(open_, "queued")
-    return jobs.withColumn("outcome", outcome).withColumn("status", F.coalesce("outcome", "status"))
+    failed, met = F.col("outcome").eqNullSafe(F.lit("failed")), F.col("outcome").isNotNull()
+    rest = {
+        "finished_at": F.when(failed, now).otherwise(F.col("finished_at")) if "finished_at" in jobs.columns else None,
+        "last_error": F.when(failed, F.coalesce("last_error", F.lit(ABANDONED))).otherwise(F.col("last_error")) if "last_error" in jobs.columns else None,
+        "heartbeat_at": F.when(~met, F.col("heartbeat_at")),
+    }
+    return jobs.withColumn("outcome", outcome).withColumns({"status": F.coalesce("outcome", "status"), **{k: v for k, v in rest.items() if v is not None}})
+
+
+def redeliver(reconciled: DataFrame) -> DataFrame:
+    """The ids of the jobs that reconcile() found open: their messages are sent again, and claiming refuses what runs."""
+    return reconciled.where("outcome = 'queued'").select("id")
 
 
 def latest(jobs: DataFrame) -> DataFrame:
@@ -75,3 +91,36 @@ def latest(jobs: DataFrame) -> DataFrame:
 def active(jobs: DataFrame) -> DataFrame:
     """Projects with a job that is queued or running."""
     return jobs.where(F.col("status").isin("queued", "running")).select("project_id").distinct()
+
+
+def create(projects: DataFrame, ids: Column, now: Column) -> DataFrame:
+    """A queued job, due now, for each project (column id); ids: the new jobs' ids."""
+    none = F.lit(None)
+    return projects.select(
+        ids.alias("id"), F.col("id").alias("project_id"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"), now.alias("run_after"),
+        *(none.cast("timestamp_ntz").alias(c) for c in ("heartbeat_at", "started_at", "finished_at")), none.cast("string").alias("last_error"),
+        *(F.lit(0).alias(c) for c in ("entities_total", "entities_done")),
+    )
+
+
+def record_progress(jobs: DataFrame, progress: DataFrame, now: Column) -> DataFrame:
+    """Jobs with the counts of progress (id, done, total), whatever their status; progress is a heartbeat, too."""
+    met = F.col("done").isNotNull()
+    joined = jobs.join(progress.select("id", "done", "total"), "id", "left")
+    return joined.withColumns({
+        "entities_done": F.when(met, F.col("done")).otherwise(F.col("entities_done")), "entities_total": F.when(met, F.col("total")).otherwise(F.col("entities_total")),
+        "heartbeat_at": F.when(met, now).otherwise(F.col("heartbeat_at")),
+    }).select(*jobs.columns)
+
+
+def settle(jobs: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Jobs after runs ended: results (id, error) without an error succeed, the others fail or queue again."""
+    joined = jobs.join(results.select("id", F.lit(True).alias("__ended"), F.col("error").alias("__error")), "id", "left")
+    ended = F.coalesce("__ended", F.lit(False)) & (F.col("status") == "running")
+    good = succeed(joined, ended & F.col("__error").isNull(), now)
+    return fail(good, ended & F.col("__error").isNotNull() & (F.col("status") == "running"), F.col("__error"), now).select(*jobs.columns)
+
+
+def for_projects(jobs: DataFrame, projects: DataFrame) -> DataFrame:
+    """Jobs with their project's columns; a job whose project is gone has none."""
+    return jobs.join(projects.select(F.col("id").alias("project_id"), F.col("status").alias("project_status"), "name"), "project_id", "left")

@@ -1,4 +1,4 @@
-"""Latency statistics: nearest-rank percentiles and failures."""
+"""Latency statistics: nearest-rank percentiles and failures, and the queries that are timed."""
 
 from __future__ import annotations
 
@@ -30,3 +30,34 @@ def stage_share(stages: DataFrame) -> DataFrame:
     medians = stages.groupBy("stage").agg(F.expr("percentile_disc(0.5) within group (order by ms)").alias("p50_ms"))
     total = medians.agg(F.sum("p50_ms").alias("total"))
     return medians.crossJoin(F.broadcast(total)).select("stage", "p50_ms", F.round(F.col("p50_ms") / F.col("total"), 9).alias("share"))
+
+
+def report(samples: DataFrame, warmup: int = 0) -> DataFrame:
+    """summary() of samples (nth, ms, status, results) after the warm-up's, with the mean number of results; raises if all failed."""
+    timed = samples.where(F.col("nth") >= warmup)
+    row = summary(timed).crossJoin(F.broadcast(timed.where("status = 200").agg(F.round(F.avg("results"), 6).alias("mean_results"))))  # one row
+    if row.select("n").first()["n"] == 0:
+        raise ValueError("every request failed; there is nothing to sum up")
+    return row
+
+
+def query_pool(*pools: DataFrame) -> DataFrame:
+    """(query, place): the different queries of the pools (query, place), in the order they first appear, pool after pool."""
+    every = [p.select("query", F.struct(F.lit(i).alias("pool"), F.col("place")).alias("at")) for i, p in enumerate(pools)]
+    union = every[0]
+    for more in every[1:]:
+        union = union.unionByName(more)
+    return union.groupBy("query").agg(F.min("at").alias("at")).select("query", "at.pool", "at.place")
+
+
+def query_order(pool: DataFrame, n: int, seed: int) -> DataFrame:
+    """(nth, query): n queries in an order that depends on the seed alone, from the first again where the pool is smaller.
+
+    A pool is a list made by hand: it fits into one task.
+    """
+    from pyspark.sql import Window
+
+    placed = pool.select("query", (F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query")).cast("binary"), 256), "query")) - 1).alias("start"))
+    size = pool.agg(F.count("*").alias("size"))
+    rounds = placed.crossJoin(F.broadcast(size)).where(F.col("start") < n)  # one row
+    return rounds.select(F.explode(F.sequence(F.col("start").cast("long"), F.lit(n - 1).cast("long"), F.col("size"))).alias("nth"), "query")

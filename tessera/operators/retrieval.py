@@ -103,17 +103,25 @@ def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, blo
     return reduce(DataFrame.unionAll, parts).withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= k).drop("__rank")
 
 
-def keyword_topk(entities: DataFrame, query: str, fields: dict[str, str], k: int = 10, id_col: str = "entity_id") -> DataFrame:
+def with_search_vector(entities: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Adds search_vector, to be stored with the rows; fields: column by weight letter."""
+    return entities.withColumn("search_vector", T.search_vector({letter: F.col(c) for letter, c in fields.items()}))
+
+
+def keyword_topk(entities: DataFrame, query: str, fields: dict[str, str] | None = None, k: int = 10, id_col: str = "entity_id") -> DataFrame:
     """The k entities that answer a web-search query, by cover density, ties by id. A blank query has none.
 
-    fields: column by weight letter. Entities are matched by built-in functions; only those that
-    match are ranked by a Pandas UDF.
+    Rows with a stored search_vector need no fields; else the vector is made from them, for
+    rows that hold the beginnings of a query's words.
     """
-    words = {letter: T.tokens(F.col(c)) for letter, c in fields.items()}
-    hits = entities.select(id_col, *(w.alias(f"__{x}") for x, w in words.items()))
-    hits = hits.where(T.matches(F.concat(*(F.col(f"__{x}") for x in words)), query))
-    score = T.cover_rank([(x, F.col(f"__{x}")) for x in words], query)
-    return hits.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    if k < 0:
+        raise ValueError("k must not be negative")
+    rows = entities
+    if fields:
+        columns = {letter: F.col(c) for letter, c in fields.items()}
+        rows = entities.where(T.may_answer(list(columns.values()), query)).withColumn("search_vector", T.search_vector(columns, query))
+    hits = rows.select(id_col, "search_vector").where(T.answers(F.col("search_vector"), query))
+    return hits.select(id_col, F.round(T.cover_rank(F.col("search_vector"), query), 9).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def ranked(hits: DataFrame, by: list[Column], retriever: str, query: list[str] | None = None) -> DataFrame:
@@ -139,8 +147,12 @@ def order(fused: DataFrame) -> DataFrame:
 
 
 def hydrated(top: DataFrame, entities: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Ranked ids with columns of their entities; ids without an entity are left out. top: a page of results."""
-    return F.broadcast(top).join(entities, "entity_id").select("entity_id", "score", *(c.alias(n) for n, c in columns.items()))
+    """Ranked ids with columns of their entities, in the ranking's order; ids without an entity are left out. top: a page of results.
+
+    The order is that of place where top has it, else of score, best_rank (where there is one) and id.
+    """
+    by = [F.col("place")] if "place" in top.columns else [F.desc("score"), *(F.col(c) for c in ("best_rank",) if c in top.columns), F.col("entity_id")]
+    return F.broadcast(top).join(entities, "entity_id").orderBy(*by).select("entity_id", "score", *(c.alias(n) for n, c in columns.items()))
 
 
 def hybrid(dense: DataFrame, keyword: DataFrame, top_k: int = 10) -> DataFrame:
@@ -152,15 +164,52 @@ def hybrid(dense: DataFrame, keyword: DataFrame, top_k: int = 10) -> DataFrame:
 
 
 def hybrid_batch(dense: DataFrame, keyword: DataFrame, top_k: int = 10) -> DataFrame:
-    """hybrid() for each query_id of two ranked lists: query_id, entity_id, score."""
+    """hybrid() for each query_id of two ranked lists: query_id, entity_id, score and place, from 1."""
     if top_k < 0:
         raise ValueError("top_k must not be negative")
     by, best = ["query_id"], [F.desc("score"), F.col("entity_id")]
     fused = normalised(rrf([ranked(dense, best, "dense", by), ranked(keyword, best, "keyword", by)], by), by)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "best_rank", "entity_id"))
-    return fused.withColumn("place", place).where(F.col("place") <= top_k).select("query_id", "entity_id", "score")
+    return fused.withColumn("place", place).where(F.col("place") <= top_k).select("query_id", "entity_id", "score", "place")
 
 
 def clean_matches(raw: DataFrame) -> DataFrame:
     """Raw vector matches (id string, score) with integer ids; others are dropped, a missing score is 0."""
     return raw.select(F.col("id").try_cast("bigint").alias("entity_id"), F.coalesce("score", F.lit(0.0)).alias("score")).where("entity_id is not null")
+
+
+#: What a result shows of its entity; missing texts are empty, missing lines 0.
+RESULT = ("file_path", "qualname", "entity_type", "signature", "source_code", "description", "start_line", "end_line")
+
+
+def search(projects: DataFrame, project_id, entities: DataFrame, vectors: DataFrame, query: str, embed, top_k: int = 10) -> DataFrame:
+    """The top_k entities of a project for a query: dense and keyword rankings fused, hydrated in order.
+
+    projects: (id, status); entities: project_id, search_vector and the result's columns; vectors:
+    (project_id, entity_id, embedding). A project that isn't ready raises before embed(query),
+    which may cost money, is called. A blank query has no keyword hits. Ids of vectors without an
+    entity in the project are left out after the cut, so a page may be shorter than top_k.
+    """
+    if top_k < 0:
+        raise ValueError("top_k must not be negative")
+    project = projects.where(F.col("id") == F.lit(project_id)).select("status").first()
+    if project is None:
+        raise LookupError("no such project")
+    if project["status"] != "ready":
+        raise ValueError(f"the project is {project['status']}, not ready")
+    own, near = scoped(entities, project_id), scoped(vectors, project_id)
+    dense = dense_topk(near, [float(x) for x in embed(query)], DEPTH).select("entity_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    keyword = keyword_topk(own.withColumnRenamed("id", "entity_id"), query, k=DEPTH)
+    top = hybrid(dense, keyword, top_k)
+    shown = {c: F.coalesce(F.col(c), F.lit(0 if c.endswith("line") else "")) for c in RESULT}
+    return hydrated(top, own.withColumnRenamed("id", "entity_id"), shown)
+
+
+def scoped(rows: DataFrame, project_id) -> DataFrame:
+    """The rows of one project: the filter reaches the scan."""
+    return rows.where(F.col("project_id") == F.lit(project_id))
+
+
+def drop_namespace(vectors: DataFrame, project_id) -> DataFrame:
+    """The vectors without those of a project."""
+    return vectors.where(~F.col("project_id").eqNullSafe(F.lit(project_id)))

@@ -60,7 +60,7 @@ def index(parsed: DataFrame, stored: DataFrame, vectors: DataFrame, project_id:
     diffed = write(E.diff(E.dedupe_last_wins(parsed), stored))
     fresh = write(enriched(diffed.where("bucket = 'changed'").drop("bucket", "stored_id"), provider))
     rows = fresh.withColumns({"project_id": F.lit(project_id), "last_seen_run": F.lit(run_id), "updated_at": now}).select(*[c for c in stored.columns if c not in ("id", "created_at")])
-    seen, gone = E.delete_missing(write(E.upsert(E.mark_seen(stored, diffed, run_id), rows)), run_id)
+    seen, gone = E.delete_missing(write(E.upsert(E.mark_seen(stored, diffed, run_id, now=now), rows)), run_id)
     made = fresh.join(seen.select("id", *E.KEYS), E.KEYS).select(F.col("id").alias("entity_id"), "embedding", "entity_type")
     dropped = gone.select(F.col("id").alias("entity_id")).unionByName(made.select("entity_id"))
     return seen, vectors.join(dropped, "entity_id", "left_anti").unionByName(made), diffed

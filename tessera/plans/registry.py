@@ -14,6 +14,7 @@ from ..operators import entities as E
 from ..operators import evaluation as V
 from ..operators import jobs as J
 from ..operators import latency as L
+from ..operators import projects as P
 from ..operators import retrieval as R
 from ..sources import code
 
@@ -25,6 +26,8 @@ def now():
 
 
 KEYWORDS = "the of"
+#: A query with stems: words of one stem answer for each other.
+SEARCH_WORDS = "ering thble"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -192,9 +195,26 @@ def keyword_match(spark, d):
     return keyword_docs(spark, d).where(T.matches(T.tokens(F.col("text")), KEYWORDS)).select("entity_id")
 
 
-@query()
+def stem_sql(word: str) -> str:
+    for pattern, kept in T.STEM:
+        word = f"regexp_replace({word}, '{pattern}', '{kept.replace('$1', chr(92) + '1')}')"
+    return word
+
+
+#: The covers of two terms: the last place of each at every place of either, where the lower one has moved.
+KEYWORD_SQL = f"""toks as (select doc_id as entity_id, regexp_extract_all(lower(coalesce(source, '')), '[a-z0-9]+') as a, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as d from documents),
+words as (select entity_id, unnest(a || d) as w, generate_subscripts(a || d, 1) - 1 as pos, len(a) as na from toks),
+lexemes as (select entity_id, pos, case when pos < na then 1.0::double else 0.1::double end as weight, {stem_sql("w")} as lexeme from words where w not in ({", ".join(f"'{w}'" for w in T.STOP)})),
+places as (select *, last_value(case when lexeme = '{T.stem_of("ering")}' then pos end ignore nulls) over upto as at1, last_value(case when lexeme = '{T.stem_of("ering")}' then weight end ignore nulls) over upto as w1,
+    last_value(case when lexeme = '{T.stem_of("thble")}' then pos end ignore nulls) over upto as at2, last_value(case when lexeme = '{T.stem_of("thble")}' then weight end ignore nulls) over upto as w2
+    from lexemes where lexeme in ('{T.stem_of("ering")}', '{T.stem_of("thble")}') window upto as (partition by entity_id order by pos rows between unbounded preceding and current row)),
+covers as (select *, least(at1, at2) as low, lag(least(at1, at2)) over (partition by entity_id order by pos) as before from places where at1 is not null and at2 is not null),
+keyword as (select entity_id, round(sum(2 / (1 / w1 + 1 / w2) / (pos - low)), 9) as score from covers where before is null or low > before group by entity_id order by score desc, entity_id limit 30)"""
+
+
+@query(f"with {KEYWORD_SQL} select entity_id, score from keyword")
 def keyword_rank(spark, d):
-    return R.keyword_topk(keyword_docs(spark, d), KEYWORDS, {"A": "source", "D": "text"}, R.DEPTH)
+    return R.keyword_topk(keyword_docs(spark, d), SEARCH_WORDS, {"A": "source", "D": "text"}, R.DEPTH)
 
 
 RANKS_SQL = "ranks as (select doc_id as entity_id, row_number() over (order by n_chars desc, doc_id) as rank from documents union all select doc_id, row_number() over (order by sha256(text), doc_id) from documents)"
@@ -223,37 +243,66 @@ def search_hydrated(spark, d):
     return R.hydrated(top, docs, {"file_path": F.coalesce("source", F.lit("")), "entity_type": F.coalesce("lang", F.lit("")), "end_line": F.coalesce("n_chars", F.lit(0))})
 
 
-@query()
+HYBRID_SQL = f"""{KEYWORD_SQL},
+asked as (select vec_id as query_id, embedding from embeddings where vec_id % 100 = 0),
+dense as (select query_id, vec_id as entity_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, asked q),
+near as (select query_id, entity_id, row_number() over (partition by query_id order by score desc, entity_id) as rank from dense qualify rank <= 30),
+lists as (select * from near union all select query_id, entity_id, row_number() over (partition by query_id order by score desc, entity_id) from asked, keyword),
+fused as (select query_id, entity_id, round(sum(1.0::double / (60 + rank)), 12) as score, min(rank) as best_rank from lists group by query_id, entity_id),
+top as (select query_id, entity_id, round(score / max(score) over (partition by query_id), 9) as score, row_number() over (partition by query_id order by score desc, best_rank, entity_id) as place from fused qualify place <= 10)"""
+
+
+@query(f"with {HYBRID_SQL} select query_id, place, entity_id, score, coalesce(source, '') as file_path, coalesce(lang, '') as entity_type from top join documents on doc_id = entity_id")
 def hybrid_search(spark, d):
-    """Every query vector's dense ranking fused with the ranking of the one keyword query."""
-    words = R.keyword_topk(keyword_docs(spark, d), KEYWORDS, {"A": "source", "D": "text"}, R.DEPTH)
-    keyword = search_queries(spark, d).select("query_id").distinct().crossJoin(F.broadcast(words))
+    """Every query vector's dense ranking fused with the ranking of the one keyword query, in the order of places."""
+    words = R.keyword_topk(keyword_docs(spark, d), SEARCH_WORDS, {"A": "source", "D": "text"}, R.DEPTH)
+    keyword = search_queries(spark, d).select("query_id").distinct().crossJoin(F.broadcast(words))  # a page of results
     top = R.hybrid_batch(dense_batch_hits(spark, d).select("query_id", "entity_id", "score"), keyword)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.coalesce("source", F.lit("")).alias("file_path"), F.coalesce("lang", F.lit("")).alias("entity_type"))
-    return top.join(docs, "entity_id").select("query_id", "entity_id", "score", "file_path", "entity_type").orderBy("query_id", F.desc("score"), "entity_id")
+    return top.join(docs, "entity_id").select("query_id", "place", "entity_id", F.round("score", 9).alias("score"), "file_path", "entity_type").orderBy("query_id", "place")
 
 
 # --- evaluation --------------------------------------------------------------------------------
 
+DEPTH = 10
+
+
+def windows(text):
+    """The different runs of two words of a text."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    runs = lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat_ws(" ", a, b))
+    # the words are made once, not again in the function of each use
+    return F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0)))
+
 
 def judged(spark, d):
-    """Queries, expected pairs, and two strategies' rankings of the expected documents' sources.
+    """Queries, expected pairs, and two strategies' rankings.
 
-    The passages (as many as the benchmark has, a table that doesn't grow with the corpus) are
-    looked up in every document.
+    A passage is a query; documents that share a run of two words with it are candidates, those
+    that hold all its runs are expected. One strategy ranks candidates by length, the other by
+    what they share. Runs are matched by an equi-join; the passages' are broadcast if few.
     """
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).alias("category"), F.substring("text", 40, 60).alias("passage"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text", "n_chars")
-    pairs = docs.join(F.broadcast(items), F.contains("text", F.col("passage"))).select("query_id", "entity_id", "n_chars", E.content_hash(F.col("text")).alias("hash"))
-    rank = lambda by: R.ranked(pairs, by, "r", ["query_id"])
-    return items.select("query_id", "category"), pairs.select("query_id", "entity_id"), rank([F.desc("n_chars"), F.col("entity_id")]), rank([F.col("hash"), F.col("entity_id")])
-
-
-JUDGED_SQL = """items as (select item_id as query_id, item_id % 4 as category, substr(text, 40, 60) as passage from benchmark),
-pairs as (select query_id, doc_id as entity_id, n_chars, sha256(text) as hash from documents join items on contains(text, passage)),
-ranking as (select query_id, entity_id, row_number() over (partition by query_id order by n_chars desc, entity_id) as rank, row_number() over (partition by query_id order by hash, entity_id) as rank2 from pairs),
-per as (select query_id, min(rank) as first_hit, min(rank2) as first_hit2, count(distinct entity_id) filter (rank <= 5) as found, count(distinct entity_id) as wanted from ranking group by query_id),
-outcome as (select i.query_id, i.category, first_hit, coalesce(found, 0) as found, coalesce(wanted, 0) as wanted from items i left join per using (query_id))"""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).alias("category"), windows(F.col("text")).alias("runs"))
+    asked = items.select("query_id", F.size("runs").alias("total"), F.explode("runs").alias("run"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "n_chars", F.explode(windows(F.col("text"))).alias("run"))
+    shared = docs.join(V.small(asked), "run").groupBy("query_id", "entity_id", "n_chars", "total").agg(F.count("*").alias("n"))
+    expected = shared.where("n = total").select("query_id", "entity_id")
+    rank = lambda by: R.ranked(shared, by, "r", ["query_id"]).where(F.col("rank") <= DEPTH).drop("retriever")
+    return items.select("query_id", "category"), expected, rank([F.desc("n_chars"), F.col("entity_id")]), rank([F.desc("n"), F.col("entity_id")])
+
+
+def windows_sql(text: str) -> str:
+    return f"list_distinct(list_transform(range(1, len({text})), lambda i: {text}[i] || ' ' || {text}[i + 1]))"
+
+
+JUDGED_SQL = f"""items as (select item_id as query_id, item_id % 4 as category, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from benchmark),
+asked as (select query_id, len(runs) as total, unnest(runs) as run from (select query_id, {windows_sql("w")} as runs from items)),
+docs as (select doc_id, n_chars, unnest({windows_sql("w")}) as run from (select doc_id, n_chars, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)),
+shared as (select query_id, doc_id as entity_id, n_chars, total, count(*) as n from docs join asked using (run) group by all),
+ranked as (select query_id, entity_id, n = total as wanted, row_number() over (partition by query_id order by n_chars desc, entity_id) as rank, row_number() over (partition by query_id order by n desc, entity_id) as rank2 from shared),
+per as (select query_id, min(rank) filter (rank <= 10) as first_hit, min(rank2) filter (rank2 <= 10) as first_hit2, count(*) filter (rank <= 5) as found, count(*) filter (rank2 <= 5) as found2, count(*) as wanted from ranked where wanted group by query_id),
+outcome as (select i.query_id, i.category, first_hit, coalesce(found, 0) as found, coalesce(wanted, 0) as wanted from items i left join per using (query_id)),
+outcome2 as (select i.query_id, i.category, first_hit2 as first_hit, coalesce(found2, 0) as found, coalesce(wanted, 0) as wanted from items i left join per using (query_id))"""
 METRICS_SQL = ", ".join(["count(*) as n", *(f"round(avg(case when first_hit <= {k} then 1.0::double else 0.0 end), 9) as success_{k}" for k in (1, 5, 10)), "round(avg(case when wanted > 0 then found::double / wanted else 0.0 end), 9) as strict_recall_5", "round(avg(coalesce(1.0::double / first_hit, 0.0)), 9) as mrr"])
 
 
@@ -275,13 +324,188 @@ def category_report(spark, d):
     return V.report(V.outcomes(queries, ranking, expected), ["category"])
 
 
-@query(f"with {JUDGED_SQL}, shifted as (select query_id, min(rank) as a, min(rank2 + query_id % 3 * 4) as b from ranking group by query_id), every as (select query_id, a, b from items left join shifted using (query_id)) select count(*) filter (not coalesce(a <= 5, false) and coalesce(b <= 5, false)) as gained, count(*) filter (coalesce(a <= 5, false) and not coalesce(b <= 5, false)) as lost, count(*) filter (coalesce(a <= 5, false) = coalesce(b <= 5, false) and a is distinct from b) as reordered from every")
+@query(f"with {JUDGED_SQL} select count(*) filter (not coalesce(a <= 5, false) and coalesce(b <= 5, false)) as gained, count(*) filter (coalesce(a <= 5, false) and not coalesce(b <= 5, false)) as lost, count(*) filter (coalesce(a <= 5, false) = coalesce(b <= 5, false) and a is distinct from b) as reordered from (select o.first_hit as a, p.first_hit as b from outcome o join outcome2 p using (query_id))")
 def head_to_head(spark, d):
     queries, expected, one, two = judged(spark, d)
-    two = two.withColumn("rank", F.col("rank") + F.col("query_id") % 3 * 4)  # so that the two differ
     return V.head_to_head(V.outcomes(queries, one, expected), V.outcomes(queries, two, expected))
 
 
+def reports(spark, d):
+    queries, expected, one, two = judged(spark, d)
+    each = [V.report(V.outcomes(queries, r, expected)).withColumn("strategy", F.lit(name)) for name, r in (("length", one), ("overlap", two))]
+    return each[0].unionByName(each[1])
+
+
+@query(f"with {JUDGED_SQL}, a as (select {METRICS_SQL} from outcome), b as (select {METRICS_SQL} from outcome2) select 'length' as strategy, " + ", ".join(f"0.0::double as delta_{m}" for m in V.SUMMARY) + " union all select 'overlap', " + ", ".join(f"round(b.{m} - a.{m}, 9)" for m in V.SUMMARY) + " from a, b")
+def strategy_deltas(spark, d):
+    return V.strategy_deltas(reports(spark, d), "length")
+
+
+@query(f"with {JUDGED_SQL} select o.query_id, o.category, case when first_hit is null then 'not in top 10' else 'found at ' || first_hit::varchar end as reason, r.entity_id as top1 from outcome o left join (select query_id, entity_id from ranked where rank = 1) r using (query_id) where first_hit is null or first_hit > 5")
+def eval_misses(spark, d):
+    queries, expected, ranking, _ = judged(spark, d)
+    return V.misses(V.outcomes(queries, ranking, expected), ranking).select("query_id", "category", "reason", "top1")
+
+
+def catalogue(spark, d) -> DataFrame:
+    """Documents as entities of files below one root."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("entity_id"), F.concat(F.lit("app/"), F.when(F.col("lang") == "fr", "tests/").otherwise(""), F.coalesce("source", F.lit("")), F.lit(".py")).alias("file_path"), F.concat(F.lit("n"), (F.col("doc_id") % 50).cast("string")).alias("qualname"), F.col("text").alias("source_code"))
+
+
+def golden(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Passages as labelled queries; their labels leave out the root of the entities' paths, or name a root above it."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 4 == 1, "jargon").otherwise("natural").alias("category"))
+    label = lambda root, source: F.concat(F.lit(root), (source % 20).cast("string"), F.lit(".py::n"), F.col("query_id").cast("string"))
+    return items, items.select("query_id", F.explode(F.array(label("src", F.col("query_id")), label("repo/app/src", F.col("query_id") + 1), F.lit("app/src1.py::n1"))).alias("label"))
+
+
+GOLDEN_SQL = """entities as (select doc_id as entity_id, 'app/' || case when lang = 'fr' then 'tests/' else '' end || coalesce(source, '') || '.py' as file_path, 'n' || (doc_id % 50)::varchar as qualname, text as source_code from documents),
+golden as (select item_id as query_id, text as query, case when item_id % 4 = 1 then 'jargon' else 'natural' end as category from benchmark),
+labels as (select query_id, unnest(['src' || (query_id % 20)::varchar || '.py::n' || query_id::varchar, 'repo/app/src' || ((query_id + 1) % 20)::varchar || '.py::n' || query_id::varchar, 'app/src1.py::n1']) as label from golden)"""
+MATCH_SQL = GOLDEN_SQL + ", matched as (select query_id, label, entity_id from (select *, string_split(label, '::')[1] as want, string_split(label, '::')[2] as qualname from labels) l join entities e using (qualname) where suffix(file_path, want) or suffix(want, file_path))"
+
+
+@query(f"with {MATCH_SQL} select query_id, label, entity_id from matched")
+def label_match(spark, d):
+    return V.label_match(golden(spark, d)[1], catalogue(spark, d))
+
+
+@query(f"with {MATCH_SQL}, {JUDGED_SQL}, closed as (select query_id, entity_id, rank2 as rank from ranked where rank2 <= 10), hit as (select query_id, min(rank) as first_hit, count(distinct case when rank <= 5 then label end) as found from matched join closed using (query_id, entity_id) group by query_id) select g.query_id, first_hit, coalesce(found, 0) as found, 3::bigint as wanted from golden g left join hit using (query_id)")
+def label_outcomes(spark, d):
+    queries, labels = golden(spark, d)
+    return V.label_outcomes(queries.select("query_id"), judged(spark, d)[3], labels, catalogue(spark, d))
+
+
+@query(f"with {GOLDEN_SQL} select query_id, label from labels anti join (select file_path || '::' || qualname as label from entities) k using (label)")
+def unknown_labels(spark, d):
+    return V.unknown_labels(golden(spark, d)[1], catalogue(spark, d)).select("query_id", "label")
+
+
+@query(f"with {GOLDEN_SQL} select label, count(*) as queries from labels group by label having count(*) > 2")
+def frequent_anchors(spark, d):
+    return V.frequent_anchors(golden(spark, d)[1])
+
+
+@query(f"with {GOLDEN_SQL} select category, count(*) as queries, (select count(distinct label) from labels) as distinct_answers from golden group by category")
+def category_counts(spark, d):
+    queries, labels = golden(spark, d)
+    return V.category_counts(queries).crossJoin(F.broadcast(V.anchor_count(labels)))  # one row
+
+
+@query(f"with {GOLDEN_SQL}, jargon as (select query_id, query, list_filter(list_transform(regexp_split_to_array(lower(query), '\\s+'), lambda w: regexp_replace(w, '^[,.?''\"]+|[,.?''\"]+$', '', 'g')), lambda w: length(w) > 3 and w not in ({', '.join(f"'{w}'" for w in V.PLAIN)})) as terms from golden where category = 'jargon'), seen as (select term, bool_or(contains(lower(source_code), term)) as present from (select distinct unnest(terms) as term from jargon), entities group by term), each as (select query_id, unnest(terms) as term from jargon) select query_id from each join seen using (term) group by query_id having bool_and(present)")
+def plain_jargon(spark, d):
+    return V.plain_jargon(golden(spark, d)[0], catalogue(spark, d)).select("query_id")
+
+
+@query(f"with {GOLDEN_SQL} select count(*) as entities, count(*) filter (contains(file_path, '/tests/')) as test_distractors from entities")
+def corpus_counts(spark, d):
+    return E.corpus_counts(catalogue(spark, d))
+
+
+# --- projects ----------------------------------------------------------------------------------
+
+
+def project_rows(spark, d) -> DataFrame:
+    """Users as projects."""
+    users = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("created_at"))
+    return users.select("id", (F.col("id") % 10).alias("owner_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), F.lit("ready").alias("status"), F.lit("old").alias("error_message"), "created_at")
+
+
+PROJECTS_SQL = "projects as (select user_id as id, user_id % 10 as owner_id, 'p' || user_id::varchar as name, 'ready' as status, 'old' as error_message, min(ts) as created_at from events group by user_id)"
+OUTCOME_SQL = f"case when (status = 'queued' or {STALE_SQL}) and attempts >= 3 then 'failed' when status = 'queued' or {STALE_SQL} then 'queued' end"
+
+
+@query(f"with {JOBS_SQL}, {PROJECTS_SQL}, met as (select project_id as id, bool_or(outcome = 'failed') as lost from (select project_id, {OUTCOME_SQL} as outcome from jobs) where outcome is not null group by project_id) select p.id, case when lost is null then p.status when lost then 'failed' else 'queued' end as status, case when lost then '{P.INTERRUPTED}' else error_message end as error_message from projects p left join met using (id)")
+def job_reconcile_projects(spark, d):
+    return P.after_reconcile(project_rows(spark, d), J.reconcile(job_rows(spark, d), now())).select("id", "status", "error_message")
+
+
+def full_jobs(spark, d) -> DataFrame:
+    none = F.lit(None)
+    return job_rows(spark, d).withColumns({"started_at": none.cast("timestamp_ntz"), "finished_at": none.cast("timestamp_ntz"), "last_error": none.cast("string"), "entities_total": F.lit(0), "entities_done": F.lit(0)})
+
+
+def run_results(spark, d) -> DataFrame:
+    """Every job's run ends, that of odd projects with an error."""
+    return job_rows(spark, d).select("id", F.when(F.col("project_id") % 2 == 1, "error").alias("error"))
+
+
+SETTLED_SQL = """settled as (select id, project_id, attempts,
+    case when status <> 'running' then status when project_id % 2 = 0 then 'succeeded' when attempts < 3 then 'queued' else 'failed' end as status,
+    case when status = 'running' and project_id % 2 = 1 and attempts < 3 then timestamp '2024-01-15 00:00:00' + to_seconds(least(30 * pow(2, greatest(attempts - 1, 0)), 900)) else run_after end as run_after,
+    case when status = 'running' and (project_id % 2 = 0 or attempts >= 3) then timestamp '2024-01-15 00:00:00' end as finished_at,
+    case when status = 'running' and project_id % 2 = 1 then 'error' end as last_error from jobs)"""
+
+
+@query(f"with {JOBS_SQL}, {SETTLED_SQL} select id, status, run_after, finished_at, last_error from settled")
+def job_settle(spark, d):
+    return J.settle(full_jobs(spark, d), run_results(spark, d), now()).select("id", "status", "run_after", "finished_at", "last_error")
+
+
+@query(f"with {JOBS_SQL}, {PROJECTS_SQL}, {SETTLED_SQL}, last as (select project_id as id, status as job from settled qualify row_number() over (partition by project_id order by run_after desc, id desc) = 1) select id, case job when 'succeeded' then 'ready' else job end as status, case job when 'failed' then '{P.FAILED}' end as error_message from projects join last using (id)")
+def project_status(spark, d):
+    results = run_results(spark, d)
+    return P.after_runs(project_rows(spark, d), J.settle(full_jobs(spark, d), results, now()), results).select("id", "status", "error_message")
+
+
+@query(f"with {JOBS_SQL}, {PROJECTS_SQL} select c_custkey as id, case when c_custkey not in (select id from projects) then 'unknown' when c_custkey in (select project_id from jobs where status in ('queued', 'running')) then 'busy' else 'queued' end as verdict from customer")
+def reindex_guard(spark, d):
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return P.request_reindex(project_rows(spark, d), job_rows(spark, d), wanted)[1]
+
+
+@query(f"with {PROJECTS_SQL} select id + 1000000 as id, id as project_id, 'queued' as status, 0 as attempts, timestamp '2024-01-15 00:00:00' as run_after from projects")
+def job_create(spark, d):
+    return J.create(project_rows(spark, d), F.col("id") + 1000000, now()).select("id", "project_id", "status", "attempts", "run_after")
+
+
+@query(f"with {JOBS_SQL} select id, case when status = 'running' then 7 else 0 end as entities_done, case when status = 'running' then 9 else 0 end as entities_total, case when status = 'running' then timestamp '2024-01-15 00:00:00' else heartbeat_at end as heartbeat_at from jobs")
+def job_progress(spark, d):
+    progress = job_rows(spark, d).where("status = 'running'").select("id", F.lit(7).alias("done"), F.lit(9).alias("total"))
+    return J.record_progress(full_jobs(spark, d), progress, now()).select("id", "entities_done", "entities_total", "heartbeat_at")
+
+
+@query(f"with {JOBS_SQL} select id, case when status = 'running' then timestamp '2024-01-15 00:00:00' else heartbeat_at end as heartbeat_at from jobs")
+def job_heartbeat(spark, d):
+    return J.heartbeat(job_rows(spark, d), F.lit(True), now()).select("id", "heartbeat_at")
+
+
+@query(f"with {PROJECTS_SQL} select id, name, created_at from projects where owner_id = 3 order by created_at desc, id")
+def newest_projects(spark, d):
+    return P.newest(project_rows(spark, d), 3).select("id", "name", "created_at")
+
+
+@query("select page_id as id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')[2] as name, page_id::varchar as namespace, 'queued' as status from pages where len(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')) >= 2")
+def project_create(spark, d):
+    requests = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit(1).alias("owner_id"), F.lit(None).cast("string").alias("name"), "url")
+    return P.create(requests, code.repository(F.col("url")), now()).select("id", "name", "namespace", "status")
+
+
+@query("select lang as project_id, count(*) as n from documents group by lang")
+def count_for_project(spark, d):
+    return E.count_for_project(table(spark, d, "documents").withColumnRenamed("lang", "project_id"))
+
+
+@query(f"with {DIFF_SQL}, t as (select count(*) filter (bucket = 'changed') as changed, count(*) as total from diffed) select c.chunk, total - changed + least((c.chunk + 1) * 200, changed) as done, total from t, (select unnest(range((changed + 199) // 200)) as chunk from t) c")
+def index_progress(spark, d):
+    return E.progress(E.diff(parsed_entities(spark, d), stored_entities(spark, d)))
+
+
+@query(f"with {DIFF_SQL} select entity_type as project_id, file_path, qualname, case when stored_id is not null and entity_type = 'en' then bucket else 'changed' end as bucket from diffed")
+def project_diff(spark, d):
+    """Rows of one project don't meet another's, though paths and names are the same."""
+    stored = stored_entities(spark, d).withColumn("project_id", F.when(F.col("entity_type") == "en", "en").otherwise("other"))
+    return E.diff(parsed_entities(spark, d).withColumn("project_id", F.col("entity_type")), stored, ["project_id", *E.KEYS]).select("project_id", "file_path", "qualname", "bucket")
+
+
+@query(f"with {DIFF_SQL} select s.id, case when d.bucket = 'moved' then timestamp '2024-01-15 00:00:00' else timestamp '2024-01-01 00:00:00' end as updated_at from stored s left join diffed d using (file_path, qualname)")
+def carry_over(spark, d):
+    """Only moved rows are updated when a run marks what it saw."""
+    stored = stored_entities(spark, d).withColumns({"last_seen_run": F.lit(None).cast("string"), "updated_at": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")})
+    return E.mark_seen(stored, E.diff(parsed_entities(spark, d), stored), "run", now=now()).select("id", "updated_at")
+
+
 # --- jobs and latency --------------------------------------------------------------------------
 
 
@@ -334,3 +558,27 @@ def slowest_samples(spark, d):
 @query("with m as (select event_type as stage, quantile_disc(value, 0.5) as p50_ms from events group by event_type) select stage, p50_ms, round(p50_ms / sum(p50_ms) over (), 9) as share from m")
 def stage_share(spark, d):
     return L.stage_share(table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
+
+
+@query(f"with {SAMPLES_SQL}, timed as (select ms, status, length(props) as results from samples join events on event_id = sample_id where sample_id >= 100) select count(ms) filter (status = 200) as n, count(*) filter (status <> 200) as failures, quantile_disc(ms, 0.5) filter (status = 200) as p50_ms, quantile_disc(ms, 0.99) filter (status = 200) as p99_ms, round(avg(results) filter (status = 200), 6) as mean_results from timed")
+def latency_report(spark, d):
+    timed = table(spark, d, "events").select(F.col("event_id").alias("nth"), F.col("value").alias("ms"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.length("props").alias("results"))
+    return L.report(timed, warmup=100).select("n", "failures", "p50_ms", "p99_ms", "mean_results")
+
+
+def pools(spark, d) -> list[DataFrame]:
+    """Two lists of queries that overlap."""
+    return [table(spark, d, "benchmark").select(F.col("text").alias("query"), F.col("item_id").alias("place")), table(spark, d, "conversations").where("turn = 0").select(F.col("text").alias("query"), F.col("conv_id").alias("place"))]
+
+
+POOL_SQL = "pool as (select query, min(place) filter (pool = 0) as first, min(place) filter (pool = 1) as second from (select text as query, item_id as place, 0 as pool from benchmark union all select text, conv_id, 1 from conversations where turn = 0) group by query)"
+
+
+@query(f"with {POOL_SQL} select query, case when first is null then 1 else 0 end as pool, coalesce(first, second) as place from pool")
+def query_pool(spark, d):
+    return L.query_pool(*pools(spark, d))
+
+
+@query(f"with {POOL_SQL}, shuffled as (select query, row_number() over (order by sha256('7:' || query), query) - 1 as start, count(*) over () as size from pool) select unnest(range(start, 1000, size)) as nth, query from shuffled where start < 1000")
+def query_order(spark, d):
+    return L.query_order(L.query_pool(*pools(spark, d)), 1000, 7)

@@ -12,7 +12,7 @@ from ..operators.entities import content_hash
 from ..schemas import PARSED
 
 #: Directories that hold no source of the project.
-PRUNED = ("venv", ".venv", "env", "node_modules", "__pycache__", ".git", "build", "dist")
+PRUNED = ("__pycache__", ".git", "node_modules", ".venv", "venv", "env", ".tox", ".eggs")
 
 
 def scan_files(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
