@@ -3,7 +3,8 @@
 The hashes of a text's distinct word shingles are dealt into bins by their high bits, and each
 bin keeps its least. Sorted, the least of a bin is the first hash with those high bits. An empty
 bin borrows from the first filled bin in its own fixed random order of all bins (optimal
-densification: the choice depends on the bin alone, not on its neighbours). The fingerprint keeps
+densification: the choice depends on the bin alone, not on its neighbours). It tries the first
+TRIES bins of that order; only where all are empty it takes the least rank among the filled bins. The fingerprint keeps
 the low four bits of each bin, one hex digit; two of them agree by chance once in sixteen bins,
 which the likeness corrects.
 """
@@ -16,9 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of, word_array
+from .common import table, text_of, word_array, written
 
-SHINGLE, BINS = 5, 256
+SHINGLE, BINS, TRIES = 5, 256, 16
 SHIFT = 64 - BINS.bit_length() + 1
 
 
@@ -38,32 +39,52 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
-def orders() -> Column:
-    """For each bin, a fixed random order of all bins, itself first: a constant of BINS times BINS small numbers."""
-    def order(b: int) -> list[int]:
+def orders() -> tuple[Column, Column]:
+    """For each bin a fixed random order of all bins, itself first, and the rank of each bin in it: constants of BINS times BINS small numbers."""
+    every = []
+    for b in range(BINS):
         rest = [x for x in range(BINS) if x != b]
         random.Random(b).shuffle(rest)
-        return [b, *rest]
-
-    return F.from_json(F.lit(str([order(b) for b in range(BINS)])), "array<array<int>>")
+        every.append([b, *rest])
+    ranks = [[0] * BINS for _ in every]
+    for b, order in enumerate(every):
+        for i, x in enumerate(order):
+            ranks[b][x] = i
+    return tuple(F.from_json(F.lit(str(x)), "array<array<int>>") for x in (every, ranks))
 
 
 def bin_digits(hashes: Column) -> Column:
     """An array with the hex digit of each bin's least hash, null where the bin is empty."""
-    bin_of = lambda x: F.shiftrightunsigned(x, SHIFT)
-    # signed order puts the bins of the upper half first; what counts is that a bin's hashes are together
-    firsts = lambda h: F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1))))
-    by_bin = lambda f: F.map_from_arrays(F.transform(f, lambda x: bin_of(x).cast("int")), F.transform(f, lambda x: F.substring(F.hex(x), -1, 1)))
-    spread = lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(m, b))
-    return let(let(let(F.array_sort(hashes), firsts), by_bin), spread)
+    bin_of = lambda x: (F.shiftright(x, SHIFT) + BINS // 2).cast("int")  # noqa: E731  # rises with the hash, signed as it is
+
+    def firsts(h: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.transform(h, bin_of))
+        return F.filter(F.zip_with(h, F.slice(before, 1, F.size(h)), lambda x, b: F.when(bin_of(x) != b, x)), lambda x: x.isNotNull())
+
+    def filled(f: Column) -> Column:
+        """Each least hash's digit, after a null for each empty bin between it and the one before."""
+        none = lambda n: F.array_repeat(F.lit(None).cast("string"), n)
+        before = F.concat(F.array(F.lit(-1)), F.transform(f, bin_of))
+        parts = F.zip_with(f, F.slice(before, 1, F.size(f)), lambda x, b: F.concat(none(bin_of(x) - b - 1), F.array(F.lower(F.substring(F.hex(x), -1, 1)))))
+        return F.concat(F.flatten(parts), none(BINS - 1 - F.element_at(before, -1)))
+
+    return let(let(F.sort_array(hashes), firsts), filled)
 
 
 def densified(digits: Column) -> Column:
     """The fingerprint: empty bins filled; empty text where all are."""
+    order, rank = orders()
+
+    def fill(d: Column) -> Column:
+        held = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(d, b).isNotNull())
+        return let(held, lambda held: F.array_join(F.transform(d, lambda x, b: F.coalesce(x, let(F.get(order, b), lambda o: tried(d, o)), least(d, held, b))), ""))
+
+    def tried(d: Column, o: Column) -> Column:
+        return F.coalesce(*(F.get(d, F.get(o, F.lit(i))) for i in range(1, TRIES)))
 
-    def fill(all_digits: Column) -> Column:
-        borrowed = lambda b: F.get(F.filter(F.transform(F.get(orders(), b), lambda k: F.get(all_digits, k)), lambda x: x.isNotNull()), F.lit(0))
-        return F.array_join(F.transform(all_digits, lambda d, b: F.when(d.isNotNull(), d).otherwise(borrowed(b))), "")
+    def least(d: Column, held: Column, b: Column) -> Column:
+        ranked = let(F.get(rank, b), lambda r: F.array_min(F.transform(held, lambda k: F.get(r, k) * BINS + k)))
+        return F.get(d, ranked % BINS)
 
     return let(digits, lambda d: F.when(F.exists(d, lambda x: x.isNotNull()), fill(d)).otherwise(""))
 
@@ -83,25 +104,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).when(a == b, 1.0).otherwise(corrected)
 
 
-def in_order(docs: DataFrame, rows_a_part: int = 1000, most_parts: int = 2048) -> DataFrame:
+def in_order(docs: DataFrame, rows_a_part: int = 1000, ranges: int = 256) -> DataFrame:
     """Adds part, and a copy of each part's first row (flag copy) to the part before it; the order is descending doc_id.
 
-    Rows of one id are ordered by text, null ids come last. Parts are ranges of ids between
-    quantiles, so many that one has about rows_a_part rows; only their bounds (most_parts at
-    most, beyond which parts grow) come to the driver.
+    Rows of one id are ordered by text, null ids come last, in a part of their own. Ids are dealt
+    into ranges between quantiles, and each range into parts of equal width, as many as the number
+    of rows needs: one has about rows_a_part rows, whatever the size of the table. Only the
+    quantiles come to the driver; parts meet their first ids by a join.
     """
-    parts = min(most_parts, docs.count() // rows_a_part + 1)
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    part = F.size(F.filter(F.lit(cuts), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
-    numbered = docs.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(part))
-    heads = numbered.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
-    head_of, above_of = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
-    for above, here in zip([heads[-1], *heads] if heads else [], heads):
-        head_of[here["part"]], above_of[here["part"]] = here["head"], above["part"]
-    head, above = (F.get(F.array(*(F.lit(x).cast(kind) for x in values)), F.col("part")) for values, kind in ((head_of, "long"), (above_of, "int")))
-    own, copy = F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(above.alias("part"), F.lit(True).alias("copy"))
-    places = F.when(F.col("doc_id").eqNullSafe(head), F.array(own, copy)).otherwise(F.array(own))
-    return numbered.withColumn("place", F.explode(places)).withColumns({"part": F.col("place.part"), "copy": F.col("place.copy")}).drop("place")
+    n = docs.count()
+    parts = n // rows_a_part + 1
+    tops = min(parts, ranges)
+    each = -(-parts // tops)
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / tops for i in range(tops + 1)], 0.25 / tops)}, reverse=True)
+    # range i goes from below cuts[i] (the first: from it) down to cuts[i + 1]
+    top = F.greatest(F.lit(0), F.least(F.lit(max(0, len(cuts) - 2)), F.size(F.filter(F.lit(cuts or [0]), lambda c: F.col("doc_id") < c)) - 1))
+    high, low = (F.get(F.lit(x or [0]), F.col("top")).cast("decimal(38,0)") for x in (cuts, cuts[1:] or cuts))
+    inner = F.floor((high - F.col("doc_id")) * each / F.greatest(high - low, F.lit(1)))
+    numbered = docs.withColumn("top", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(top))
+    numbered = numbered.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(each - 1), inner))).cast("int"))
+    heads = written(numbered.groupBy("top", "part").agg(F.max("doc_id").alias("head")), "heads")
+    ends = heads.groupBy("top").agg(F.max("part").alias("last"))  # at most a row for each range
+    every = Window.partitionBy(F.lit(0)).orderBy("top")
+    around = Window.partitionBy(F.lit(0)).orderBy(F.desc("top"))
+    before = ends.select("top", F.coalesce(F.lag(F.struct("top", "last")).over(every), F.first(F.struct("top", "last")).over(around)).alias("before"))
+    above = F.coalesce(F.lag("part").over(Window.partitionBy("top").orderBy("part")), F.lit(-1))
+    placed = heads.withColumn("above", above).join(F.broadcast(before), "top")
+    to = placed.select("top", "part", "head", F.when(F.col("above") >= 0, F.struct("top", F.col("above").alias("part"))).otherwise(F.struct(F.col("before.top").alias("top"), F.col("before.last").alias("part"))).alias("to"))
+    few = F.broadcast(to) if n // rows_a_part <= 100_000 else to
+    own, copy = F.struct("top", "part", F.lit(False).alias("copy")), F.struct("to.top", "to.part", F.lit(True).alias("copy"))
+    places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, copy)).otherwise(F.array(own))
+    return numbered.join(few, ["top", "part"]).withColumn("place", F.explode(places)).drop("top", "part", "head", "to").select("*", "place.*").drop("place")
 
 
 def fingerprints(docs: DataFrame, rows_a_part: int = 1000) -> DataFrame:
@@ -115,7 +148,7 @@ def fingerprints(docs: DataFrame, rows_a_part: int = 1000) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     placed = in_order(base, rows_a_part).withColumn("fingerprint", fingerprint(F.col("text")))
-    follow = Window.partitionBy("part").orderBy("copy", F.desc("doc_id"), "text")
+    follow = Window.partitionBy("top", "part").orderBy("copy", F.desc("doc_id"), "text")
     nexts = placed.select("*", F.lead("text").over(follow).alias("next_text"), F.lead("fingerprint").over(follow).alias("next_fingerprint")).where(~F.col("copy"))
     n = F.length("text")
     edited = nexts.withColumn("edited", F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))")))
@@ -127,6 +160,7 @@ def fingerprints(docs: DataFrame, rows_a_part: int = 1000) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints() of all documents."""
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
