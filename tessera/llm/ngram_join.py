@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, each_arrow, table, text_of, written
+from .common import drop_written, each_arrow, table, text_of, unused, written
 
 #: Up to this k the signatures are pairs of subparts of one part.
 PAIRS_UP_TO = 8
@@ -483,13 +483,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return once.unionByName(kept.where("doc_id is null"))
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    while name.lower() in (c.lower() for c in df.columns):
-        name += "_"
-    return name
-
-
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """similar_documents() of all documents: four words, 85 %."""
     return similar_documents(table(spark, sf_dir, "documents"))

@@ -1,11 +1,19 @@
 """Operator 5: personal data by bootstrapped contextual extraction, by built-in functions alone.
 
-Base spans come from four fixed patterns. They are the seeds of a bootstrap over all documents:
-every identifier-like token (one with a digit or an @) is an instance, its lexical pattern is the
-two words before it, lower-cased. In each round a pattern's confidence is the share of its different
-tokens that are known, if it has three at least; an instance's is the chance that not all its patterns are wrong; instances of high confidence
-are known in the next round. Occurrences that a confident pattern itself finds and that no base span
-covers in their own text become spans of kind "id"; what other texts hold of the token doesn't matter.
+Base spans come from four fixed patterns. They are the seeds of a bootstrap over all documents.
+Instances are identifier-like tokens (with a digit or an @) and whole runs of digit groups, such
+as a phone number with spaces. The lexical patterns of an instance, from narrow to wide:
+
+* the two words before it,
+* the word before it and its shape (digits as 9, runs of letters as a or A),
+* its shape and the word after it,
+* its shape alone, and that with runs of digits as one, if that many more instances bear it out.
+
+Patterns and instances form a graph. In each round a pattern's confidence is the share of its
+different instances that are known, if it has enough; an instance's is the chance that not all its
+patterns are wrong; instances of high confidence are known in the next round. Occurrences that a
+confident pattern itself finds and that no base span covers in their own text become spans of kind
+"id"; what other texts hold of the instance doesn't matter.
 
 Offsets need no Python: what a pattern matches and what splitting by it leaves alternate, so their
 lengths add up to each match's place, in code points.
@@ -16,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, table, text_of, word_array, written
+from .common import GAP, drop_written, table, text_of, unused, word_array, written
 from .fingerprint import let
 
 #: The kinds in their order with their patterns. Possessive loops, and starts only where
@@ -29,8 +37,10 @@ KINDS = {
 }
 #: A substring that every match of the kind has, to skip texts without it by a plain search.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: An identifier-like token with the two words before it.
-INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A run of up to eight groups of digits, or an identifier-like token; both begin a word and end with one.
+INSTANCE = r"(?<![^\x20\x09-\x0D])(?:[+(]?[0-9]++(?:[\x20().-]{1,2}[0-9]++){1,7}+|[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]*+"
+#: What a pattern begins with: two words, word and shape, shape and word, shape, shape with runs of digits as one.
+WORDS, AFTER_WORD, BEFORE_WORD, SHAPE, LOOSE = "w", "ws", "sw", "s", "r"
 
 SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
 
@@ -91,34 +101,82 @@ def words_before(width: int | None) -> Column:
     return F.when(F.expr(f"s.start <= {width}"), F.filter(split, lambda w: w != "")).otherwise(let(rest, lambda w: F.when(F.size(w) >= 2, w)))
 
 
+def word_after(width: int | None) -> Column:
+    """The whole word that begins after span s, empty at the end of the text; null if it isn't whole within width characters."""
+    rest = F.expr("substring(text, s.stop + 1)" if width is None else f"substring(text, s.stop + 1, {width})")
+    word = F.regexp_extract(rest, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)
+    if width is None:
+        return word
+    whole = F.rlike(rest, F.lit(r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]")) | (F.length("text") <= F.col("s.stop") + width)
+    return F.when(whole, word)
+
+
+def shape(token: Column) -> Column:
+    """Digits as 9, each run of letters as a, A (upper-case A-Z) or l (not ASCII)."""
+    for pattern, kept in (("[0-9]", "9"), ("[a-z]+", "a"), ("[A-Z]+", "A"), (r"[^\x00-\x7F]+", "l")):
+        token = F.regexp_replace(token, pattern, kept)
+    return token
+
+
 def instances(spans: DataFrame) -> DataFrame:
-    """row, start, stop, token, pattern and known for each identifier-like token of (row, text, base)."""
+    """row, start, stop, token, seed and patterns for each instance of (row, text, base)."""
     tokens = spans.where(F.col("text").rlike("[0-9@]")).select("row", "base", "text", F.explode(located(F.col("text"), INSTANCE, len(KINDS))).alias("s"))
-    context = F.array_join(F.slice(F.coalesce(*map(words_before, (80, 1280, 20480, None))), -2, 2), " ")
+    before, after = F.coalesce(*map(words_before, (80, 1280, 20480, None))), F.coalesce(*map(word_after, (80, 1280, 20480, None)))
     token = F.regexp_replace("s.value", r"[.,;:!?]+$", "")
     covered = F.exists("base", lambda b: (b["start"] < F.col("s.stop")) & (b["stop"] > F.col("s.start")))
-    return tokens.where("s.start > 0").select(
+    made = tokens.select(
         "row", F.col("s.start").alias("start"), (F.col("s.start") + F.length(token)).alias("stop"), token.alias("token"), covered.alias("seed"),
-        let(F.lower(context), lambda c: F.when(F.length(c) > 160, F.sha2(c.cast("binary"), 256)).otherwise(c)).alias("pattern"),  # long words by their hash
-    ).where("token <> '' and pattern <> ''")
-
-
-def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_tokens: int = 3) -> DataFrame:
+        F.transform(F.slice(before, -2, 2), F.lower).alias("left"), F.lower(after).alias("right"), shape(token).alias("shape"),
+    ).where("token <> ''")
+    pattern = lambda kind, *parts: F.concat_ws("\t", F.lit(kind), *parts)
+    some = F.array_compact(F.array(
+        F.when(F.size("left") > 0, pattern(WORDS, F.array_join("left", " "))), F.when(F.size("left") > 0, pattern(AFTER_WORD, F.element_at("left", -1), "shape")),
+        F.when(F.col("right") != "", pattern(BEFORE_WORD, "shape", "right")), pattern(SHAPE, "shape"), pattern(LOOSE, F.regexp_replace("shape", "9+", "9")),
+    ))
+    # long words by their hash
+    short = F.transform(some, lambda p: F.when(F.length(p) > 160, F.concat(F.substring_index(p, "\t", 1), F.lit("\t"), F.sha2(p.cast("binary"), 256))).otherwise(p))
+    return made.select("row", "start", "stop", "token", "seed", short.alias("patterns"))
+
+
+def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_tokens: int = 3, least_of_shape: int = 20) -> DataFrame:
     """The patterns that are confident in the last round.
 
     The graph of patterns and tokens is aggregated before anything is joined, so a pattern that
-    a third of all tokens share is one row for each of its tokens.
+    a third of all tokens share is one row for each of its tokens. A pattern needs least_tokens
+    different tokens, one without words least_of_shape.
     """
-    graph = written(found.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "graph")
+    graph = written(found.select(F.explode("patterns").alias("pattern"), "token", "seed").groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "graph")
     known = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("weight"))
+    least, made = F.when(F.substring_index("pattern", "\t", 1).isin(SHAPE, LOOSE), least_of_shape).otherwise(least_tokens), []
     for i in range(rounds):
         scored = graph.join(known, "token").groupBy("pattern").agg(F.sum("weight").alias("good"), F.count("*").alias("tokens"))
-        sure = scored.select("pattern", "tokens", (F.col("good") / F.col("tokens")).alias("confidence")).where((F.col("tokens") >= least_tokens) & (F.col("confidence") >= confident))
+        sure = scored.select("pattern", "tokens", F.round(F.col("good") / F.col("tokens"), 12).alias("confidence")).where((F.col("tokens") >= least) & (F.col("confidence") >= confident))
         if i == rounds - 1:
-            return written(sure.select("pattern"), "confident")
+            out = written(sure.select("pattern"), "confident")
+            for df in (graph, *made):
+                drop_written(df)
+            return out
         reached = graph.join(sure, "pattern").groupBy("token").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))), 12).alias("chance"))
         seeds = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("seeded"))
         known = written(seeds.join(reached, "token", "left").select("token", F.greatest("seeded", F.when(F.col("chance") >= confident, F.col("chance")).otherwise(0.0)).alias("weight")), "known")
+        made.append(known)
+
+
+def found_by(found: DataFrame, patterns: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """The instances that one of the patterns finds; patterns are broadcast if a count finds few."""
+    few = F.broadcast(patterns) if patterns.count() <= broadcast_rows else patterns
+    return found.withColumn("pattern", F.explode("patterns")).join(few, "pattern", "left_semi").select("row", "start", "stop", "token").distinct()
+
+
+def rediscovered(docs: DataFrame, one_in: int = 10) -> DataFrame:
+    """(kind, hidden, again): how many tokens of base spans are hidden from the bootstrap (one in `one_in`, by hash), and how many of those its patterns find."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
+    found = written(instances(rows.withColumn("base", base_spans(F.col("text")))), "instances")
+    hidden = F.col("seed") & (F.pmod(F.xxhash64("token"), F.lit(one_in)) == 0)
+    again = found_by(found.where(hidden), bootstrap(found.withColumn("seed", F.col("seed") & ~hidden)))
+    kind = F.when(F.contains("token", F.lit("@")), "email").when(F.rlike("token", F.lit(r"[0-9]\.[0-9]")), "ip").when(F.contains("token", F.lit("+")), "phone").otherwise("card").alias("kind")
+    each = found.where(hidden).select("token").distinct().join(again.select("token", F.lit(1).alias("met")).distinct(), "token", "left")
+    return each.groupBy(kind).agg(F.count("*").alias("hidden"), F.count("met").alias("again"))
 
 
 def all_spans(docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
@@ -131,9 +189,7 @@ def all_spans(docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     # only texts that may hold an instance are kept
     based = written(marked.withColumn("text", F.when(F.col("text").rlike("[0-9@]"), F.col("text")).otherwise("")), "base")
     found = written(instances(based), "instances")
-    patterns = bootstrap(found)
-    few = F.broadcast(patterns) if patterns.count() <= broadcast_rows else patterns
-    more = found.where("not seed").join(few, "pattern", "left_semi").groupBy("row").agg(
+    more = found_by(found.where("not seed"), bootstrap(found), broadcast_rows).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "stop", F.col("token").alias("value")))).alias("extra")
     )
     slim = based.select("doc_id", "row", "mark", "base")
@@ -160,39 +216,52 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of spans that overlap, the one that starts first."""
+    """The text with each span replaced by its kind in angle brackets; of spans that overlap, the one that starts first.
+
+    The pieces between the spans are cut out and joined once, so a text of many spans isn't copied for each.
+    """
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in [*KINDS, "id"]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    place = "array<struct<start:int,stop:int,kind:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), kept.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+        free = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(free, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"))
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    done = F.aggregate(ordered, start, step)
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    def joined(kept: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda s: s["stop"]))
+        pieces = F.zip_with(kept, F.slice(ends, 1, F.size(kept)), lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), F.get(names, s["kind"])))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+    return let(F.aggregate(ordered, start, step)["kept"], joined)
 
 
 def redact(docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of docs, all columns, with personal data replaced in text and n_chars (where there is one) as its new length.
 
-    A text without spans, a null one too, stays as it is, with its n_chars. Base spans are found
+    A null or empty text, or one without spans, stays as it is, with its n_chars; equal rows stay
+    equal, and columns may have any names. Base spans are found
     again where a row is rewritten; those found by context are joined by id and text hash,
     broadcast if a count finds few of them.
     """
-    extra = written(all_spans(docs).where("size(extra) > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("extra").alias("__extra")).dropDuplicates(["__id", "__mark"]), "extra")
+    of = unused(docs, "extra")
+    once = all_spans(docs).where("size(extra) > 0").select("doc_id", "mark", "extra").dropDuplicates(["doc_id", "mark"])
+    extra = written(once.select(F.struct("doc_id", "mark", "extra").alias(of)), "extra")
     few = F.broadcast(extra) if extra.count() <= broadcast_rows else extra
     text = text_of()
-    joined = docs.join(few, docs["doc_id"].eqNullSafe(few["__id"]) & (F.xxhash64(text) == few["__mark"]), "left")
-    spans = joined.withColumn("__spans", F.concat(base_spans(text), F.coalesce("__extra", F.array().cast(SPAN))))
-    hit = F.size("__spans") > 0
-    out = spans.withColumn("text", F.when(hit, redacted(text, F.col("__spans"))).otherwise(F.col("text")))
+    joined = docs.join(few, F.col("doc_id").eqNullSafe(F.col(f"{of}.doc_id")) & (F.xxhash64(text) == F.col(f"{of}.mark")), "left")
+    spans = F.concat(base_spans(text), F.coalesce(F.col(f"{of}.extra"), F.array().cast(SPAN)))
+    out = joined.withColumn(of, spans)
+    hit = F.size(of) > 0
+    out = out.withColumn("text", F.when(hit, redacted(text, F.col(of))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_personal() of all documents."""
     return find_personal(table(spark, sf_dir, "documents"))
 
 
