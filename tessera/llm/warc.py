@@ -22,6 +22,8 @@ from .common import drop_written, shared_dir, table, written
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
+#: Fixed value of the format (the magic within is left out): what a revisit says of its payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed values of base32 (RFC 4648) beside the digits that conv() gives.
 CONV_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -38,14 +40,15 @@ def first_of_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
     return counted.agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("sha", "first_id")
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, broadcast_rows: int = 500_000) -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, broadcast_rows: int = 500_000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record for each row of (page_id, url, html) below path.
 
     Of pages with equal payloads of at least least_bytes bytes, that with the smallest page_id is
     a response and the others are revisits of it; rows that repeat that page_id are responses too.
     A null html is an empty payload; a null url has no target line; a page without id revisits the
     smallest id of its copies, if there is one. The table of repeated payloads is broadcast if a
-    count finds at most broadcast_rows rows, else joined by a shuffle. Other columns are not read.
+    count finds at most broadcast_rows rows, else joined by a shuffle. date: when the pages were
+    taken. Other columns are not read.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     copies = written(first_of_copies(rows, least_bytes), "copies")
@@ -57,6 +60,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, broadcast_rows
         F.lit(f"{MAGIC}1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
+        F.lit(f"WARC-Date: {date}"),
+        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         # a line break in a URL must not end the header
         F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(MAGIC), F.lit("WARC%2F1."))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first_id").cast("string"), F.lit(">"))),
@@ -203,6 +208,7 @@ def put_together(spark: SparkSession, path: str, found: DataFrame, broken: DataF
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives below the shared folder and read back."""
     path = shared_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
     read = read_warc(spark, path)

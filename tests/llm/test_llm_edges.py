@@ -54,6 +54,13 @@ def test_keep_one_keeps_a_row_of_each_group(spark):
     assert kept == ["1", "2", "3", "4", "5", "7", "8", "None"]
 
 
+def test_names_inside_are_free(spark):
+    """Columns named like those that operators add inside stay as they are."""
+    docs = spark.createDataFrame([(1, "a@b.co is mine", 1, 2, 3, 4), (1, "a@b.co is mine", 1, 2, 3, 4)], "doc_id long, text string, extra int, mark int, other int, row int")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "<EMAIL> is mine", 1, 2, 3, 4)] * 2
+    assert [tuple(r) for r in ngram_join.keep_one(docs).collect()] == [(1, "a@b.co is mine", 1, 2, 3, 4)]
+
+
 def test_known_values(spark):
     rows = {r.doc_id: r for r in ngram_join.similar_documents(spark.createDataFrame(ROWS, SCHEMA)).collect()}
     assert rows[1].n_shingles == rows[3].n_shingles == 0 and rows[1].component_id == 1 and rows[3].component_id == 3
