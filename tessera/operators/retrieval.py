@@ -120,8 +120,10 @@ def keyword_topk(entities: DataFrame, query: str, fields: dict[str, str] | None
     if fields:
         columns = {letter: F.col(c) for letter, c in fields.items()}
         rows = entities.where(T.may_answer(list(columns.values()), query)).withColumn("search_vector", T.search_vector(columns, query))
-    hits = rows.select(id_col, "search_vector").where(T.answers(F.col("search_vector"), query))
-    return hits.select(id_col, F.round(T.cover_rank(F.col("search_vector"), query), 9).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    # in one expression, and without a filter that would make the vector twice: rows that don't answer have no score and come last
+    score = F.transform(F.array("search_vector"), lambda v: F.when(T.answers(v, query), F.round(T.cover_rank(v, query), 9)))
+    top = rows.select(id_col, F.get(score, F.lit(0)).alias("score")).orderBy(F.desc_nulls_last("score"), id_col).limit(k)
+    return top.where("score is not null")
 
 
 def ranked(hits: DataFrame, by: list[Column], retriever: str, query: list[str] | None = None) -> DataFrame:
