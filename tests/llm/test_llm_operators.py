@@ -138,6 +138,19 @@ def test_rules(spark, sf_dir):
     assert np.mean(kept) > 0.95
 
 
+def test_odd_texts_are_rejected(spark):
+    """Texts that pass the base rules but are unlike the clean ones go, also where no row of label 0 is left to learn from; clean ones stay."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    clean = [(i, " ".join(word() for _ in range(r.randint(40, 120))) + ".") for i in range(600)]
+    odd = [(1000 + i, " ".join(word() + "###$$" for _ in range(60))) for i in range(20)]
+    docs = spark.createDataFrame(clean + odd, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in clean], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.apply_rules(docs, labels).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert not any(got[i].kept for i, _ in odd) and sum(got[i].kept for i, _ in clean) >= 0.98 * len(clean)
+
+
 def test_forest_steps_like_a_loop():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))
