@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import small
+
+#: How many ranges of values the percentiles' counts are dealt into.
+RANGES = 64
+
+
+def percentiles(samples: DataFrame, percents: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """The by columns and p50_ms, ...: nearest-rank percentiles of ms, exact, null where a group has no ms.
+
+    Equal values are one row with their number beforehand. The values of a group fall into ranges
+    between approximate quantiles; numbers are summed up within each range, and over the few
+    ranges before it, so no task holds all values of a group.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counts = samples.select(key.alias("key"), "ms").groupBy("key", "ms").agg(F.count("ms").alias("n"))
+    cuts = counts.groupBy("key").agg(F.percentile_approx("ms", [i / RANGES for i in range(1, RANGES)]).alias("cuts"))
+    few = small(cuts) if by else F.broadcast(cuts)  # without groups one row
+    dealt = counts.join(few, "key").select("key", "ms", "n", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("ms"))), F.lit(0)).alias("range"))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ranges only
+    ranges = dealt.groupBy("key", "range").agg(F.sum("n").alias("held")).select(
+        "key", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy("key")).alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("key", "range").orderBy("ms"))
+    placed = dealt.join(ranges, ["key", "range"]).withColumn("upto", upto)
+    rank = lambda p: F.floor((F.col("total") * p + 99) / 100)
+    at = [F.max(F.when((F.col("upto") - F.col("n") < rank(p)) & (rank(p) <= F.col("upto")), F.col("ms"))).alias(f"p{p}_ms") for p in percents]
+    return placed.groupBy("key").agg(*at).select("key.*", *(f"p{p}_ms" for p in percents)) if by else placed.agg(*at)
+
 
 def summary(samples: DataFrame) -> DataFrame:
     """Count, failures and, over samples (ms, status) of status 200, the statistics; sample deviation 0 for one sample."""
     good = F.when(F.col("status") == 200, F.col("ms"))
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by case when status = 200 then ms end)")
-    return samples.agg(
+    ranks = percentiles(samples.select(good.alias("ms")), (50, 90, 95, 99))
+    plain = samples.agg(
         F.count(good).alias("n"), F.count_if(~F.col("status").eqNullSafe(F.lit(200))).alias("failures"), F.min(good).alias("min_ms"),
-        *(at(p / 100).alias(f"p{p}_ms") for p in (50, 90, 95, 99)), F.max(good).alias("max_ms"),
-        F.round(F.avg(good), 6).alias("mean_ms"), F.round(F.coalesce(F.stddev_samp(good), F.lit(0.0)), 6).alias("stdev_ms"),
+        F.max(good).alias("max_ms"), F.round(F.avg(good), 6).alias("mean_ms"), F.round(F.coalesce(F.stddev_samp(good), F.lit(0.0)), 6).alias("stdev_ms"),
     )
+    return plain.crossJoin(F.broadcast(ranks)).select("n", "failures", "min_ms", *ranks.columns, "max_ms", "mean_ms", "stdev_ms")  # one row
 
 
 def failures_by_status(samples: DataFrame) -> DataFrame:
@@ -27,7 +54,7 @@ def slowest(samples: DataFrame, k: int = 3) -> DataFrame:
 
 def stage_share(stages: DataFrame) -> DataFrame:
     """Each stage's median and its share of the sum of medians; stages: (stage, ms)."""
-    medians = stages.groupBy("stage").agg(F.expr("percentile_disc(0.5) within group (order by ms)").alias("p50_ms"))
+    medians = percentiles(stages, (50,), ("stage",))
     total = medians.agg(F.sum("p50_ms").alias("total"))
     return medians.crossJoin(F.broadcast(total)).select("stage", "p50_ms", F.round(F.col("p50_ms") / F.col("total"), 9).alias("share"))
 
@@ -55,8 +82,6 @@ def query_order(pool: DataFrame, n: int, seed: int) -> DataFrame:
 
     A pool is a list made by hand: it fits into one task.
     """
-    from pyspark.sql import Window
-
     placed = pool.select("query", (F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query")).cast("binary"), 256), "query")) - 1).alias("start"))
     size = pool.agg(F.count("*").alias("size"))
     rounds = placed.crossJoin(F.broadcast(size)).where(F.col("start") < n)  # one row

@@ -130,3 +130,13 @@ def test_search_answers_every_query(spark, sf_dir, tmp_path):
     vectors.where("vec_id > 0").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert registry.QUERIES["dense_topk"](spark, str(tmp_path)).count() == 0
     assert {r.query_id for r in registry.QUERIES["dense_topk_batch"](spark, str(tmp_path)).collect()} == set(asked) - {0}
+
+
+def test_percentiles_are_nearest_ranks(spark):
+    """A value that a third of the rows share, groups of one row and of none, more values than ranges."""
+    groups = {"many": [7] * 500 + list(range(1000)), "one": [3], "none": [None], "ties": [1, 1, 2, 2]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "stage string, ms long")
+    got = {r.stage: (r.p50_ms, r.p99_ms) for r in L.percentiles(df, (50, 99), ("stage",)).collect()}
+    rank = lambda vs, p: sorted(vs)[-(-p * len(vs) // 100) - 1] if vs != [None] else None
+    assert got == {g: (rank(vs, 50), rank(vs, 99)) for g, vs in groups.items()}
+    assert [tuple(r) for r in L.percentiles(df.limit(0).select("ms"), (50,)).collect()] == [(None,)]
