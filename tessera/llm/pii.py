@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, drop_written, table, text_of, unused, word_array, written
+from .common import drop_written, table, text_of, unused, word_array, written
 from .fingerprint import let
 
 #: The kinds in their order with their patterns. Possessive loops, and starts only where
@@ -45,20 +45,39 @@ WORDS, AFTER_WORD, BEFORE_WORD, SHAPE, LOOSE = "w", "ws", "sw", "s", "r"
 SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
 
 
-def located(text: Column, pattern: str, kind: int) -> Column:
-    """The leftmost matches that don't overlap, as an array of (kind, start, stop, value)."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+def running(values: Column, merge, block: int = 64) -> Column:
+    """For each int of an array, merge() of 0 and all before it, by blocks: no array as long as the whole is copied for each element."""
+
+    def prefixes(some: Column) -> Column:
+        return F.aggregate(some, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+
+    def moved(inner: Column) -> Column:
+        before = prefixes(F.transform(inner, lambda p: F.element_at(p, -1)))
+        shifted = lambda p, b: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: merge(b, v))
+        return let(before, lambda found: F.flatten(F.zip_with(inner, F.slice(found, 1, F.size(inner)), shifted)))
+
+    def blocks(all_: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / block).cast("int"))
+        return F.transform(starts, lambda i: prefixes(F.slice(all_, i * block + 1, block)))
+
+    return let(let(values, blocks), moved)
 
-    def spans(both: Column) -> Column:
-        sized = F.zip_with(both["m"], F.slice(both["gap"], 1, F.size(both["m"])), lambda m, g: F.struct(F.length(g).alias("before"), F.length(m).alias("size"), m.alias("value")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        step = lambda acc, x: F.struct(
-            (acc["at"] + x["before"] + x["size"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["before"]).alias("start"), (acc["at"] + x["before"] + x["size"]).alias("stop"), x["value"].alias("value")))).alias("spans"),
-        )
-        return F.aggregate(sized, start, step)["spans"]
 
-    return let(found, spans)
+def matches(text: Column, pattern: str) -> Column:
+    """The leftmost matches that don't overlap (m), and what stands before, between and after them (gap)."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+
+
+def spans_of(both: Column, kind: int) -> Column:
+    """An array of (kind, start, stop, value) from matches(), of which there is one at least."""
+    sizes = F.zip_with(both["m"], F.slice(both["gap"], 1, F.size(both["m"])), lambda m, g: F.length(g) + F.length(m))
+    ends = let(sizes, lambda s: F.zip_with(s, running(s, lambda x, y: x + y), lambda size, at: at + size))
+    return F.zip_with(both["m"], ends, lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("stop"), m.alias("value"))).cast(SPAN)
+
+
+def located(text: Column, pattern: str, kind: int) -> Column:
+    """The leftmost matches that don't overlap, as an array of (kind, start, stop, value)."""
+    return let(matches(text, pattern), lambda both: F.when(F.size(both["m"]) > 0, spans_of(both, kind)).otherwise(F.array().cast(SPAN)))
 
 
 def luhn(digits: Column) -> Column:
@@ -91,24 +110,42 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def words_before(width: int | None) -> Column:
-    """The whole words among the width characters before span s, all words for None; null if there are more but not two here."""
-    if width is None:
-        return word_array(F.expr("substring(text, 1, s.start)"))
-    split = F.split(F.expr(f"substring(text, greatest(1, s.start - {width - 1}), least({width}, s.start))"), GAP)
-    # the first part is empty or may be the end of a word
-    rest = let(split, lambda parts: F.filter(F.slice(parts, 2, F.size(parts)), lambda w: w != ""))
-    return F.when(F.expr(f"s.start <= {width}"), F.filter(split, lambda w: w != "")).otherwise(let(rest, lambda w: F.when(F.size(w) >= 2, w)))
+def covered(spans: Column, base: Column) -> Column:
+    """For each of some spans that don't overlap, in order, whether a base span overlaps it.
+
+    Both are sorted together: a span is overlapped if, of the base spans that begin before its end,
+    the one that ends last ends after its start.
+    """
+    ends = F.transform(spans, lambda s: F.struct(s["stop"].alias("at"), F.lit(0).alias("base"), s["start"].alias("other")))
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["stop"].alias("other")))
+
+    def swept(events: Column) -> Column:
+        latest = running(F.transform(events, lambda e: F.when(e["base"] == 1, e["other"]).otherwise(0)), lambda x, y: F.greatest(x, y))
+        both = F.zip_with(events, latest, lambda e, at: F.struct(e["base"].alias("base"), (at > e["other"]).alias("over")))
+        return F.transform(F.filter(both, lambda x: x["base"] == 0), lambda x: x["over"])
+
+    return let(F.array_sort(F.concat(ends, starts)), swept)
+
+
+def in_context(text: Column, base: Column) -> Column:
+    """An array of the instances of a text: start, stop, value, the two words before (left; none if there is only one), the word after (right, empty at the end) and seed.
+
+    Instances are whole words and what stands between them isn't empty, so two instances before it
+    hold all that an instance's context may need; no text is cut for each.
+    """
+
+    def made(both: Column) -> Column:
+        piece = lambda name, i: F.coalesce(F.get(both[name], i), F.lit(""))
+        left = lambda i: F.slice(word_array(F.concat(piece("m", i - 2), piece("gap", i - 1), piece("m", i - 1), piece("gap", i))), -2, 2)
+        right = lambda i: F.regexp_extract(F.concat(piece("gap", i + 1), piece("m", i + 1)), r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)
+
+        def each(spans: Column) -> Column:
+            one = lambda seed: lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), left(i).alias("left"), right(i).alias("right"), F.get(seed, i).alias("seed"))
+            return let(covered(spans, base), lambda seed: F.transform(spans, one(seed)))
 
+        return let(spans_of(both, len(KINDS)), each)
 
-def word_after(width: int | None) -> Column:
-    """The whole word that begins after span s, empty at the end of the text; null if it isn't whole within width characters."""
-    rest = F.expr("substring(text, s.stop + 1)" if width is None else f"substring(text, s.stop + 1, {width})")
-    word = F.regexp_extract(rest, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)
-    if width is None:
-        return word
-    whole = F.rlike(rest, F.lit(r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]")) | (F.length("text") <= F.col("s.stop") + width)
-    return F.when(whole, word)
+    return let(matches(text, INSTANCE), lambda both: F.when(F.size(both["m"]) > 0, made(both)))
 
 
 def shape(token: Column) -> Column:
@@ -120,13 +157,11 @@ def shape(token: Column) -> Column:
 
 def instances(spans: DataFrame) -> DataFrame:
     """row, start, stop, token, seed and patterns for each instance of (row, text, base)."""
-    tokens = spans.where(F.col("text").rlike("[0-9@]")).select("row", "base", "text", F.explode(located(F.col("text"), INSTANCE, len(KINDS))).alias("s"))
-    before, after = F.coalesce(*map(words_before, (80, 1280, 20480, None))), F.coalesce(*map(word_after, (80, 1280, 20480, None)))
+    tokens = spans.where(F.col("text").rlike("[0-9@]")).select("row", F.explode(in_context(F.col("text"), F.col("base"))).alias("s"))
     token = F.regexp_replace("s.value", r"[.,;:!?]+$", "")
-    covered = F.exists("base", lambda b: (b["start"] < F.col("s.stop")) & (b["stop"] > F.col("s.start")))
     made = tokens.select(
-        "row", F.col("s.start").alias("start"), (F.col("s.start") + F.length(token)).alias("stop"), token.alias("token"), covered.alias("seed"),
-        F.transform(F.slice(before, -2, 2), F.lower).alias("left"), F.lower(after).alias("right"), shape(token).alias("shape"),
+        "row", F.col("s.start").alias("start"), (F.col("s.start") + F.length(token)).alias("stop"), token.alias("token"), F.col("s.seed").alias("seed"),
+        F.transform("s.left", F.lower).alias("left"), F.lower("s.right").alias("right"), shape(token).alias("shape"),
     ).where("token <> ''")
     pattern = lambda kind, *parts: F.concat_ws("\t", F.lit(kind), *parts)
     some = F.array_compact(F.array(
@@ -222,19 +257,18 @@ def redacted(text: Column, spans: Column) -> Column:
     """
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in [*KINDS, "id"]))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    place = "array<struct<start:int,stop:int,kind:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("kept"))
 
-    def step(acc: Column, s: Column) -> Column:
-        free = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(free, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"))
+    def free(every: Column) -> Column:
+        """The spans that begin where all before them have ended."""
+        latest = running(F.transform(every, lambda s: s["stop"]), lambda x, y: F.greatest(x, y))
+        return let(latest, lambda at: F.filter(every, lambda s, i: s["start"] >= F.get(at, i)))
 
     def joined(kept: Column) -> Column:
         ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda s: s["stop"]))
         pieces = F.zip_with(kept, F.slice(ends, 1, F.size(kept)), lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), F.get(names, s["kind"])))
         return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
 
-    return let(F.aggregate(ordered, start, step)["kept"], joined)
+    return let(let(ordered, free), joined)
 
 
 def redact(docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
