@@ -2,7 +2,8 @@
 
 Writing: a record is one row of the text writer, whose line separator is the blank line that ends
 a WARC record, so Spark's own commit protocol covers the files. A payload that equals an earlier
-one becomes a revisit record without a payload.
+one becomes a revisit record without a payload. A block is an HTTP response: its header, which
+states the payload's length also where a revisit leaves the payload out, and the payload.
 
 Reading: the text reader splits the files at the magic "WARC/1.", wherever it stands, also inside
 payloads. Every row is a candidate record: its header says where its successor should begin.
@@ -55,6 +56,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, broadcast_rows
     small = copies.count() <= broadcast_rows
     marked = rows.withColumn("sha", F.sha1("payload")).join(F.broadcast(copies) if small else copies, "sha", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")) & (F.octet_length("payload") >= least_bytes)
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"))
     header = F.concat_ws(
         "\r\n",
         F.lit(f"{MAGIC}1"),
@@ -66,11 +68,10 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, broadcast_rows
         F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(MAGIC), F.lit("WARC%2F1."))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first_id").cast("string"), F.lit(">"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1_base32(F.col("payload"))),
-        F.when(revisit, F.concat(F.lit("WARC-Payload-Length: "), F.octet_length("payload").cast("string"))),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, 0).otherwise(F.octet_length("payload")).cast("string")),
+        F.lit("Content-Type: application/http;msgtype=response"),
+        F.concat(F.lit("Content-Length: "), (F.octet_length(http) + len(END) + F.when(revisit, 0).otherwise(F.octet_length("payload"))).cast("string")),
     )
-    record = F.concat(header, F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string")))
+    record = F.concat(header, F.lit(END), http, F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string")))
     marked.select(record.alias("value")).write.option("lineSep", END).text(path)
     drop_written(copies)
 
@@ -109,21 +110,25 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     rows = rows_of(spark, path)
     header = F.substring_index("value", END, 1)
     at = F.octet_length("header") + len(END)
-    payload = F.expr(f"substring(cast(value as binary), octet_length(header) + {len(END) + 1}, int(least(clen, {1 << 31 - 1})))")
+    http = F.substring(F.substring_index("value", END, 2), F.length("header") + len(END) + 1, F.length("value"))
+    # a block that is no HTTP response is a payload as a whole
+    skipped = F.when(F.startswith("http", F.lit("HTTP/")), F.octet_length("http") + len(END)).otherwise(0)
+    payload = F.expr(f"substring(cast(value as binary), octet_length(header) + {len(END) + 1} + skipped, int(least(plen, {1 << 31 - 1})))")
     parsed = (
         rows.withColumn("header", header)
         .withColumn("clen", F.when(F.col("value").rlike(r"^[01]\r\n") & F.contains("value", F.lit(END)), F.expr("try_cast(regexp_extract(header, '(?im)^Content-Length:[ \\\\t]*([0-9]+)', 1) as bigint)")))
+        .withColumn("http", http).withColumn("skipped", skipped).withColumn("plen", F.greatest(F.col("clen") - F.col("skipped"), F.lit(0)))
         .withColumn("payload", payload)
-    )
-    whole = F.octet_length("payload") == F.col("clen")
+    )
+    whole = F.octet_length("payload") == F.col("plen")
     return parsed.select(
-        "file", "split", "nth", "length", "clen",
-        (at + len(MAGIC)).cast("long").alias("to_payload"),
+        "file", "split", "nth", "length", "plen",
+        (at + F.col("skipped") + len(MAGIC)).cast("long").alias("to_payload"),
         F.when(F.col("clen").isNotNull(), at + len(MAGIC) + F.col("clen") + len(END)).alias("size"),
         F.regexp_extract(field(F.col("header"), "WARC-Record-ID"), r"^<urn:page:(-?\d+)>$", 1).alias("id"),
         field(F.col("header"), "WARC-Target-URI").alias("url"), field(F.col("header"), "WARC-Type").alias("record_type"),
         F.regexp_extract(field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1).alias("refers"),
-        field(F.col("header"), "WARC-Payload-Digest").alias("said_digest"), field(F.col("header"), "WARC-Payload-Length").alias("said_bytes"),
+        field(F.col("header"), "WARC-Payload-Digest").alias("said_digest"), field(F.col("http"), "Content-Length").alias("said_bytes"),
         F.when(whole, sha1_base32(F.col("payload"))).alias("digest"),
     )
 
@@ -171,20 +176,20 @@ def reachable(found: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records below path: page_id, url, record_type, refers_to, payload_bytes and payload_digest.
 
-    The digest is that of the payload read; a revisit has those that its header states. Bytes that
+    The digest is that of the payload read; a revisit has those that its headers state. Bytes that
     no chain from a file's start reaches are no records, whatever they look like; a chain ends at
     a header that can't be read. No files, no rows.
     """
     found = written(placed(candidates(spark, path)).withColumn("next", F.col("start") + F.col("size")), "found")
     records = written(found.join(reachable(found), ["file", "start"], "left_semi"), "records")
-    broken = records.where("digest is null").select("file", "start", (F.col("start") + F.col("to_payload")).alias("begin"), "clen")
+    broken = records.where("digest is null").select("file", "start", (F.col("start") + F.col("to_payload")).alias("begin"), "plen")
     whole = records
     if not broken.isEmpty():
         whole = records.join(put_together(spark, path, found, broken), ["file", "start"], "left").withColumn("digest", F.coalesce("digest", "joined")).drop("joined")
     revisit = F.col("record_type") == "revisit"
     return whole.select(
         F.expr("try_cast(id as bigint)").alias("page_id"), "url", "record_type", F.expr("try_cast(refers as bigint)").alias("refers_to"),
-        F.when(revisit, F.expr("try_cast(said_bytes as bigint)")).otherwise(F.col("clen")).alias("payload_bytes"),
+        F.when(revisit, F.expr("try_cast(said_bytes as bigint)")).otherwise(F.col("plen")).alias("payload_bytes"),
         F.when(revisit, F.substring("said_digest", 6, 32)).otherwise(F.col("digest")).alias("payload_digest"),
     )
 
@@ -197,7 +202,7 @@ def put_together(spark: SparkSession, path: str, found: DataFrame, broken: DataF
     """
     every = found.select("file", "split", "nth", "start").join(broken.withColumn("record", F.col("start")), ["file", "start"], "left")
     upto = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    held = every.withColumn("record", F.last("record", True).over(upto)).withColumn("end", F.last(F.col("begin") + F.col("clen"), True).over(upto)).withColumn("begin", F.last("begin", True).over(upto))
+    held = every.withColumn("record", F.last("record", True).over(upto)).withColumn("end", F.last(F.col("begin") + F.col("plen"), True).over(upto)).withColumn("begin", F.last("begin", True).over(upto))
     held = held.where("record is not null and start <= end").select("file", "split", "nth", "start", "record", "begin", "end")
     text = rows_of(spark, path).select("file", "split", "nth", F.concat(F.lit(MAGIC), "value").cast("binary").alias("bytes"))
     parts = text.join(held, ["file", "split", "nth"]).groupBy("file", "record").agg(

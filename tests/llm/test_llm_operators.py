@@ -378,6 +378,42 @@ def test_headers_of_archives(spark):
     text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     assert text.count("WARC-Date: 2024-01-01T00:00:00Z\r\n") == 2 and text.count(f"WARC-Profile: {warc.PROFILE}\r\n") == 1
     assert text.index("WARC-Profile") > text.index("WARC-Type: revisit")
+    # a record as another reader takes it: the block is Content-Length octets, an HTTP response with a payload of its Content-Length
+    blocks = {}
+    while text:
+        header, rest = text.split("\r\n\r\n", 1)
+        fields = dict(line.split(": ", 1) for line in header.split("\r\n")[1:])
+        size = int(fields["Content-Length"])
+        assert fields["Content-Type"] == "application/http;msgtype=response" and rest[size : size + 4] == "\r\n\r\n"
+        blocks[fields["WARC-Type"]], text = rest[:size], rest[size + 4 :]
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 4\r\n\r\n"
+    assert blocks == {"response": http + "same", "revisit": http}
+
+
+def test_warc_blocks_of_others(spark):
+    """A record whose block is no HTTP response has the whole block as payload."""
+    path = shared_dir(spark)
+    record = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: 9\r\n\r\nab\r\n\r\ncde"
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    assert [(r.page_id, r.record_type, r.payload_bytes) for r in warc.read_warc(spark, path).collect()] == [(5, "resource", 9)]
+
+
+def test_running(spark):
+    r = random.Random(3)
+    rows = [[r.randint(0, 99) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 129, 5000)]
+    df = spark.createDataFrame([(x,) for x in rows], "x array<int>")
+    got = df.select("x", pii.running(F.col("x"), lambda a, b: a + b).alias("sum"), pii.running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("max")).collect()
+    for g in got:
+        assert g["sum"] == [sum(g.x[:i]) for i in range(len(g.x))] and g["max"] == [max([0, *g.x[:i]]) for i in range(len(g.x))]
+
+
+def test_personal_data_of_a_very_long_text(spark):
+    """A text of 20,000 spans: no array is copied for each."""
+    text = "a@b.c 1.2.3.4 " * 10_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.find_personal(docs).first()
+    assert (got.n_email, got.n_ip) == (10_000, 10_000) and got.spans.split(",")[9_999] == f"email:{14 * 9_999}:{14 * 9_999 + 5}"
+    assert pii.redact(docs).first().text == "<EMAIL> <IP> " * 10_000
 
 
 def test_fingerprints(spark, sf_dir):
