@@ -173,7 +173,19 @@ def instances(spans: DataFrame) -> DataFrame:
     return made.select("row", "start", "stop", "token", "seed", short.alias("patterns"))
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_tokens: int = 3, least_of_shape: int = 20) -> DataFrame:
+def with_patterns(edges: DataFrame, patterns: DataFrame, broadcast_rows: int, salts: int = 64) -> DataFrame:
+    """The edges (pattern, token, ...) of some different patterns, with the patterns' columns.
+
+    Patterns are broadcast if a count finds few; else a pattern is joined in `salts` parts, by the
+    hash of the token, so that one of very many edges is no single task's.
+    """
+    if patterns.count() <= broadcast_rows:
+        return edges.join(F.broadcast(patterns), "pattern")
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(salts)))
+    return dealt.join(patterns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["pattern", "salt"]).drop("salt")
+
+
+def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_tokens: int = 3, least_of_shape: int = 20, broadcast_rows: int = 100_000) -> DataFrame:
     """The patterns that are confident in the last round.
 
     The graph of patterns and tokens is aggregated before anything is joined, so a pattern that
@@ -191,16 +203,17 @@ def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_t
             for df in (graph, *made):
                 drop_written(df)
             return out
-        reached = graph.join(sure, "pattern").groupBy("token").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))), 12).alias("chance"))
+        sure = written(sure.select("pattern", "confidence"), "sure")
+        reached = with_patterns(graph, sure, broadcast_rows).groupBy("token").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))), 12).alias("chance"))
         seeds = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("seeded"))
         known = written(seeds.join(reached, "token", "left").select("token", F.greatest("seeded", F.when(F.col("chance") >= confident, F.col("chance")).otherwise(0.0)).alias("weight")), "known")
-        made.append(known)
+        made += [sure, known]
 
 
 def found_by(found: DataFrame, patterns: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """The instances that one of the patterns finds; patterns are broadcast if a count finds few."""
-    few = F.broadcast(patterns) if patterns.count() <= broadcast_rows else patterns
-    return found.withColumn("pattern", F.explode("patterns")).join(few, "pattern", "left_semi").select("row", "start", "stop", "token").distinct()
+    """The instances that one of the patterns finds."""
+    edges = found.select("row", "start", "stop", "token", F.explode("patterns").alias("pattern"))
+    return with_patterns(edges, patterns, broadcast_rows).select("row", "start", "stop", "token").distinct()
 
 
 def rediscovered(docs: DataFrame, one_in: int = 10) -> DataFrame:
@@ -224,7 +237,7 @@ def all_spans(docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     # only texts that may hold an instance are kept
     based = written(marked.withColumn("text", F.when(F.col("text").rlike("[0-9@]"), F.col("text")).otherwise("")), "base")
     found = written(instances(based), "instances")
-    more = found_by(found.where("not seed"), bootstrap(found), broadcast_rows).groupBy("row").agg(
+    more = found_by(found.where("not seed"), bootstrap(found, broadcast_rows=broadcast_rows), broadcast_rows).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "stop", F.col("token").alias("value")))).alias("extra")
     )
     slim = based.select("doc_id", "row", "mark", "base")

@@ -237,6 +237,10 @@ def test_bootstrap_like_brute_force(spark):
     found = written(pii.instances(docs.select(F.col("doc_id").alias("row"), "text", pii.base_spans(F.col("text")).alias("base"))))
     want = bootstrapped([(x.token, x.seed, x.patterns) for x in found.collect()])
     assert want and {x.pattern for x in pii.bootstrap(found).collect()} == want
+    # the same by the join for patterns too many to broadcast
+    sure = pii.bootstrap(found, broadcast_rows=0)
+    assert {x.pattern for x in sure.collect()} == want
+    assert sorted(pii.found_by(found, sure, 0).collect()) == sorted(pii.found_by(found, sure).collect()) != []
 
 
 def test_hidden_seeds_are_found_again(spark):
