@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,21 +153,54 @@ def cover_density(places: list[tuple[int, str, float]], terms: set[str]) -> floa
 def cover_rank(vector: Column, query: str) -> Column:
     """The cover density of a query's terms in a search vector: one pass over the places of its terms."""
     terms = sorted({w for terms in lexemes(query) for negated, phrase in terms if not negated for _, w in phrase})
-    if not terms:
-        return F.lit(0.0)
+    return cover_rank_of(vector, F.array(*map(F.lit, terms))) if terms else F.lit(0.0)
+
+
+def cover_rank_of(vector: Column, terms: Column) -> Column:
+    """cover_rank() for an array of different terms; 0 for an empty one."""
     weight = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))
-    start = F.struct(F.array(*(F.struct(F.lit(-1).alias("at"), F.lit(1.0).alias("w")) for _ in terms)).alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("begun"))
+    none = F.transform(terms, lambda _: F.struct(F.lit(-1).alias("at"), F.lit(1.0).alias("w")))
+    start = F.struct(none.alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("begun"))
 
     def step(acc: Column, x: Column) -> Column:
-        met = F.array(*(F.lit(t) == x["lexeme"] for t in terms))
-        last = F.zip_with(acc["last"], met, lambda p, m: F.when(m, F.struct(x["at"].alias("at"), weight[x["letter"]].alias("w"))).otherwise(p))
+        last = F.zip_with(acc["last"], terms, lambda p, t: F.when(t == x["lexeme"], F.struct(x["at"].alias("at"), weight[x["letter"]].alias("w"))).otherwise(p))
 
         def added(last: Column) -> Column:
             low = F.array_min(F.transform(last, lambda p: p["at"]))
-            worth = len(terms) / F.aggregate(last, F.lit(0.0), lambda a, p: a + 1 / p["w"]) / (x["at"] - low + 2 - len(terms))
+            worth = F.size(last) / F.aggregate(last, F.lit(0.0), lambda a, p: a + 1 / p["w"]) / (x["at"] - low + 2 - F.size(last))
             fresh = (low >= 0) & (low > acc["begun"])  # a cover that starts where the last one did isn't minimal
             return F.struct(last.alias("last"), F.when(fresh, acc["total"] + worth).otherwise(acc["total"]).alias("total"), F.when(fresh, low).otherwise(acc["begun"]).alias("begun"))
 
         return F.get(F.transform(F.array(last), added), F.lit(0))
 
-    return F.aggregate(F.filter(vector, lambda x: x["lexeme"].isin(terms)), start, step)["total"]
+    return F.aggregate(F.filter(vector, lambda x: F.array_contains(terms, x["lexeme"])), start, step)["total"]
+
+
+#: A parsed query: alternatives of terms, each negated or not, with the places of its phrase.
+PARSED = "array<array<struct<negated:boolean,phrase:array<struct<at:int,lexeme:string>>>>>"
+
+
+def parsed_queries(query: Column) -> Column:
+    """lexemes() of a column of queries, as PARSED; empty for null and blank ones."""
+    @F.pandas_udf(PARSED)
+    def parse(texts: pd.Series) -> pd.Series:
+        return pd.Series([[[{"negated": negated, "phrase": [{"at": i, "lexeme": w} for i, w in phrase]} for negated, phrase in alt] for alt in lexemes(t or "")] for t in texts])
+
+    return parse(query)
+
+
+def positive(parsed: Column) -> Column:
+    """The different lexemes of a parsed query's terms that aren't negated, in order."""
+    words = F.transform(F.flatten(parsed), lambda t: F.when(~t["negated"], t["phrase"]["lexeme"]).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.flatten(words)))
+
+
+def answers_parsed(vector: Column, parsed: Column) -> Column:
+    """answers() for a column of parsed queries."""
+
+    def has(phrase: Column) -> Column:
+        first = F.get(phrase, F.lit(0))
+        held = lambda x, p: F.exists(vector, lambda y: (y["lexeme"] == p["lexeme"]) & (y["at"] == x["at"] + p["at"] - first["at"]))
+        return F.exists(F.filter(vector, lambda x: x["lexeme"] == first["lexeme"]), lambda x: F.forall(phrase, lambda p: held(x, p)))
+
+    return F.exists(parsed, lambda alt: F.forall(alt, lambda t: has(t["phrase"]) != t["negated"]))

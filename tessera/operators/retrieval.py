@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import islice
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .nearest import BLOCK_ROWS, topk_batch
 
 DEPTH, RRF_K = 30, 60
 
@@ -30,77 +28,12 @@ def dense_topk(vectors: DataFrame, query: list[float], k: int = DEPTH) -> DataFr
     return vectors.withColumn("score", score).orderBy(F.desc("score"), "entity_id").limit(k)
 
 
-def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors padded to one width, and their lengths; nan where there is none or an element is null."""
-    rows = [[] if x is None else [np.nan if v is None else v for v in x] for x in rows]
-    sizes = np.array([len(x) for x in rows])
-    out = np.zeros((len(rows), max(sizes, default=0)))
-    for i, x in enumerate(rows):
-        out[i, : len(x)] = x
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return out / np.sqrt((out * out).sum(1, keepdims=True)), sizes
-
-
-def _best(columns: list[np.ndarray], k: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of columns (query, score, id, ...) the k best rows of each query, in order, and their ranks from 0."""
-    order = np.lexsort((columns[2], -columns[1], columns[0]))
-    query = columns[0][order]
-    rank = np.arange(len(query)) - np.searchsorted(query, query)
-    return [c[order[rank < k]] for c in columns], rank[rank < k]
-
-
-def _scored(schema, names: list[str], ids: list, embeddings: list, k: int, rows: int = 256):
-    """A function for mapInArrow: the k best vectors of its task for each query of a block."""
-
-    def run(batches):
-        queries, sizes = _matrix(embeddings)
-        held, floor, last = None, np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo("int64").max)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                entity = np.array(part.column("entity_id").to_pylist(), "int64")
-                vectors, lengths = _matrix(part.column("embedding").to_pylist())
-                width = min(queries.shape[1], vectors.shape[1])
-                score = np.round(queries[:, :width] @ vectors[:, :width].T, 6)
-                score[np.isnan(score) | (sizes[:, None] != lengths)] = -np.inf  # no score: last
-                q, r = np.nonzero((score > floor[:, None]) | ((score == floor[:, None]) & (entity < last[:, None])))
-                if len(q):
-                    new = [q, score[q, r], entity[r], *(np.array([*part.column(n).to_pylist(), None], object)[:-1][r] for n in names)]
-                    held, rank = _best(new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)], k)
-                    full = rank == k - 1
-                    floor[held[0][full]], last[held[0][full]] = held[1][full], held[2][full]
-        if held is not None:
-            score = [None if x == -np.inf else x for x in held[1].tolist()]
-            out = [[ids[i] for i in held[0]], held[2].tolist(), score, *(c.tolist() for c in held[3:])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema, strict=True)], schema=schema)
-
-    return run
-
-
-def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = 2048) -> DataFrame:
-    """query_id, entity_id, score and the other columns of vectors: the k vectors of greatest cosine for each query.
-
-    An exact scan for each block of queries. A task keeps k rows of each query of the block, and
-    ranks over the tasks' rows choose among them. queries: query_id and embedding; the driver holds
-    a block at a time.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def dense_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, block: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, entity_id, score and the other columns of vectors: the k vectors of greatest cosine for each query (query_id, embedding).
 
-    if k < 0:
-        raise ValueError("k must not be negative")
-    names = [c for c in vectors.columns if c not in ("entity_id", "embedding")]
-    out = StructType([StructField("query_id", queries.schema["query_id"].dataType), vectors.schema["entity_id"], StructField("score", DoubleType()), *(vectors.schema[n] for n in names)])
-    if k == 0:
-        return vectors.sparkSession.createDataFrame([], out)
-    vectors, rows, parts = vectors.where("entity_id is not null"), queries.select("query_id", "embedding").toLocalIterator(), []
-    while part := list(islice(rows, block)):
-        run = _scored(to_arrow_schema(out), names, [x.query_id for x in part], [x.embedding for x in part], k)
-        parts.append(vectors.mapInArrow(run, out))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], out)
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
-    return reduce(DataFrame.unionAll, parts).withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= k).drop("__rank")
+    block: about how many vectors, and how many queries, meet in a task.
+    """
+    return topk_batch(vectors, queries, k, None, block, block)
 
 
 def with_search_vector(entities: DataFrame, fields: dict[str, str]) -> DataFrame:

@@ -16,8 +16,8 @@ from ..operators import jobs as J
 from ..operators import latency as L
 from ..operators import projects as P
 from ..operators import retrieval as R
-from ..sources import code
-
+from ..sources import code, shared
+from . import postings
 
 
 def now():
@@ -203,20 +203,89 @@ def stem_sql(word: str) -> str:
     return word
 
 
-#: The covers of two terms: the last place of each at every place of either, where the lower one has moved.
-KEYWORD_SQL = f"""toks as (select doc_id as entity_id, regexp_extract_all(lower(coalesce(source, '')), '[a-z0-9]+') as a, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as d from documents),
+FIELDS = {"A": "source", "D": "text"}
+INDEXES: dict[tuple, postings.Index] = {}
+
+
+def keyword_index(spark, d) -> postings.Index:
+    """The postings of all documents: built by the first query of a session that needs them, and again where the files differ."""
+    key = (spark.sparkContext.applicationId, d, shared.files_of(spark, f"{d}/documents.parquet"))
+    if key not in INDEXES:
+        INDEXES[key] = postings.build(keyword_docs(spark, d), FIELDS, f"{shared.shared_dir(spark)}/postings")
+    return INDEXES[key]
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)
+LEXEMES_SQL = f"""toks as (select doc_id as entity_id, regexp_extract_all(lower(coalesce(source, '')), '[a-z0-9]+') as a, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as d from documents),
 words as (select entity_id, unnest(a || d) as w, generate_subscripts(a || d, 1) - 1 as pos, len(a) as na from toks),
-lexemes as (select entity_id, pos, case when pos < na then 1.0::double else 0.1::double end as weight, {stem_sql("w")} as lexeme from words where w not in ({", ".join(f"'{w}'" for w in T.STOP)})),
-places as (select *, last_value(case when lexeme = '{T.stem_of("ering")}' then pos end ignore nulls) over upto as at1, last_value(case when lexeme = '{T.stem_of("ering")}' then weight end ignore nulls) over upto as w1,
-    last_value(case when lexeme = '{T.stem_of("thble")}' then pos end ignore nulls) over upto as at2, last_value(case when lexeme = '{T.stem_of("thble")}' then weight end ignore nulls) over upto as w2
-    from lexemes where lexeme in ('{T.stem_of("ering")}', '{T.stem_of("thble")}') window upto as (partition by entity_id order by pos rows between unbounded preceding and current row)),
-covers as (select *, least(at1, at2) as low, lag(least(at1, at2)) over (partition by entity_id order by pos) as before from places where at1 is not null and at2 is not null),
-keyword as (select entity_id, round(sum(2 / (1 / w1 + 1 / w2) / (pos - low)), 9) as score from covers where before is null or low > before group by entity_id order by score desc, entity_id limit 30)"""
+lexemes as (select entity_id, pos, case when pos < na then 1.0::double else 0.1::double end as weight, {stem_sql("w")} as lexeme from words where w not in ({STOP_SQL}))"""
+
+
+def covers_sql(terms: str) -> str:
+    """Scores of entities for pairs of terms (query_id, t1, t2), which may be one term twice.
+
+    The covers of two terms: the last place of each at every place of either, where the lower one has moved.
+    """
+    last = lambda t, of: f"last_value(case when lexeme = {t} then {of} end ignore nulls) over upto"
+    return f"""{LEXEMES_SQL}, terms as ({terms}),
+places as (select *, {last("t1", "pos")} as at1, {last("t1", "weight")} as w1, {last("t2", "pos")} as at2, {last("t2", "weight")} as w2
+    from lexemes join terms on lexeme in (t1, t2) window upto as (partition by query_id, entity_id order by pos rows between unbounded preceding and current row)),
+covers as (select *, least(at1, at2) as low, lag(least(at1, at2)) over (partition by query_id, entity_id order by pos) as before from places where at1 is not null and at2 is not null),
+scored as (select query_id, entity_id, round(sum(case when t1 = t2 then weight else 2 / (1 / w1 + 1 / w2) / (pos - low) end), 9) as score from covers where before is null or low > before group by query_id, entity_id)"""
+
+
+def one_pair(a: str, b: str) -> str:
+    return f"select 0 as query_id, '{T.stem_of(a)}' as t1, '{T.stem_of(b)}' as t2"
+
+
+KEYWORD_SQL = covers_sql(one_pair(*SEARCH_WORDS.split())) + ", keyword as (select entity_id, score from scored order by score desc, entity_id limit 30)"
 
 
 @query(f"with {KEYWORD_SQL} select entity_id, score from keyword")
 def keyword_rank(spark, d):
-    return R.keyword_topk(keyword_docs(spark, d), SEARCH_WORDS, {"A": "source", "D": "text"}, R.DEPTH)
+    """The best answers to one query, from the postings of its two lexemes."""
+    return postings.keyword_topk(keyword_index(spark, d), SEARCH_WORDS, R.DEPTH)
+
+
+PAIR, APART = ("eriner", "thanea"), ("attion", "anea")
+
+
+@query(f"with {covers_sql(one_pair(*PAIR))} select entity_id, score from scored where exists (from lexemes a join lexemes b on a.entity_id = b.entity_id and b.pos = a.pos + 1 where a.entity_id = scored.entity_id and a.lexeme = '{T.stem_of(PAIR[0])}' and b.lexeme = '{T.stem_of(PAIR[1])}') order by score desc, entity_id limit 30")
+def keyword_phrase(spark, d):
+    """Two words side by side; the rank counts all their covers."""
+    return postings.keyword_topk(keyword_index(spark, d), f'"{" ".join(PAIR)}"', R.DEPTH)
+
+
+@query(f"with {covers_sql(one_pair(*APART))} select entity_id, coalesce(score, 0.0) as score from (select distinct entity_id from places) left join scored using (entity_id) order by score desc, entity_id limit 30")
+def keyword_or(spark, d):
+    """Either of two words; only entities with both have covers."""
+    return postings.keyword_topk(keyword_index(spark, d), " or ".join(APART), R.DEPTH)
+
+
+@query(f"with {covers_sql(one_pair(APART[0], APART[0]))} select entity_id, score from scored where entity_id not in (select entity_id from lexemes where lexeme = '{T.stem_of(APART[1])}') order by score desc, entity_id limit 30")
+def keyword_not(spark, d):
+    """One word without another."""
+    return postings.keyword_topk(keyword_index(spark, d), f"{APART[0]} -{APART[1]}", R.DEPTH)
+
+
+def own_queries(spark, d) -> DataFrame:
+    """For each query vector the text of its keyword query: of its document's words the two with the least SHA-256."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    asked = docs.join(search_queries(spark, d).select("query_id").distinct(), "query_id", "left_semi")
+    words = F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda w: ~w.isin(T.STOP))
+    least = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.sha2(w.cast("binary"), 256).alias("h"), w.alias("w")))), 1, 2)
+    return asked.select("query_id", F.array_join(least["w"], " ").alias("query"))
+
+
+OWN_SQL = f"""select query_id, min(lexeme) as t1, max(lexeme) as t2 from (select doc_id as query_id, {stem_sql("w")} as lexeme from (
+    select doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) as w from documents where doc_id in (select vec_id from embeddings where vec_id % 100 = 0))
+    where w not in ({STOP_SQL}) qualify row_number() over (partition by doc_id order by sha256(w), w) <= 2) group by query_id"""
+
+
+@query(f"with {covers_sql(OWN_SQL)} select query_id, entity_id, score from scored qualify row_number() over (partition by query_id order by score desc, entity_id) <= 30")
+def keyword_topk_batch(spark, d):
+    """The keyword query of every query vector, against all documents."""
+    return postings.keyword_batch(keyword_index(spark, d), own_queries(spark, d), R.DEPTH)
 
 
 RANKS_SQL = "ranks as (select doc_id as entity_id, row_number() over (order by n_chars desc, doc_id) as rank from documents union all select doc_id, row_number() over (order by sha256(text), doc_id) from documents)"
@@ -245,21 +314,20 @@ def search_hydrated(spark, d):
     return R.hydrated(top, docs, {"file_path": F.coalesce("source", F.lit("")), "entity_type": F.coalesce("lang", F.lit("")), "end_line": F.coalesce("n_chars", F.lit(0))})
 
 
-HYBRID_SQL = f"""{KEYWORD_SQL},
+HYBRID_SQL = f"""{covers_sql(OWN_SQL)},
 asked as (select vec_id as query_id, embedding from embeddings where vec_id % 100 = 0),
 dense as (select query_id, vec_id as entity_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, asked q),
 near as (select query_id, entity_id, row_number() over (partition by query_id order by score desc, entity_id) as rank from dense qualify rank <= 30),
-lists as (select * from near union all select query_id, entity_id, row_number() over (partition by query_id order by score desc, entity_id) from asked, keyword),
+lists as (select * from near union all select query_id, entity_id, row_number() over (partition by query_id order by score desc, entity_id) as rank from scored qualify rank <= 30),
 fused as (select query_id, entity_id, round(sum(1.0::double / (60 + rank)), 12) as score, min(rank) as best_rank from lists group by query_id, entity_id),
 top as (select query_id, entity_id, round(score / max(score) over (partition by query_id), 9) as score, row_number() over (partition by query_id order by score desc, best_rank, entity_id) as place from fused qualify place <= 10)"""
 
 
 @query(f"with {HYBRID_SQL} select query_id, place, entity_id, score, coalesce(source, '') as file_path, coalesce(lang, '') as entity_type from top join documents on doc_id = entity_id")
 def hybrid_search(spark, d):
-    """Every query vector's dense ranking fused with the ranking of the one keyword query, in the order of places."""
-    words = R.keyword_topk(keyword_docs(spark, d), SEARCH_WORDS, {"A": "source", "D": "text"}, R.DEPTH)
-    keyword = search_queries(spark, d).select("query_id").distinct().crossJoin(F.broadcast(words))  # a page of results
-    top = R.hybrid_batch(dense_batch_hits(spark, d).select("query_id", "entity_id", "score"), keyword)
+    """Every query vector's dense ranking fused with the ranking of its own keyword query, in the order of places."""
+    dense = dense_batch_hits(spark, d).select("query_id", "entity_id", "score")
+    top = R.hybrid_batch(dense, keyword_topk_batch(spark, d))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.coalesce("source", F.lit("")).alias("file_path"), F.coalesce("lang", F.lit("")).alias("entity_type"))
     return top.join(docs, "entity_id").select("query_id", "place", "entity_id", F.round("score", 9).alias("score"), "file_path", "entity_type").orderBy("query_id", "place")
 
