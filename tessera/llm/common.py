@@ -73,8 +73,8 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
-    """A batch in slices whose strings and binaries hold about most_bytes; a longer value is a slice of its own."""
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, most_rows: int | None = None):
+    """A batch in slices whose strings and binaries hold about most_bytes; a longer value is a slice of its own. most_rows: at most so many rows a slice."""
     held = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -83,6 +83,7 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        to = min(to, at + (most_rows or batch.num_rows))
         yield batch.slice(at, to - at)
         at = to
 
@@ -97,10 +98,10 @@ def each_batch(df: DataFrame, make, schema: str, **state) -> DataFrame:
     return each_arrow(df, of_lists, schema, **state)
 
 
-def each_arrow(df: DataFrame, make, schema: str, **state) -> DataFrame:
+def each_arrow(df: DataFrame, make, schema: str, most_rows: int | None = None, **state) -> DataFrame:
     """mapInArrow with make(**state), which returns a function from Arrow arrays to columns.
 
-    A call gets a bounded number of bytes of text, or one text. state: values broadcast to the
+    A call gets a bounded number of bytes of text, or one text, and at most most_rows rows. state: values broadcast to the
     tasks; their size must not grow with the data. A Python worker keeps a broadcast value from
     task to task, and the function made from it along with it, so what the function remembers
     (within its own bounds) serves all tasks of the worker.
@@ -115,7 +116,7 @@ def each_arrow(df: DataFrame, make, schema: str, **state) -> DataFrame:
         here = held.value
         f = here.get("made") or here.setdefault("made", make(**here["state"]))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_rows=most_rows):
                 out = f(*part.columns)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(out, types, strict=True)], schema=types)
 

@@ -43,6 +43,8 @@ PAIRS_UP_TO = 8
 LEVELS = 5
 #: Above this number of rows a table is joined by a shuffle, not broadcast (some 40 bytes a row).
 BROADCAST_ROWS = 500_000
+#: Texts that are worked on at once, at most: short ones have many signatures for their bytes.
+ROWS = 500
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -232,7 +234,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
 
         return run
 
-    return each_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()), make, "doc_id long, key binary, n_shingles long, bits binary")
+    return each_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()), make, "doc_id long, key binary, n_shingles long, bits binary", ROWS)
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -247,7 +249,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         return run
 
-    return each_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), text_of()), make, "id long, sig long")
+    return each_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), text_of()), make, "id long, sig long", ROWS)
 
 
 def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -266,7 +268,7 @@ def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
         return run
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(small(members), "id")
-    return each_arrow(chosen.select("id", "label", "blocks", "block", "text"), make, "id long, label long, blocks int, block int, features array<long>")
+    return each_arrow(chosen.select("id", "label", "blocks", "block", "text"), make, "id long, label long, blocks int, block int, features array<long>", ROWS)
 
 
 def small(df: DataFrame) -> DataFrame:
