@@ -72,18 +72,19 @@ def new_ids(rows: DataFrame, first: Column, keys: list[str] = KEYS, rows_a_bucke
     return dealt.withColumn("__nth", nth).join(F.broadcast(offset), "__b").withColumn("id", first + F.col("__before") + F.col("__nth")).drop("__b", "__nth", "__before")
 
 
-def upsert(stored: DataFrame, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def upsert(stored: DataFrame, rows: DataFrame, keys: list[str] = KEYS, after: int | None = None) -> DataFrame:
     """The snapshot after rows replace or join the stored ones by key: ids and created_at stay.
 
     rows: at most one for each key, with the columns of stored but id and created_at; these get
-    ids after the greatest stored one and their updated_at as created_at.
+    ids after the greatest stored one, or after the one given, and their updated_at as created_at.
     """
     kept = stored.select(*keys, F.col("id").alias("__id"), F.col("created_at").alias("__created"))
     matched = rows.join(kept, keys, "left").withColumn("created_at", F.coalesce("__created", "updated_at"))
     columns = stored.columns
     known = matched.where("__id is not null").withColumn("id", F.col("__id")).select(*columns)
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    fresh = matched.where("__id is null").drop("__id").crossJoin(F.broadcast(top))  # one row
+    unknown = matched.where("__id is null").drop("__id")
+    fresh = unknown.crossJoin(F.broadcast(top)) if after is None else unknown.withColumn("__top", F.lit(after))  # one row
     added = new_ids(fresh, F.col("__top") + 1, keys).select(*columns)
     return vanished(stored, rows, keys).select(*columns).unionByName(known).unionByName(added)
 

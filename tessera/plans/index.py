@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import entities as E
+from ..schemas import SEARCHED
 
 #: Describes and embeds a list of (entity_type, qualname, signature, source): [(description, vector)].
 Provider = Callable[[list[tuple[str, str, str, str]]], list[tuple[str, list[float]]]]
@@ -55,11 +57,13 @@ def index(parsed: DataFrame, stored: DataFrame, vectors: DataFrame, project_id:
 
     stored: the project's entities; vectors: (entity_id, embedding, entity_type). write: stores a
     frame and reads it back, used where a plan forks after a call that costs money. Entities
-    and vectors come from one enrichment, so neither can be there without the other.
+    and vectors come from one enrichment, so neither can be there without the other. Where stored
+    has a search_vector, changed rows get a new one. plans.indexing keeps snapshots and durable chunks itself.
     """
     diffed = write(E.diff(E.dedupe_last_wins(parsed), stored))
     fresh = write(enriched(diffed.where("bucket = 'changed'").drop("bucket", "stored_id"), provider))
-    rows = fresh.withColumns({"project_id": F.lit(project_id), "last_seen_run": F.lit(run_id), "updated_at": now}).select(*[c for c in stored.columns if c not in ("id", "created_at")])
+    made = {"search_vector": T.search_vector({k: F.col(c) for k, c in SEARCHED.items()})} if "search_vector" in stored.columns else {}
+    rows = fresh.withColumns({"project_id": F.lit(project_id), "last_seen_run": F.lit(run_id), "updated_at": now, **made}).select(*[c for c in stored.columns if c not in ("id", "created_at")])
     seen, gone = E.delete_missing(write(E.upsert(E.mark_seen(stored, diffed, run_id, now=now), rows)), run_id)
     made = fresh.join(seen.select("id", *E.KEYS), E.KEYS).select(F.col("id").alias("entity_id"), "embedding", "entity_type")
     dropped = gone.select(F.col("id").alias("entity_id")).unionByName(made.select("entity_id"))
