@@ -26,6 +26,7 @@ STOP = (
 ).split()
 #: Suffix rules in their order: plurals, participles, a final e. Patterns mean the same to Java and RE2.
 STEM = ((r"(ss|x|ch|sh|z)es$", r"$1"), (r"ie[sd]$", "y"), (r"([^aious])s$", r"$1"), (r"^([a-z0-9]*[aeiouy][a-z0-9]+)(ing|ed)$", r"$1"), (r"([a-z0-9][a-z0-9])e$", r"$1"))
+RULES = [(re.compile(pattern), kept.replace("$1", r"\1")) for pattern, kept in STEM]
 VECTOR = "array<struct<lexeme:string,at:int,letter:string>>"
 
 
@@ -35,8 +36,8 @@ def stem(word: Column) -> Column:
 
 
 def stem_of(word: str) -> str:
-    """stem() of one word of a query."""
-    return reduce(lambda w, rule: re.sub(rule[0], rule[1].replace("$1", r"\1"), w), STEM, word)
+    """stem() of one word."""
+    return reduce(lambda w, rule: rule[0].sub(rule[1], w), RULES, word) if word[-1:] in ("s", "d", "g", "e") else word
 
 
 def tokens(text: Column) -> Column:

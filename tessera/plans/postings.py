@@ -1,6 +1,6 @@
 """The inverted index behind keyword search: Parquet postings, and top-k over the postings of a query's lexemes alone.
 
-A posting is a lexeme of an entity with its places and their letters. Below `postings`, rows lie
+A posting is a lexeme of an entity with its places and their letters, as whole numbers. Below `postings`, rows lie
 in folders by segment (a hash of the entity's id, about rows_a_segment entities each, so that the
 list of a very common lexeme is cut up) and bucket (a hash of the lexeme), sorted by lexeme and
 tier; a query's filters on bucket, lexeme and tier reach the scan. An entity's tier is the
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-POSTING = "entity_id long, tier int, lexeme string, n int, worth double, top double, places array<struct<at:int,letter:string>>"
+POSTING = "entity_id long, tier int, lexeme string, n int, worth double, top double, places array<int>"
+#: A place is stored as its number times four and the number of its letter here.
+LETTERS = "ABCD"
+#: The bytes of tokens.
+IN_TOKEN = np.array([48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
 #: Rows of an Arrow batch that are turned into postings at once.
 ROWS = 512
 #: Up to so many ids are broadcast as candidates; their number is known from the impacts.
@@ -43,39 +47,57 @@ class Index(NamedTuple):
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
+def _tokens(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each token, tokens): the runs of a-z and 0-9 of lower-cased texts, all at once."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if column.buffers()[2] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    letter = IN_TOKEN[data]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    starts = ends[:-1][ends[:-1] < ends[1:]]
+    first[starts] = letter[starts]  # a text's first token doesn't go on the last one's
+    begin = np.flatnonzero(first)
+    before = np.append(0, letter.cumsum())
+    offsets = np.append(before[begin], before[-1]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[letter].tobytes()))
+    return np.searchsorted(ends, begin, "right") - 1, words
+
+
 def _made(letters: str):
-    """A function for mapInArrow: the postings of (entity_id, an array of tokens for each letter)."""
-    weights = np.array([T.WEIGHTS[x] for x in letters])
+    """A function for mapInArrow: the postings of (entity_id, a lower-cased text for each letter)."""
+    weights, codes = np.array([T.WEIGHTS[x] for x in letters]), np.array([LETTERS.index(x) for x in letters])
 
     def run(batches):
         stems: dict[str, str | None] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sizes = [pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns[1:]]
+                found = [_tokens(c) for c in part.columns[1:]]
+                sizes = [np.bincount(row, minlength=part.num_rows) for row, _ in found]
                 before = np.cumsum([np.zeros(part.num_rows, np.int64), *sizes[:-1]], axis=0)
-                row = np.concatenate([np.repeat(np.arange(part.num_rows), s) for s in sizes])
-                place = np.concatenate([np.arange(s.sum()) - np.repeat(s.cumsum() - s - b, s) for s, b in zip(sizes, before)])
-                letter = np.repeat(np.arange(len(letters)), [s.sum() for s in sizes])
-                words = pa.chunked_array([c.flatten() for c in part.columns[1:]], pa.string()).combine_chunks().dictionary_encode()
+                row = np.concatenate([r for r, _ in found])
+                place = np.concatenate([np.arange(len(r)) - (s.cumsum() - s - b)[r] for (r, _), s, b in zip(found, sizes, before)])
+                letter = np.repeat(np.arange(len(letters)), [len(r) for r, _ in found])
+                words = pa.chunked_array([w for _, w in found], pa.large_string()).combine_chunks().dictionary_encode()
                 known: dict[str, int] = {}
                 of = np.zeros(len(words.dictionary), np.int64)
                 for i, w in enumerate(words.dictionary.to_pylist()):  # a stem is made once for each different word
                     s = stems[w] if w in stems else stems.setdefault(w, None if w in T.STOP else T.stem_of(w))
                     of[i] = -1 if s is None else known.setdefault(s, len(known))
-                if len(stems) > 1_000_000:
+                if len(stems) > 200_000:
                     stems.clear()
                 lexeme = of[words.indices.to_numpy()] if len(row) else np.zeros(0, np.int64)
                 kept = np.flatnonzero(lexeme >= 0)
-                order = kept[np.lexsort((place[kept], lexeme[kept], row[kept]))]
+                order = kept[np.argsort(row[kept] * (len(known) + 1) + lexeme[kept], kind="stable")]  # places rise already
                 row, place, letter, lexeme = row[order], place[order], letter[order], lexeme[order]
                 begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (lexeme[1:] != lexeme[:-1]))) if len(row) else np.zeros(0, np.int64)
                 n = np.diff(np.append(begin, len(row)))
                 tier = np.floor(np.log2(np.bincount(row, minlength=part.num_rows) + 1)).astype(np.int32)
                 w = weights[letter]
                 worth, top = (f.reduceat(w, begin) if len(begin) else np.zeros(0) for f in (np.add, np.maximum))
-                places = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(np.array(list(letters), object)[letter], pa.string())], names=["at", "letter"])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), places)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array((place * len(LETTERS) + codes[letter]).astype(np.int32)))
                 names = pa.array(list(known), pa.string()).take(pa.array(lexeme[begin], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row[begin], pa.int64())).cast(pa.int64()), pa.array(tier[row[begin]], pa.int32()), names, pa.array(n, pa.int32()), pa.array(worth), pa.array(top), lists],
@@ -85,9 +107,15 @@ def _made(letters: str):
     return run
 
 
+def decoded(places: Column, lexeme: Column) -> Column:
+    """A posting's places as structs of at, lexeme and letter."""
+    letters = F.array(*map(F.lit, LETTERS))
+    return F.transform(places, lambda p: F.struct((p / len(LETTERS)).cast("int").alias("at"), lexeme.alias("lexeme"), F.get(letters, p % len(LETTERS)).alias("letter")))
+
+
 def postings_of(entities: DataFrame, fields: dict[str, str], id_col: str = "entity_id") -> DataFrame:
     """The postings of entities; fields: column by weight letter. Null texts have no tokens, rows without an id are left out."""
-    rows = entities.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("entity_id"), *(T.tokens(F.col(c)).alias(f"f{letter}") for letter, c in fields.items()))
+    rows = entities.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("entity_id"), *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"f{letter}") for letter, c in fields.items()))
     return rows.mapInArrow(_made("".join(fields)), POSTING)
 
 
@@ -190,7 +218,7 @@ def _scored(index: Index, query: str, tiers: list[int] | None, k: int) -> DataFr
     rows = _of_lexemes(index, "postings", words)
     if tiers is not None:
         rows = rows.where(F.col("tier").isin(tiers))
-    each = rows.select("entity_id", F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.col("lexeme").alias("lexeme"), p["letter"].alias("letter"))).alias("places"))
+    each = rows.select("entity_id", decoded(F.col("places"), F.col("lexeme")).alias("places"))
     met = each.groupBy("entity_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("v"))  # an entity has a row for each lexeme of the query
     if any(all(negated for negated, _ in alt) for alt in parsed):  # entities without any of the words answer
         met = index.read("entities").where("entity_id is not null").select("entity_id").distinct().join(met, "entity_id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<at:int,lexeme:string,letter:string>>")))
@@ -252,7 +280,7 @@ def keyword_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     pairs = met.join(word.select("query_id", "bucket", "lexeme").distinct(), "query_id")
     places = postings.join(wanted, ["bucket", "lexeme"], "left_semi").select("bucket", "lexeme", "entity_id", "places")
     each = pairs.join(places, ["bucket", "lexeme", "entity_id"]).select(
-        "query_id", "entity_id", F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.col("lexeme").alias("lexeme"), p["letter"].alias("letter"))).alias("places"))
+        "query_id", "entity_id", decoded(F.col("places"), F.col("lexeme")).alias("places"))
     vector = each.groupBy("query_id", "entity_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("v")).join(asked, "query_id")
     scored = vector.where(T.answers_parsed(F.col("v"), F.col("parsed"))).select("query_id", "entity_id", F.round(T.cover_rank_of(F.col("v"), T.positive(F.col("parsed"))), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
