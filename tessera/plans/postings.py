@@ -1,16 +1,17 @@
 """The inverted index behind keyword search: Parquet postings, and top-k over the postings of a query's lexemes alone.
 
-A posting is a lexeme of an entity with its places and their letters, as whole numbers. Below `postings`, rows lie
-in folders by segment (a hash of the entity's id, about rows_a_segment entities each, so that the
-list of a very common lexeme is cut up) and bucket (a hash of the lexeme), sorted by lexeme and
-tier; a query's filters on bucket, lexeme and tier reach the scan. An entity's tier is the
-logarithm of its number of tokens. `impacts` has, for each lexeme and tier, how many entities hold
-it and the most it can add to a score. A tier that can't reach the k-th best score of the tiers
-before it is not read. `entities` has every id.
-
-An update by entity id rewrites the segments of these ids with Spark's dynamic partition
-overwrite; the files of other segments stay. A folder that an update leaves without postings gets
-a row without a lexeme, as Spark overwrites only folders that have rows.
+A posting is a lexeme of an entity with its places and their letters, as whole numbers. Below
+`postings`, rows lie in folders by segment (the entities of some tasks of the run that wrote them) and
+bucket (a hash of the lexeme), sorted by lexeme and tier; a query's filters on bucket, lexeme and
+tier reach the scan. Bucket -1 has a row for every entity. An entity's tier is the logarithm of its
+number of tokens. `impacts` has, for lexemes and tiers, how many entities hold one and the most
+it can add to a score. A tier that can't reach the k-th best score of the tiers before it is not read.
+
+Postings are written by the tasks that read the texts: nothing is shuffled. An update by entity id
+takes the ids out of the segments that have them, which alone are written again with Spark's
+dynamic partition overwrite, and puts what is new into segments of its own; files of other segments
+stay. A folder that is left without postings gets a row without a lexeme, as Spark overwrites only
+folders that have rows.
 """
 
 from __future__ import annotations
@@ -25,14 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 
-POSTING = "entity_id long, tier int, lexeme string, n int, worth double, top double, places array<int>"
+POSTING = "entity_id long, tier int, lexeme string, places array<int>"
+IMPACT = "segment int, bucket int, lexeme string, tier int, n int, worth double, top double, docs long"
 #: A place is stored as its number times four and the number of its letter here.
 LETTERS = "ABCD"
 #: The bytes of tokens.
 IN_TOKEN = np.array([48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
 #: Rows of an Arrow batch that are turned into postings at once.
 ROWS = 512
+#: Segments that a run makes at most, and the bucket of the entities themselves.
+MOST_SEGMENTS, ENTITIES = 1024, -1
 #: Up to so many ids are broadcast as candidates; their number is known from the impacts.
 BROADCAST_IDS = 1_000_000
 
@@ -41,7 +46,6 @@ class Index(NamedTuple):
     spark: SparkSession
     path: str
     buckets: int
-    segments: int
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -66,8 +70,8 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _made(letters: str):
-    """A function for mapInArrow: the postings of (entity_id, a lower-cased text for each letter)."""
-    weights, codes = np.array([T.WEIGHTS[x] for x in letters]), np.array([LETTERS.index(x) for x in letters])
+    """A function for mapInArrow: the postings of (entity_id, a lower-cased text for each letter), and a row without a lexeme for each entity."""
+    codes = np.array([LETTERS.index(x) for x in letters])
 
     def run(batches):
         stems: dict[str, str | None] = {}
@@ -93,16 +97,13 @@ def _made(letters: str):
                 order = kept[np.argsort(row[kept] * (len(known) + 1) + lexeme[kept], kind="stable")]  # places rise already
                 row, place, letter, lexeme = row[order], place[order], letter[order], lexeme[order]
                 begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (lexeme[1:] != lexeme[:-1]))) if len(row) else np.zeros(0, np.int64)
-                n = np.diff(np.append(begin, len(row)))
                 tier = np.floor(np.log2(np.bincount(row, minlength=part.num_rows) + 1)).astype(np.int32)
-                w = weights[letter]
-                worth, top = (f.reduceat(w, begin) if len(begin) else np.zeros(0) for f in (np.add, np.maximum))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array((place * len(LETTERS) + codes[letter]).astype(np.int32)))
-                names = pa.array(list(known), pa.string()).take(pa.array(lexeme[begin], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row[begin], pa.int64())).cast(pa.int64()), pa.array(tier[row[begin]], pa.int32()), names, pa.array(n, pa.int32()), pa.array(worth), pa.array(top), lists],
-                    names=["entity_id", "tier", "lexeme", "n", "worth", "top", "places"],
-                )
+                places = pa.array((place * len(LETTERS) + codes[letter]).astype(np.int32))
+                ends = np.append(begin, len(row))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(ends, np.full(part.num_rows, len(row))), pa.int32()), places)  # an entity's own row has none
+                names = pa.array(list(known), pa.string()).take(pa.array(np.append(lexeme[begin], np.zeros(part.num_rows, np.int64)), pa.int64(), mask=np.append(np.zeros(len(begin), bool), np.ones(part.num_rows, bool))))
+                of_row = np.append(row[begin], np.arange(part.num_rows)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of_row)).cast(pa.int64()), pa.array(tier[of_row], pa.int32()), names, lists], names=["entity_id", "tier", "lexeme", "places"])
 
     return run
 
@@ -114,7 +115,7 @@ def decoded(places: Column, lexeme: Column) -> Column:
 
 
 def postings_of(entities: DataFrame, fields: dict[str, str], id_col: str = "entity_id") -> DataFrame:
-    """The postings of entities; fields: column by weight letter. Null texts have no tokens, rows without an id are left out."""
+    """The postings of entities and their own rows; fields: column by weight letter. Null texts have no tokens, rows without an id are left out."""
     rows = entities.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("entity_id"), *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"f{letter}") for letter, c in fields.items()))
     return rows.mapInArrow(_made("".join(fields)), POSTING)
 
@@ -123,60 +124,86 @@ def bucket_of(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def segment_of(entity_id: Column, segments: int) -> Column:
-    return F.pmod(F.xxhash64(entity_id.cast("long")), F.lit(segments)).cast("int")
+def _impacts(batches):
+    """For mapInArrow over (segment, bucket, lexeme, tier, places): a row for each lexeme and tier of a batch."""
+    weights = np.array([T.WEIGHTS[x] for x in LETTERS])
+    for batch in batches:
+        rows = batch.filter(pc.is_valid(batch.column(2)))
+        if not rows.num_rows:
+            continue
+        lists = rows.column(4)
+        n = pc.list_value_length(lists).to_numpy()
+        w = weights[pc.list_flatten(lists).to_numpy() % len(LETTERS)]
+        begin = n.cumsum() - n
+        table = pa.table([*rows.columns[:4], pa.array(n, pa.int32()), pa.array(np.add.reduceat(w, begin)), pa.array(np.maximum.reduceat(w, begin))], names=["segment", "bucket", "lexeme", "tier", "n", "worth", "top"])
+        most = table.group_by(["segment", "bucket", "lexeme", "tier"]).aggregate([("n", "max"), ("worth", "max"), ("top", "max"), ("n", "count")])
+        most = most.select(["segment", "bucket", "lexeme", "tier", "n_max", "worth_max", "top_max", "n_count"]).rename_columns(["segment", "bucket", "lexeme", "tier", "n", "worth", "top", "docs"])
+        yield from most.to_batches()
 
 
-def _store(index: Index, postings: DataFrame, ids: DataFrame, segments: DataFrame | None = None) -> None:
-    """Writes postings, impacts and ids; segments: those that are rewritten, all by default."""
-    spark, by = index.spark, ["segment", "bucket"]
-    dealt = postings.withColumns({"segment": segment_of(F.col("entity_id"), index.segments), "bucket": bucket_of(F.col("lexeme"), index.buckets)})
-    touched = spark.range(index.segments).select(F.col("id").cast("int").alias("segment")) if segments is None else segments
-    empty = touched.select("segment", F.explode(F.sequence(F.lit(0), F.lit(index.buckets - 1))).alias("bucket"))
-    rows = dealt.unionByName(empty, allowMissingColumns=True)
+def _put(index: Index, rows: DataFrame, name: str) -> None:
+    """Writes rows into their folders, sorted; folders that have rows here are written again."""
+    by = ["segment", "bucket"]
+    rows.sortWithinPartitions(*by, "lexeme", "tier").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(f"{index.path}/{name}")
 
-    def put(df: DataFrame, name: str, partitions: list[str]) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(f"{index.path}/{name}")
 
-    put(rows.repartition(*by).sortWithinPartitions(*by, "lexeme", "tier", "entity_id"), "postings", by)
-    new = index.read("postings") if segments is None else index.read("postings").join(F.broadcast(segments), "segment", "left_semi")
-    most = new.groupBy(*by, "lexeme", "tier").agg(F.max("n").alias("n"), F.max("worth").alias("worth"), F.max("top").alias("top"), F.count("entity_id").alias("docs"))
-    put(most.repartition(*by).sortWithinPartitions(*by, "lexeme", "tier"), "impacts", by)
-    held = ids.select(F.col("entity_id").cast("long").alias("entity_id"), segment_of(F.col("entity_id"), index.segments).alias("segment"))
-    put(held.unionByName(touched, allowMissingColumns=True).repartition("segment"), "entities", ["segment"])
+def _put_impacts(index: Index, segments: list[int] | None = None) -> None:
+    rows = index.read("postings").select("segment", "bucket", "lexeme", "tier", "places")
+    if segments is not None:
+        rows = rows.where(F.col("segment").isin(segments))
+    made = rows.mapInArrow(_impacts, IMPACT)
+    if segments is not None:
+        made = made.unionByName(_folders(index, segments), allowMissingColumns=True)
+    _put(index, made, "impacts")
 
 
-def build(entities: DataFrame, fields: dict[str, str], path: str, id_col: str = "entity_id", buckets: int = 16, rows_a_segment: int = 1_000_000) -> Index:
+def _folders(index: Index, segments: list[int]) -> DataFrame:
+    """A row without a lexeme for each folder of some segments."""
+    each = index.spark.createDataFrame([(s,) for s in segments], "segment int")
+    return each.select("segment", F.explode(F.sequence(F.lit(ENTITIES), F.lit(index.buckets - 1))).alias("bucket")).coalesce(1)
+
+
+def _in_folders(index: Index, postings: DataFrame, first: int) -> DataFrame:
+    """Postings with segment, by the task that makes them, and bucket."""
+    bucket = F.when(F.col("lexeme").isNull(), ENTITIES).otherwise(bucket_of(F.col("lexeme"), index.buckets))
+    return postings.withColumns({"segment": (F.lit(first) + F.spark_partition_id() % MOST_SEGMENTS).cast("int"), "bucket": bucket})
+
+
+def build(entities: DataFrame, fields: dict[str, str], path: str, id_col: str = "entity_id", buckets: int = 16) -> Index:
     """A new index below path. Ids are keys: rows that repeat one are one entity's places twice."""
     spark = entities.sparkSession
-    segments = entities.count() // rows_a_segment + 1
-    spark.createDataFrame([(buckets, segments)], "buckets int, segments int").coalesce(1).write.parquet(f"{path}/shape")
-    index = Index(spark, path, buckets, segments)
-    _store(index, postings_of(entities, fields, id_col), entities.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("entity_id")))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/shape")
+    index = Index(spark, path, buckets)
+    for name, columns in (("postings", f"{POSTING}, segment int, bucket int"), ("impacts", IMPACT)):  # an empty table has a schema, too
+        spark.createDataFrame([(0, ENTITIES)], "segment int, bucket int").select(*(F.lit(None).cast(kind).alias(c) if c not in ("segment", "bucket") else F.col(c) for c, kind in (x.split(" ", 1) for x in columns.split(", ")))).write.partitionBy("segment", "bucket").parquet(f"{path}/{name}")
+    _put(index, _in_folders(index, postings_of(entities, fields, id_col), 1), "postings")
+    _put_impacts(index)
     return index
 
 
 def opened(spark: SparkSession, path: str) -> Index:
-    shape = spark.read.parquet(f"{path}/shape").first()
-    return Index(spark, path, shape["buckets"], shape["segments"])
+    return Index(spark, path, spark.read.parquet(f"{path}/shape").first()["buckets"])
 
 
 def update(index: Index, changed: DataFrame, fields: dict[str, str], gone: DataFrame | None = None, id_col: str = "entity_id") -> None:
-    """Replaces or adds the postings of changed entities and drops those of gone (id_col): only the segments of these ids are rewritten.
+    """Replaces or adds the postings of changed entities and drops those of gone (id_col): only the segments that have these ids are written again.
 
-    The new segments are stored apart before they take the old ones' places, as these are read for them.
+    Their new content is stored apart before it takes the old one's place, as that is read for it.
     """
-    from ..sources.shared import written
-
-    ids = changed.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("entity_id"))
-    out = ids if gone is None else ids.unionByName(gone.select(F.col(id_col).cast("long").alias("entity_id")))
-    out = written(out.distinct(), "out")
-    segments = written(out.select(segment_of(F.col("entity_id"), index.segments).alias("segment")).distinct(), "segments")  # at most index.segments rows
-    kept = index.read("postings").join(F.broadcast(segments), "segment", "left_semi").where("entity_id is not null").join(out, "entity_id", "left_anti")
-    columns = [c.split(" ")[0] for c in POSTING.split(", ")[:6]] + ["places"]
-    postings = written(kept.select(*columns).unionByName(postings_of(changed, fields, id_col).select(*columns)), "postings")
-    stay = index.read("entities").join(F.broadcast(segments), "segment", "left_semi").where("entity_id is not null").join(out, "entity_id", "left_anti")
-    _store(index, postings, written(stay.select("entity_id").unionByName(ids.distinct()), "ids"), segments)
+    ids = changed.select(F.col(id_col).cast("long").alias("entity_id"))
+    out = written((ids if gone is None else ids.unionByName(gone.select(F.col(id_col).cast("long").alias("entity_id")))).where("entity_id is not null").distinct(), "out")
+    held = index.read("postings")
+    few = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
+    own = held.where(F.col("bucket") == ENTITIES)
+    segments = sorted(r["segment"] for r in own.join(few, "entity_id", "left_semi").select("segment").distinct().collect())  # MOST_SEGMENTS for each run
+    first = (own.agg(F.max("segment").alias("s")).first()["s"] or 0) + 1
+    columns = [*(c.split(" ")[0] for c in POSTING.split(", ")), "segment", "bucket"]
+    kept = held.where(F.col("segment").isin(segments)).where("entity_id is not null").join(few, "entity_id", "left_anti").select(*columns)
+    kept = written(kept, "kept")
+    new = written(_in_folders(index, postings_of(changed, fields, id_col), first).select(*columns), "new")
+    added = sorted(r["segment"] for r in new.select("segment").distinct().collect())
+    _put(index, kept.unionByName(new).unionByName(_folders(index, segments), allowMissingColumns=True), "postings")
+    _put_impacts(index, segments + added)
 
 
 # --- one query ---------------------------------------------------------------------------------
@@ -221,7 +248,7 @@ def _scored(index: Index, query: str, tiers: list[int] | None, k: int) -> DataFr
     each = rows.select("entity_id", decoded(F.col("places"), F.col("lexeme")).alias("places"))
     met = each.groupBy("entity_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("v"))  # an entity has a row for each lexeme of the query
     if any(all(negated for negated, _ in alt) for alt in parsed):  # entities without any of the words answer
-        met = index.read("entities").where("entity_id is not null").select("entity_id").distinct().join(met, "entity_id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<at:int,lexeme:string,letter:string>>")))
+        met = index.read("postings").where((F.col("bucket") == ENTITIES) & F.col("entity_id").isNotNull()).select("entity_id").distinct().join(met, "entity_id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<at:int,lexeme:string,letter:string>>")))
     vector = F.transform("v", lambda x: F.struct(x["lexeme"].alias("lexeme"), x["at"].alias("at"), x["letter"].alias("letter"))).cast(T.VECTOR)
     score = F.transform(F.array(vector), lambda v: F.when(T.answers(v, query), F.round(T.cover_rank(v, query), 9)))
     return met.select("entity_id", F.get(score, F.lit(0)).alias("score")).where("score is not null").orderBy(F.desc("score"), "entity_id").limit(k)
@@ -275,7 +302,7 @@ def keyword_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     wanted = word.select("bucket", "lexeme").distinct()
     df = index.read("impacts").join(wanted, ["bucket", "lexeme"], "left_semi").groupBy("lexeme").agg(F.sum("docs").alias("docs"))
     rarest = word.where("not negated").join(df, "lexeme", "left").groupBy("query_id", "alt").agg(F.min_by(F.struct("bucket", "lexeme"), F.struct(F.coalesce("docs", F.lit(0)), F.col("lexeme"))).alias("r"))
-    postings = index.read("postings").where("entity_id is not null")
+    postings = index.read("postings").where((F.col("bucket") != ENTITIES) & F.col("lexeme").isNotNull())
     met = rarest.select("query_id", "r.bucket", "r.lexeme").distinct().join(postings.select("bucket", "lexeme", "entity_id"), ["bucket", "lexeme"]).select("query_id", "entity_id").distinct()
     pairs = met.join(word.select("query_id", "bucket", "lexeme").distinct(), "query_id")
     places = postings.join(wanted, ["bucket", "lexeme"], "left_semi").select("bucket", "lexeme", "entity_id", "places")

@@ -32,7 +32,7 @@ def plain(df, query, k):
 @pytest.fixture(scope="module")
 def built(spark):
     df = entities(spark, 300).cache()
-    return df, postings.build(df, FIELDS, f"{shared_dir(spark)}/index", buckets=4, rows_a_segment=100)
+    return df, postings.build(df, FIELDS, f"{shared_dir(spark)}/index", buckets=4)
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -77,20 +77,22 @@ def test_tiers_that_cannot_reach_are_skipped(spark):
 
 
 def test_update_by_entity(spark):
-    df = entities(spark, 300)
+    df = entities(spark, 300).repartition(8)
     path = f"{shared_dir(spark)}/index"
-    index = postings.build(df, FIELDS, path, buckets=4, rows_a_segment=60)
+    index = postings.build(df, FIELDS, path, buckets=4)
     changed = spark.createDataFrame([(5, "rare", "rare wait box"), (1000, "new", "rare"), (6, None, None)], "entity_id long, name string, text string")
     gone = spark.createDataFrame([(7,), (8,)], "entity_id long")
     local = path.removeprefix("file:")
     files = lambda: {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(f"{local}/postings") for f in names if f.endswith(".parquet")}
     before = files()
+    own = index.read("postings").where("bucket = -1")
+    touched = {r.segment for r in own.where("entity_id in (5, 6, 7, 8, 1000)").collect()}
+    most = own.agg(F.max("segment")).first()[0]
     postings.update(index, changed, FIELDS, gone)
     after = files()
-    touched = {r[0] for r in changed.select("entity_id").union(gone).select(postings.segment_of(F.col("entity_id"), index.segments)).collect()}
     segment = lambda f: int(f.split("segment=")[1].split("/")[0])
-    assert {f for f in before if segment(f) not in touched} == {f for f in after if segment(f) not in touched}
-    assert not {f for f in before if segment(f) in touched} & set(after) and len(touched) < index.segments
+    assert {f for f in before if segment(f) not in touched} == {f for f in after if segment(f) not in touched and segment(f) <= most}
+    assert not {f for f in before if segment(f) in touched} & set(after) and len(touched) < most == max(map(segment, before)) < max(map(segment, after))
     now = df.join(gone, "entity_id", "left_anti").join(changed.select("entity_id"), "entity_id", "left_anti").unionByName(changed).cache()
     again = postings.opened(spark, path)
     for query in ("rare", "wait box", "-box", "box or rare", "retry policy"):
