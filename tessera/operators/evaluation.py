@@ -67,16 +67,27 @@ def resolved(ranking: DataFrame, catalogue: DataFrame) -> DataFrame:
     return known.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "entity_id")).cast("long"))
 
 
+def _suffix(text: Column, length: Column) -> Column:
+    return F.substring(text, F.length(text) - length + 1, length)
+
+
 def label_match(labels: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(query_id, label, entity_id): a label means the entities of its name whose path it ends with, or that ends with its path.
 
-    The join is on the name; the paths are compared for rows of one name only.
+    The longer path is cut to each length that the other side has for the name, so paths meet by
+    equality: a name that most entities share compares no pair that doesn't match.
     """
     path, name = split_label(F.replace("label", F.lit("\\"), F.lit("/")))
-    wanted = labels.select("query_id", "label", path.alias("want_path"), name.alias("qualname"))
-    stored = catalogue.select("entity_id", F.replace("file_path", F.lit("\\"), F.lit("/")).alias("path"), "qualname")
-    suffix = F.endswith(F.col("path"), F.col("want_path")) | F.endswith(F.col("want_path"), F.col("path"))
-    return stored.join(small(wanted), "qualname").where(suffix).select("query_id", "label", "entity_id")
+    wanted = labels.select("query_id", "label", path.alias("want"), name.alias("qualname"))
+    names = small(wanted.select("qualname").distinct())
+    stored = catalogue.select("entity_id", F.replace("file_path", F.lit("\\"), F.lit("/")).alias("path"), "qualname").join(names, "qualname", "left_semi")
+    lengths = lambda rows, column: rows.groupBy("qualname").agg(F.collect_set(F.length(column)).alias("lengths"))
+    cut = stored.join(small(lengths(wanted, "want")), "qualname").withColumn("length", F.explode("lengths")).where(F.length("path") >= F.col("length"))
+    within = cut.select("qualname", "entity_id", _suffix(F.col("path"), F.col("length")).alias("want")).join(small(wanted), ["qualname", "want"])
+    longer = wanted.join(lengths(stored, "path"), "qualname").withColumn("length", F.explode("lengths")).where(F.length("want") > F.col("length"))
+    beyond = stored.join(small(longer.select("query_id", "label", "qualname", _suffix(F.col("want"), F.col("length")).alias("path"))), ["qualname", "path"])
+    both = ["query_id", "label", "entity_id"]
+    return within.select(*both).unionAll(beyond.select(*both))
 
 
 def label_outcomes(queries: DataFrame, ranking: DataFrame, labels: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
@@ -122,7 +133,10 @@ def anchor_count(labels: DataFrame) -> DataFrame:
 
 
 #: Words that tell nothing about a query.
-PLAIN = "a an the of to and or with for in on at by that this is are be we it its one under every when into out up so not".split()
+PLAIN = [
+    "a", "an", "the", "of", "to", "and", "or", "with", "for", "in", "on", "at", "by", "that", "this", "is",
+    "are", "be", "we", "it", "its", "one", "under", "every", "when", "into", "out", "up", "so", "not",
+]
 
 
 def distinctive_terms(query: Column) -> Column:
@@ -131,19 +145,32 @@ def distinctive_terms(query: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(PLAIN))
 
 
-def plain_jargon(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """The jargon queries (query_id, category, query) all of whose distinctive terms stand in some source (source_code) or other.
+def grams(text: Column, n: int = 4) -> Column:
+    """The different runs of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
 
-    The terms, of labelled queries only, become one pass of aggregates over the sources.
+def terms_within(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """The terms (term) that stand in some text (text) or other, as substrings.
+
+    A term has no white space and four characters at least, so it stands in one of the different
+    words of the texts. Terms and words meet by one four-character run of the term, and candidates
+    are verified. Neither terms nor texts pass the driver.
     """
+    words = texts.select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where(F.length("word") >= 4).distinct()
+    key = F.array_min(F.transform(grams(F.col("term")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram"))))["gram"]
+    wanted = terms.select("term").distinct().withColumn("gram", key)
+    met = words.select("word", F.explode(grams(F.col("word"))).alias("gram")).join(small(wanted), "gram")
+    return met.where(F.contains("word", F.col("term"))).select("term").distinct()
+
+
+def plain_jargon(queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """The jargon queries (query_id, category, query) all of whose distinctive terms stand in some source (source_code) or other."""
     terms = queries.where("category = 'jargon'").select("query_id", "query", distinctive_terms(F.col("query")).alias("terms"))
-    known = sorted({t for r in terms.select("terms").collect() for t in r["terms"]})
-    if not known:
-        return terms.limit(0)
-    low = F.lower("source_code")
-    seen = sources.agg(F.array(*(F.coalesce(F.bool_or(F.contains(low, F.lit(t))), F.lit(False)) for t in known)).alias("seen"))
-    present = seen.select(F.filter(F.array(*map(F.lit, known)), lambda t, i: F.get(F.col("seen"), i)).alias("present"))
-    return terms.crossJoin(F.broadcast(present)).where((F.size("terms") > 0) & (F.size(F.array_except("terms", "present")) == 0)).drop("present")  # one row
+    each = terms.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    found = terms_within(each.select("term"), sources.select(F.lower("source_code").alias("text")))
+    lacking = each.join(found, "term", "left_anti").select("query_id").distinct()
+    return terms.where(F.size("terms") > 0).join(lacking, "query_id", "left_anti")
 
 
 def strategies(dense: DataFrame, keyword: DataFrame, depth: int = 10) -> dict[str, DataFrame]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Seconds and attempts.
 STALE_S, BASE_S, CAP_S, ATTEMPTS, ERROR_CHARS = 120, 30, 900, 3, 2000
-#: What is said of a job that nothing can revive.
-ABANDONED = "abandoned: no worker answers and no attempts remain"
+#: The error code of a job that nobody reports on and that has no attempts left.
+ABANDONED = "worker-lost"
 
 
 def stale(now: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .evaluation import small
 
-#: How many ranges of values the percentiles' counts are dealt into.
-RANGES = 64
+#: How many ranges of values the percentiles' counts are dealt into at least, and how many values one may hold about.
+RANGES, VALUES_A_RANGE = 64, 100_000
 
 
 def percentiles(samples: DataFrame, percents: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
@@ -20,14 +20,15 @@ def percentiles(samples: DataFrame, percents: tuple[int, ...], by: tuple[str, ..
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     counts = samples.select(key.alias("key"), "ms").groupBy("key", "ms").agg(F.count("ms").alias("n"))
-    cuts = counts.groupBy("key").agg(F.percentile_approx("ms", [i / RANGES for i in range(1, RANGES)]).alias("cuts"))
+    ranges = max(RANGES, counts.count() // VALUES_A_RANGE)
+    cuts = counts.groupBy("key").agg(F.percentile_approx("ms", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("cuts"))
     few = small(cuts) if by else F.broadcast(cuts)  # without groups one row
     dealt = counts.join(few, "key").select("key", "ms", "n", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("ms"))), F.lit(0)).alias("range"))
     before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ranges only
-    ranges = dealt.groupBy("key", "range").agg(F.sum("n").alias("held")).select(
+    totals = dealt.groupBy("key", "range").agg(F.sum("n").alias("held")).select(
         "key", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy("key")).alias("total"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("key", "range").orderBy("ms"))
-    placed = dealt.join(ranges, ["key", "range"]).withColumn("upto", upto)
+    placed = dealt.join(totals, ["key", "range"]).withColumn("upto", upto)
     rank = lambda p: F.floor((F.col("total") * p + 99) / 100)
     at = [F.max(F.when((F.col("upto") - F.col("n") < rank(p)) & (rank(p) <= F.col("upto")), F.col("ms"))).alias(f"p{p}_ms") for p in percents]
     return placed.groupBy("key").agg(*at).select("key.*", *(f"p{p}_ms" for p in percents)) if by else placed.agg(*at)
@@ -77,12 +78,23 @@ def query_pool(*pools: DataFrame) -> DataFrame:
     return union.groupBy("query").agg(F.min("at").alias("at")).select("query", "at.pool", "at.place")
 
 
-def query_order(pool: DataFrame, n: int, seed: int) -> DataFrame:
+def query_order(pool: DataFrame, n: int, seed: int, rows_a_range: int = 10_000) -> DataFrame:
     """(nth, query): n queries in an order that depends on the seed alone, from the first again where the pool is smaller.
 
-    A pool is a list made by hand: it fits into one task.
+    The order is that of a digest. Its first digits deal the queries into ranges, as many as the
+    pool needs; a query's place is its rank in its range after the counts of the ranges before.
     """
-    placed = pool.select("query", (F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query")).cast("binary"), 256), "query")) - 1).alias("start"))
-    size = pool.agg(F.count("*").alias("size"))
-    rounds = placed.crossJoin(F.broadcast(size)).where(F.col("start") < n)  # one row
-    return rounds.select(F.explode(F.sequence(F.col("start").cast("long"), F.lit(n - 1).cast("long"), F.col("size"))).alias("nth"), "query")
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query")).cast("binary"), 256)
+    size = pool.count()
+    digits = 1
+    while 16**digits * rows_a_range < size and digits < 5:
+        digits += 1
+    dealt = pool.select("query", digest.alias("digest")).withColumn("range", F.substring("digest", 1, digits))
+    before, at = [], 0
+    for r in dealt.groupBy("range").count().orderBy("range").collect():  # a line for each range
+        before.append((r["range"], at))
+        at += r["count"]
+    ranges = pool.sparkSession.createDataFrame(before, "range string, before long")
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("digest", "query")) - 1
+    placed = dealt.withColumn("nth", nth).join(F.broadcast(ranges), "range").withColumn("start", F.col("before") + F.col("nth")).where(F.col("start") < n)
+    return placed.select(F.explode(F.sequence("start", F.lit(n - 1).cast("long"), F.lit(max(size, 1)).cast("long"))).alias("nth"), "query")

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from . import jobs as J
 
-#: What a project's owner is told; the details stay with the job.
-INTERRUPTED = "Indexing was interrupted and could not be recovered."
-FAILED = "Indexing failed. Index again; if that fails too, check that the sources can be read and hold definitions."
+#: Codes of what a project's owner is told; the details stay with the job.
+INTERRUPTED, FAILED = "indexing-interrupted", "indexing-failed"
 
 
 def set_status(projects: DataFrame, chosen: Column, status: Column | str, error: Column | None = None) -> DataFrame:
