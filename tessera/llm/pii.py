@@ -37,8 +37,8 @@ KINDS = {
 }
 #: A substring that every match of the kind has, to skip texts without it by a plain search.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: A run of up to eight groups of digits, or an identifier-like token; both begin a word and end with one.
-INSTANCE = r"(?<![^\x20\x09-\x0D])(?:[+(]?[0-9]++(?:[\x20().-]{1,2}[0-9]++){1,7}+|[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]*+"
+#: A run of groups of digits, or an identifier-like token; both begin a word and end with one.
+INSTANCE = r"(?<![^\x20\x09-\x0D])(?:[+(]?[0-9]++(?:[\x20().-]{1,2}[0-9]++)++|[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]*+"
 #: What a pattern begins with: two words, word and shape, shape and word, shape, shape with runs of digits as one.
 WORDS, AFTER_WORD, BEFORE_WORD, SHAPE, LOOSE = "w", "ws", "sw", "s", "r"
 
@@ -185,29 +185,32 @@ def with_patterns(edges: DataFrame, patterns: DataFrame, broadcast_rows: int, sa
     return dealt.join(patterns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["pattern", "salt"]).drop("salt")
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, confident: float = 0.8, least_tokens: int = 3, least_of_shape: int = 20, broadcast_rows: int = 100_000) -> DataFrame:
-    """The patterns that are confident in the last round.
+def bootstrap(found: DataFrame, rounds: int | None = None, confident: float = 0.8, least_tokens: int = 3, least_of_shape: int = 20, broadcast_rows: int = 100_000) -> DataFrame:
+    """The patterns that are confident after a round that adds none, or after so many rounds.
 
     The graph of patterns and tokens is aggregated before anything is joined, so a pattern that
     a third of all tokens share is one row for each of its tokens. A pattern needs least_tokens
-    different tokens, one without words least_of_shape.
+    different tokens, one without words least_of_shape. What is known only grows from round to
+    round, so the rounds end.
     """
     graph = written(found.select(F.explode("patterns").alias("pattern"), "token", "seed").groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "graph")
-    known = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("weight"))
-    least, made = F.when(F.substring_index("pattern", "\t", 1).isin(SHAPE, LOOSE), least_of_shape).otherwise(least_tokens), []
-    for i in range(rounds):
+    seeds = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("seeded"))
+    known, stored, before, done = seeds.withColumnRenamed("seeded", "weight"), None, 0, 0
+    least = F.when(F.substring_index("pattern", "\t", 1).isin(SHAPE, LOOSE), least_of_shape).otherwise(least_tokens)
+    while True:
         scored = graph.join(known, "token").groupBy("pattern").agg(F.sum("weight").alias("good"), F.count("*").alias("tokens"))
-        sure = scored.select("pattern", "tokens", F.round(F.col("good") / F.col("tokens"), 12).alias("confidence")).where((F.col("tokens") >= least) & (F.col("confidence") >= confident))
-        if i == rounds - 1:
-            out = written(sure.select("pattern"), "confident")
-            for df in (graph, *made):
-                drop_written(df)
-            return out
-        sure = written(sure.select("pattern", "confidence"), "sure")
+        enough = scored.select("pattern", "tokens", F.round(F.col("good") / F.col("tokens"), 12).alias("confidence")).where((F.col("tokens") >= least) & (F.col("confidence") >= confident))
+        sure = written(enough.select("pattern", "confidence"), "sure")
+        if stored is not None:
+            drop_written(stored)
+        n, done = sure.count(), done + 1
+        if n == before or done == rounds:
+            drop_written(graph)
+            return sure.select("pattern")
         reached = with_patterns(graph, sure, broadcast_rows).groupBy("token").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))), 12).alias("chance"))
-        seeds = graph.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("seeded"))
-        known = written(seeds.join(reached, "token", "left").select("token", F.greatest("seeded", F.when(F.col("chance") >= confident, F.col("chance")).otherwise(0.0)).alias("weight")), "known")
-        made += [sure, known]
+        stored = known = written(seeds.join(reached, "token", "left").select("token", F.greatest("seeded", F.when(F.col("chance") >= confident, F.col("chance")).otherwise(0.0)).alias("weight")), "known")
+        drop_written(sure)
+        before = n
 
 
 def found_by(found: DataFrame, patterns: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
@@ -264,24 +267,46 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of spans that overlap, the one that starts first.
+    """The text with each span replaced by its kind in angle brackets; spans that overlap are one, of the kind that starts first (of those, the longest).
 
-    The pieces between the spans are cut out and joined once, so a text of many spans isn't copied for each.
+    The pieces between the spans are cut out and joined once, so a text of many spans isn't copied
+    for each. There is one span at least.
     """
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in [*KINDS, "id"]))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
 
-    def free(every: Column) -> Column:
-        """The spans that begin where all before them have ended."""
-        latest = running(F.transform(every, lambda s: s["stop"]), lambda x, y: F.greatest(x, y))
-        return let(latest, lambda at: F.filter(every, lambda s, i: s["start"] >= F.get(at, i)))
+    def merged(every: Column) -> Column:
+        """A span for those that overlap: one begins where all before it have ended, and ends where the last of its own does."""
+        stops = F.transform(every, lambda s: -s["back"])
+
+        def of(latest: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: F.get(every, i)["start"] >= F.get(latest, i))
+            end = lambda some, k: F.coalesce(F.get(latest, F.get(some, k + 1)), F.array_max(stops))
+            each = lambda some: F.transform(some, lambda i, k: F.struct(F.get(every, i)["start"].alias("start"), end(some, k).alias("stop"), F.get(every, i)["kind"].alias("kind")))
+            return let(firsts, each)
+
+        return let(running(stops, lambda x, y: F.greatest(x, y)), of)
+
+    block = 64
 
     def joined(kept: Column) -> Column:
-        ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda s: s["stop"]))
-        pieces = F.zip_with(kept, F.slice(ends, 1, F.size(kept)), lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), F.get(names, s["kind"])))
-        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+        """Cut in blocks of spans, and these in pieces: a text isn't walked from its start for each span."""
+
+        def pieces(part: Column, begin: Column) -> Column:
+            inside = F.substring(text, begin + 1, F.element_at(part, -1)["stop"] - begin)
+            ends = F.concat(F.array(begin), F.transform(part, lambda s: s["stop"]))
+            one = lambda cut: F.array_join(F.zip_with(part, F.slice(ends, 1, F.size(part)), lambda s, at: F.concat(F.substring(cut, at - begin + 1, s["start"] - at), F.get(names, s["kind"]))), "")
+            return let(inside, one)
+
+        def cut(i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(kept, i * block - 1)["stop"])
+            return let(F.slice(kept, i * block + 1, block), lambda part: let(begin, lambda at: pieces(part, at)))
+
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(kept) - 1) / block).cast("int")), cut)
+        last = F.element_at(kept, -1)["stop"]
+        return F.concat(F.array_join(blocks, ""), F.substring(text, last + 1, F.length(text)))
 
-    return let(let(ordered, free), joined)
+    return let(let(ordered, merged), joined)
 
 
 def redact(docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:

@@ -208,15 +208,15 @@ def test_shapes_and_words_on_both_sides(spark):
     assert shapes == "+99 (9)99-Aa.l9,"
 
 
-def bootstrapped(found, rounds=3, confident=0.8, least=3, least_of_shape=20):
-    """The confident patterns of (token, seed, patterns), in plain Python."""
+def bootstrapped(found, confident=0.8, least=3, least_of_shape=20):
+    """The confident patterns of (token, seed, patterns) when no more are added, in plain Python."""
     graph, seeds = collections.defaultdict(set), {}
     for token, seed, patterns in found:
         seeds[token] = max(seeds.get(token, 0.0), float(seed))
         for p in patterns:
             graph[p].add(token)
-    known = dict(seeds)
-    for _ in range(rounds):
+    known, last = dict(seeds), None
+    while True:
         sure = {p: sum(known[t] for t in ts) / len(ts) for p, ts in graph.items() if len(ts) >= (least_of_shape if p.startswith(("s\t", "r\t")) else least)}
         sure = {p: c for p, c in sure.items() if round(c, 12) >= confident}
         wrong = collections.defaultdict(lambda: 1.0)
@@ -224,7 +224,9 @@ def bootstrapped(found, rounds=3, confident=0.8, least=3, least_of_shape=20):
             for t in graph[p]:
                 wrong[t] *= 1 - min(c, 0.999)
         known = {t: max(seeds[t], 1 - wrong[t] if 1 - wrong[t] >= confident else 0.0) for t in seeds}
-    return set(sure)
+        if set(sure) == last:
+            return last
+        last = set(sure)
 
 
 def test_bootstrap_like_brute_force(spark):

@@ -12,7 +12,7 @@ import pytest
 from oracle import views
 from pyspark.sql import functions as F
 
-from tessera.llm import clustering, fim, sharding
+from tessera.llm import clustering, fim, pii, sharding
 from tessera.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, label string, shard int, slot string, n int"
@@ -227,3 +227,42 @@ def test_automaton_composes():
         assert (fs[-1] == f).all() and (ns[-1] == n).all()
     with pytest.raises(ValueError):
         fim.automaton(("a\n",))
+
+
+# --- personal data -----------------------------------------------------------------------------
+
+
+def test_bootstrap_goes_on_while_patterns_are_added(spark):
+    """Each of nine contexts is confident only once the one before has made two tokens known."""
+    rows = []
+    for k in range(9):
+        tokens = [(f"s{k}.{i}@x", True) for i in range(8)] + [(f"n{k - 1}.{i}", k == 0) for i in range(2)] + [(f"n{k}.{i}", False) for i in range(2)]
+        rows += [(t, seed, [f"w\tcontext {k}"]) for t, seed in tokens]
+    found = spark.createDataFrame(rows, "token string, seed boolean, patterns array<string>")
+    assert {r.pattern for r in pii.bootstrap(found).collect()} == {f"w\tcontext {k}" for k in range(9)}
+    assert {r.pattern for r in pii.bootstrap(found, rounds=3).collect()} == {f"w\tcontext {k}" for k in range(3)}
+    assert pii.bootstrap(found.where("not seed")).collect() == []
+
+
+def test_long_runs_of_digits_are_one_instance(spark):
+    docs = spark.createDataFrame([(1, "code 11 22 33 44 55 66 77 88 99 10 11 12 end")], "row long, text string").withColumn("base", pii.base_spans(F.col("text")))
+    assert [r.token for r in pii.instances(docs).collect()] == ["11 22 33 44 55 66 77 88 99 10 11 12"]
+
+
+def test_redaction_of_many_spans(spark):
+    """Across blocks of spans, at both ends, side by side, and with code points beyond ASCII."""
+    r = random.Random(9)
+    word = lambda: r.choice(("é", "u%d@x.org" % r.randint(0, 9), "10.0.0.1", "😀 ", " ", ","))
+    texts = ["".join(word() for _ in range(r.randint(1, 900))) for _ in range(30)] + ["10.0.0.1u3@x.org", "+1 988 555 2485.1.1.1@x.org", "a@b.co", "a@b.co " * 64, " a@b.co" * 65, "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", pii.base_spans(F.col("text")))
+    for x in df.where("size(base) > 0").select("text", "base", pii.redacted(F.col("text"), F.col("base")).alias("out")).collect():
+        want, at, groups = "", 0, []
+        for start, stop, kind in sorted(((s.start, s.stop, s.kind) for s in x.base), key=lambda s: (s[0], -s[1], s[2])):
+            if groups and start < groups[-1][1]:
+                groups[-1][1] = max(groups[-1][1], stop)
+            else:
+                groups.append([start, stop, kind])
+        for start, stop, kind in groups:
+            want += x.text[at:start] + f"<{list(pii.KINDS)[kind].upper()}>"
+            at = stop
+        assert x.out == want + x.text[at:]
