@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import english
+
 #: The weights of the fields A, B, C and D.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
@@ -101,11 +103,15 @@ def search_vector(fields: dict[str, Column], query: str | None = None) -> Column
     return F.get(F.transform(F.array(split), vector), F.lit(0)).cast(VECTOR)
 
 
-def lexemes(query: str) -> list[list[tuple[bool, list[tuple[int, str]]]]]:
+#: Stemmers by name: the suffix rules above, which SQL can express, and Porter2 for English.
+STEMMERS = {"rules": stem_of, "english": english.stem}
+
+
+def lexemes(query: str, stemmer: str = "rules") -> list[list[tuple[bool, list[tuple[int, str]]]]]:
     """parse_query() with stems and their places in a phrase; stop words are no terms, and alternatives without terms none."""
     out = []
     for terms in parse_query(query):
-        kept = [(negated, [(i, stem_of(w)) for i, w in enumerate(phrase) if w not in STOP]) for negated, phrase in terms]
+        kept = [(negated, [(i, STEMMERS[stemmer](w)) for i, w in enumerate(phrase) if w not in STOP]) for negated, phrase in terms]
         out.append([t for t in kept if t[1]])
     return [x for x in out if x]
 
@@ -118,7 +124,7 @@ def may_answer(texts: list[Column], query: str) -> Column:
     return reduce(Column.__or__, held, F.lit(False))
 
 
-def answers(vector: Column, query: str) -> Column:
+def answers(vector: Column, query: str, stemmer: str = "rules") -> Column:
     """Whether a search vector answers a web-search query; false for one without terms."""
 
     def has(phrase: list[tuple[int, str]]) -> Column:
@@ -132,7 +138,7 @@ def answers(vector: Column, query: str) -> Column:
 
         return F.exists(vector, here)
 
-    every = [reduce(Column.__and__, [~has(p) if negated else has(p) for negated, p in terms]) for terms in lexemes(query)]
+    every = [reduce(Column.__and__, [~has(p) if negated else has(p) for negated, p in terms]) for terms in lexemes(query, stemmer)]
     return F.coalesce(reduce(Column.__or__, every, F.lit(False)), F.lit(False))
 
 
@@ -181,11 +187,16 @@ def cover_rank_of(vector: Column, terms: Column) -> Column:
 PARSED = "array<array<struct<negated:boolean,phrase:array<struct<at:int,lexeme:string>>>>>"
 
 
-def parsed_queries(query: Column) -> Column:
+def as_parsed(query: str | None, stemmer: str = "rules") -> list:
+    """lexemes() of one query, in the form of PARSED."""
+    return [[{"negated": negated, "phrase": [{"at": i, "lexeme": w} for i, w in phrase]} for negated, phrase in alt] for alt in lexemes(query or "", stemmer)]
+
+
+def parsed_queries(query: Column, stemmer: str = "rules") -> Column:
     """lexemes() of a column of queries, as PARSED; empty for null and blank ones."""
     @F.pandas_udf(PARSED)
     def parse(texts: pd.Series) -> pd.Series:
-        return pd.Series([[[{"negated": negated, "phrase": [{"at": i, "lexeme": w} for i, w in phrase]} for negated, phrase in alt] for alt in lexemes(t or "")] for t in texts])
+        return pd.Series([as_parsed(t, stemmer) for t in texts])
 
     return parse(query)
 

@@ -46,6 +46,7 @@ class Index(NamedTuple):
     spark: SparkSession
     path: str
     buckets: int
+    stemmer: str
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -69,9 +70,9 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.searchsorted(ends, begin, "right") - 1, words
 
 
-def _made(letters: str):
+def _made(letters: str, stemmer: str):
     """A function for mapInArrow: the postings of (entity_id, a lower-cased text for each letter), and a row without a lexeme for each entity."""
-    codes = np.array([LETTERS.index(x) for x in letters])
+    codes, stem = np.array([LETTERS.index(x) for x in letters]), T.STEMMERS[stemmer]
 
     def run(batches):
         stems: dict[str, str | None] = {}
@@ -88,7 +89,7 @@ def _made(letters: str):
                 known: dict[str, int] = {}
                 of = np.zeros(len(words.dictionary), np.int64)
                 for i, w in enumerate(words.dictionary.to_pylist()):  # a stem is made once for each different word
-                    s = stems[w] if w in stems else stems.setdefault(w, None if w in T.STOP else T.stem_of(w))
+                    s = stems[w] if w in stems else stems.setdefault(w, None if w in T.STOP else stem(w))
                     of[i] = -1 if s is None else known.setdefault(s, len(known))
                 if len(stems) > 200_000:
                     stems.clear()
@@ -114,10 +115,10 @@ def decoded(places: Column, lexeme: Column) -> Column:
     return F.transform(places, lambda p: F.struct((p / len(LETTERS)).cast("int").alias("at"), lexeme.alias("lexeme"), F.get(letters, p % len(LETTERS)).alias("letter")))
 
 
-def postings_of(entities: DataFrame, fields: dict[str, str], id_col: str = "entity_id") -> DataFrame:
+def postings_of(entities: DataFrame, fields: dict[str, str], id_col: str = "entity_id", stemmer: str = "rules") -> DataFrame:
     """The postings of entities and their own rows; fields: column by weight letter. Null texts have no tokens, rows without an id are left out."""
     rows = entities.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("entity_id"), *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"f{letter}") for letter, c in fields.items()))
-    return rows.mapInArrow(_made("".join(fields)), POSTING)
+    return rows.mapInArrow(_made("".join(fields), stemmer), POSTING)
 
 
 def bucket_of(lexeme: Column, buckets: int) -> Column:
@@ -169,20 +170,21 @@ def _in_folders(index: Index, postings: DataFrame, first: int) -> DataFrame:
     return postings.withColumns({"segment": (F.lit(first) + F.spark_partition_id() % MOST_SEGMENTS).cast("int"), "bucket": bucket})
 
 
-def build(entities: DataFrame, fields: dict[str, str], path: str, id_col: str = "entity_id", buckets: int = 16) -> Index:
-    """A new index below path. Ids are keys: rows that repeat one are one entity's places twice."""
+def build(entities: DataFrame, fields: dict[str, str], path: str, id_col: str = "entity_id", buckets: int = 16, stemmer: str = "rules") -> Index:
+    """A new index below path. Ids are keys: rows that repeat one are one entity's places twice. stemmer: a name in T.STEMMERS."""
     spark = entities.sparkSession
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/shape")
-    index = Index(spark, path, buckets)
+    spark.createDataFrame([(buckets, stemmer)], "buckets int, stemmer string").coalesce(1).write.parquet(f"{path}/shape")
+    index = Index(spark, path, buckets, stemmer)
     for name, columns in (("postings", f"{POSTING}, segment int, bucket int"), ("impacts", IMPACT)):  # an empty table has a schema, too
         spark.createDataFrame([(0, ENTITIES)], "segment int, bucket int").select(*(F.lit(None).cast(kind).alias(c) if c not in ("segment", "bucket") else F.col(c) for c, kind in (x.split(" ", 1) for x in columns.split(", ")))).write.partitionBy("segment", "bucket").parquet(f"{path}/{name}")
-    _put(index, _in_folders(index, postings_of(entities, fields, id_col), 1), "postings")
+    _put(index, _in_folders(index, postings_of(entities, fields, id_col, stemmer), 1), "postings")
     _put_impacts(index)
     return index
 
 
 def opened(spark: SparkSession, path: str) -> Index:
-    return Index(spark, path, spark.read.parquet(f"{path}/shape").first()["buckets"])
+    shape = spark.read.parquet(f"{path}/shape").first()
+    return Index(spark, path, shape["buckets"], shape["stemmer"])
 
 
 def update(index: Index, changed: DataFrame, fields: dict[str, str], gone: DataFrame | None = None, id_col: str = "entity_id") -> None:
@@ -200,7 +202,7 @@ def update(index: Index, changed: DataFrame, fields: dict[str, str], gone: DataF
     columns = [*(c.split(" ")[0] for c in POSTING.split(", ")), "segment", "bucket"]
     kept = held.where(F.col("segment").isin(segments)).where("entity_id is not null").join(few, "entity_id", "left_anti").select(*columns)
     kept = written(kept, "kept")
-    new = written(_in_folders(index, postings_of(changed, fields, id_col), first).select(*columns), "new")
+    new = written(_in_folders(index, postings_of(changed, fields, id_col, index.stemmer), first).select(*columns), "new")
     added = sorted(r["segment"] for r in new.select("segment").distinct().collect())
     _put(index, kept.unionByName(new).unionByName(_folders(index, segments), allowMissingColumns=True), "postings")
     _put_impacts(index, segments + added)
@@ -220,7 +222,7 @@ def bounds(index: Index, query: str) -> dict[int, tuple[float, int]]:
     A cover ends at a place of its own, and is worth no more than the greatest weight; the first
     places, one less than there are terms, end none. With one term the score is the sum of its weights.
     """
-    parsed = T.lexemes(query)
+    parsed = T.lexemes(query, index.stemmer)
     terms = sorted({w for alt in parsed for negated, phrase in alt if not negated for _, w in phrase})
     if not terms:
         return {}
@@ -240,7 +242,7 @@ def bounds(index: Index, query: str) -> dict[int, tuple[float, int]]:
 
 def _scored(index: Index, query: str, tiers: list[int] | None, k: int) -> DataFrame:
     """The k best entities among some tiers (all if None): postings meet by entity, the rarest lexeme's first."""
-    parsed = T.lexemes(query)
+    parsed = T.lexemes(query, index.stemmer)
     words = sorted({w for alt in parsed for _, phrase in alt for _, w in phrase})
     rows = _of_lexemes(index, "postings", words)
     if tiers is not None:
@@ -250,7 +252,9 @@ def _scored(index: Index, query: str, tiers: list[int] | None, k: int) -> DataFr
     if any(all(negated for negated, _ in alt) for alt in parsed):  # entities without any of the words answer
         met = index.read("postings").where((F.col("bucket") == ENTITIES) & F.col("entity_id").isNotNull()).select("entity_id").distinct().join(met, "entity_id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<at:int,lexeme:string,letter:string>>")))
     vector = F.transform("v", lambda x: F.struct(x["lexeme"].alias("lexeme"), x["at"].alias("at"), x["letter"].alias("letter"))).cast(T.VECTOR)
-    score = F.transform(F.array(vector), lambda v: F.when(T.answers(v, query), F.round(T.cover_rank(v, query), 9)))
+    terms = sorted({w for alt in parsed for negated, phrase in alt if not negated for _, w in phrase})
+    rank = lambda v: T.cover_rank_of(v, F.array(*map(F.lit, terms))) if terms else F.lit(0.0)
+    score = F.transform(F.array(vector), lambda v: F.when(T.answers(v, query, index.stemmer), F.round(rank(v), 9)))
     return met.select("entity_id", F.get(score, F.lit(0)).alias("score")).where("score is not null").orderBy(F.desc("score"), "entity_id").limit(k)
 
 
@@ -262,7 +266,7 @@ def keyword_topk(index: Index, query: str, k: int = 10) -> DataFrame:
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    parsed = T.lexemes(query)
+    parsed = T.lexemes(query, index.stemmer)
     if not parsed or k == 0:
         return index.spark.createDataFrame([], "entity_id long, score double")
     if any(all(negated for negated, _ in alt) for alt in parsed):
@@ -289,26 +293,29 @@ def keyword_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, entity_id and score: keyword_topk() for each row of queries (query_id, query).
 
     Candidates of an alternative are the entities of its rarest lexeme; the other lexemes' postings
-    are joined to these by lexeme and entity, so a word that every entity holds is no hot key. An
+    are joined to these by lexeme and entity, so a word that every entity holds is no hot key.
+    Queries of one text are answered once. An
     alternative of negated terms alone has no candidates here. query_id is a key; a null or blank
     query has no rows.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    asked = queries.select("query_id", T.parsed_queries(F.col("query")).alias("parsed")).where("size(parsed) > 0")
-    alt = asked.select("query_id", F.posexplode("parsed").alias("alt", "terms"))
-    word = alt.select("query_id", "alt", F.explode("terms").alias("t")).select("query_id", "alt", "t.negated", F.explode("t.phrase.lexeme").alias("lexeme")).distinct()
+    alike = queries.where("query_id is not null and query is not null").select("query_id", "query")
+    asked = alike.select("query").distinct().select("query", T.parsed_queries(F.col("query"), index.stemmer).alias("parsed")).where("size(parsed) > 0")
+    asked = written(asked, "asked")
+    alt = asked.select("query", F.posexplode("parsed").alias("alt", "terms"))
+    word = alt.select("query", "alt", F.explode("terms").alias("t")).select("query", "alt", "t.negated", F.explode("t.phrase.lexeme").alias("lexeme")).distinct()
     word = word.withColumn("bucket", bucket_of(F.col("lexeme"), index.buckets))
     wanted = word.select("bucket", "lexeme").distinct()
     df = index.read("impacts").join(wanted, ["bucket", "lexeme"], "left_semi").groupBy("lexeme").agg(F.sum("docs").alias("docs"))
-    rarest = word.where("not negated").join(df, "lexeme", "left").groupBy("query_id", "alt").agg(F.min_by(F.struct("bucket", "lexeme"), F.struct(F.coalesce("docs", F.lit(0)), F.col("lexeme"))).alias("r"))
+    rarest = word.where("not negated").join(df, "lexeme", "left").groupBy("query", "alt").agg(F.min_by(F.struct("bucket", "lexeme"), F.struct(F.coalesce("docs", F.lit(0)), F.col("lexeme"))).alias("r"))
     postings = index.read("postings").where((F.col("bucket") != ENTITIES) & F.col("lexeme").isNotNull())
-    met = rarest.select("query_id", "r.bucket", "r.lexeme").distinct().join(postings.select("bucket", "lexeme", "entity_id"), ["bucket", "lexeme"]).select("query_id", "entity_id").distinct()
-    pairs = met.join(word.select("query_id", "bucket", "lexeme").distinct(), "query_id")
+    met = rarest.select("query", "r.bucket", "r.lexeme").distinct().join(postings.select("bucket", "lexeme", "entity_id"), ["bucket", "lexeme"]).select("query", "entity_id").distinct()
+    pairs = met.join(word.select("query", "bucket", "lexeme").distinct(), "query")
     places = postings.join(wanted, ["bucket", "lexeme"], "left_semi").select("bucket", "lexeme", "entity_id", "places")
-    each = pairs.join(places, ["bucket", "lexeme", "entity_id"]).select(
-        "query_id", "entity_id", decoded(F.col("places"), F.col("lexeme")).alias("places"))
-    vector = each.groupBy("query_id", "entity_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("v")).join(asked, "query_id")
-    scored = vector.where(T.answers_parsed(F.col("v"), F.col("parsed"))).select("query_id", "entity_id", F.round(T.cover_rank_of(F.col("v"), T.positive(F.col("parsed"))), 9).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
-    return scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    each = pairs.join(places, ["bucket", "lexeme", "entity_id"]).select("query", "entity_id", decoded(F.col("places"), F.col("lexeme")).alias("places"))
+    vector = each.groupBy("query", "entity_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("v")).join(asked, "query")
+    scored = vector.where(T.answers_parsed(F.col("v"), F.col("parsed"))).select("query", "entity_id", F.round(T.cover_rank_of(F.col("v"), T.positive(F.col("parsed"))), 9).alias("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "entity_id")
+    top = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return alike.join(top, "query").select("query_id", "entity_id", "score")

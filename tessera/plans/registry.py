@@ -208,11 +208,11 @@ FIELDS = {"A": "source", "D": "text"}
 INDEXES: dict[tuple, postings.Index] = {}
 
 
-def keyword_index(spark, d) -> postings.Index:
+def keyword_index(spark, d, stemmer: str = "rules") -> postings.Index:
     """The postings of all documents: built by the first query of a session that needs them, and again where the files differ."""
-    key = (spark.sparkContext.applicationId, d, files_of(spark, f"{d}/documents.parquet"))
+    key = (spark.sparkContext.applicationId, d, files_of(spark, f"{d}/documents.parquet"), stemmer)
     if key not in INDEXES:
-        INDEXES[key] = postings.build(keyword_docs(spark, d), FIELDS, f"{shared_dir(spark)}/postings")
+        INDEXES[key] = postings.build(keyword_docs(spark, d), FIELDS, f"{shared_dir(spark)}/postings", stemmer=stemmer)
     return INDEXES[key]
 
 
@@ -269,18 +269,24 @@ def keyword_not(spark, d):
     return postings.keyword_topk(keyword_index(spark, d), f"{APART[0]} -{APART[1]}", R.DEPTH)
 
 
+@query()
+def keyword_english(spark, d):
+    """keyword_rank over an index of Porter2 stems, which SQL can't express: tested against brute force."""
+    return postings.keyword_topk(keyword_index(spark, d, "english"), SEARCH_WORDS, R.DEPTH)
+
+
 def own_queries(spark, d) -> DataFrame:
-    """For each query vector the text of its keyword query: of its document's words the two with the least SHA-256."""
+    """For each query vector the text of its keyword query: of its document's words the two with the least SHA-256 after its id."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text")
     asked = docs.join(search_queries(spark, d).select("query_id").distinct(), "query_id", "left_semi")
     words = F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda w: ~w.isin(T.STOP))
-    least = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.sha2(w.cast("binary"), 256).alias("h"), w.alias("w")))), 1, 2)
+    least = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.sha2(F.concat(F.col("query_id").cast("string"), F.lit(":"), w).cast("binary"), 256).alias("h"), w.alias("w")))), 1, 2)
     return asked.select("query_id", F.array_join(least["w"], " ").alias("query"))
 
 
 OWN_SQL = f"""select query_id, min(lexeme) as t1, max(lexeme) as t2 from (select doc_id as query_id, {stem_sql("w")} as lexeme from (
     select doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) as w from documents where doc_id in (select vec_id from embeddings where vec_id % 100 = 0))
-    where w not in ({STOP_SQL}) qualify row_number() over (partition by doc_id order by sha256(w), w) <= 2) group by query_id"""
+    where w not in ({STOP_SQL}) qualify row_number() over (partition by doc_id order by sha256(doc_id::varchar || ':' || w), w) <= 2) group by query_id"""
 
 
 @query(f"with {covers_sql(OWN_SQL)} select query_id, entity_id, score from scored qualify row_number() over (partition by query_id order by score desc, entity_id) <= 30")

@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import english
+from tessera.functions import text as T
 from tessera.operators import nearest
 from tessera.operators import retrieval as R
 from tessera.plans import postings
@@ -108,6 +110,42 @@ def test_an_empty_table(spark):
     assert postings.keyword_batch(index, spark.createDataFrame([(1, "wait")], "query_id long, query string"), 5).collect() == []
 
 
+#: Words with their stems, as the algorithm's description lists them.
+STEMS = """
+consign consign consigned consign consigning consign consignment consign consistency consist consistently consist consolations consol consolatory consolatori console consol consolidating consolid
+consolingly consol consols consol consonant conson conspicuously conspicu conspiracy conspiraci conspirators conspir constables constabl constancy constanc knackeries knackeri knavish knavish
+kneaded knead kneeling kneel knif knif knightly knight knitted knit knives knive knocker knocker knopp knopp generates generat generically generic communism communism arsenal arsenal ties tie
+cries cri gas gas gaps gap kiwis kiwi hopping hop hoping hope luxuriated luxuri by by say say relational relat conditional condit adoption adopt skies sky inning inning agreed agre feed feed
+dying die news news singly singl youth youth boyish boyish
+""".split()
+
+
+def test_english_stems():
+    assert [english.stem(w) for w in STEMS[::2]] == STEMS[1::2]
+    assert [english.stem(w) for w in ("", "a", "ab", "yyy", "s", "ss", "eed", "x1", "12345")] == ["", "a", "ab", "yyy", "s", "ss", "eed", "x1", "12345"]
+
+
+def test_an_index_of_english_stems(spark, sf_dir):
+    """The same as plain Python over all documents: cover density by hand."""
+    from tessera.plans import registry
+
+    words = T.STEMMERS["english"](registry.SEARCH_WORDS.split()[0]), T.STEMMERS["english"](registry.SEARCH_WORDS.split()[1])
+    want = []
+    for r in registry.keyword_docs(spark, sf_dir).collect():
+        tokens = [(w, "A") for w in T.re.findall("[a-z0-9]+", (r.source or "").lower())] + [(w, "D") for w in T.re.findall("[a-z0-9]+", (r.text or "").lower())]
+        places = [(i, english.stem(w), T.WEIGHTS[x]) for i, (w, x) in enumerate(tokens) if w not in T.STOP]
+        if {w for _, w, _ in places} >= set(words):
+            want.append((r.entity_id, T.cover_density(places, set(words))))
+    want = sorted(want, key=lambda x: (-round(x[1], 9), x[0]))[: R.DEPTH]
+    got = registry.QUERIES["keyword_english"](spark, sf_dir).collect()
+    assert [(r.entity_id, r.score) for r in got] == [(i, pytest.approx(s, abs=1e-8)) for i, s in want] and want
+    df = spark.createDataFrame([(1, "", "the generators waited"), (2, "", "generic waits")], "entity_id long, name string, text string")
+    index = postings.build(df, FIELDS, f"{shared_dir(spark)}/index", stemmer="english")
+    assert [r.entity_id for r in postings.keyword_topk(postings.opened(spark, index.path), "waiting generate", 5).collect()] == [1]
+    asked = spark.createDataFrame([(1, '"generator wait"'), (2, "wait -generation")], "query_id long, query string")
+    assert {(r.query_id, r.entity_id) for r in postings.keyword_batch(index, asked, 5).collect()} == {(1, 1), (2, 2)}
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 
