@@ -115,6 +115,11 @@ def decoded(places: Column, lexeme: Column) -> Column:
     return F.transform(places, lambda p: F.struct((p / len(LETTERS)).cast("int").alias("at"), lexeme.alias("lexeme"), F.get(letters, p % len(LETTERS)).alias("letter")))
 
 
+def vector_of(held: Column) -> Column:
+    """The search vector of an entity's postings (lexeme, places)."""
+    return F.array_sort(F.flatten(F.transform(held, lambda h: decoded(h["places"], h["lexeme"]))))
+
+
 def postings_of(entities: DataFrame, fields: dict[str, str], id_col: str = "entity_id", stemmer: str = "rules") -> DataFrame:
     """The postings of entities and their own rows; fields: column by weight letter. Null texts have no tokens, rows without an id are left out."""
     rows = entities.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("entity_id"), *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"f{letter}") for letter, c in fields.items()))
@@ -247,14 +252,12 @@ def _scored(index: Index, query: str, tiers: list[int] | None, k: int) -> DataFr
     rows = _of_lexemes(index, "postings", words)
     if tiers is not None:
         rows = rows.where(F.col("tier").isin(tiers))
-    each = rows.select("entity_id", decoded(F.col("places"), F.col("lexeme")).alias("places"))
-    met = each.groupBy("entity_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("v"))  # an entity has a row for each lexeme of the query
+    met = rows.groupBy("entity_id").agg(F.collect_list(F.struct("lexeme", "places")).alias("held"))  # an entity has a row for each lexeme of the query
     if any(all(negated for negated, _ in alt) for alt in parsed):  # entities without any of the words answer
-        met = index.read("postings").where((F.col("bucket") == ENTITIES) & F.col("entity_id").isNotNull()).select("entity_id").distinct().join(met, "entity_id", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<at:int,lexeme:string,letter:string>>")))
-    vector = F.transform("v", lambda x: F.struct(x["lexeme"].alias("lexeme"), x["at"].alias("at"), x["letter"].alias("letter"))).cast(T.VECTOR)
+        met = index.read("postings").where((F.col("bucket") == ENTITIES) & F.col("entity_id").isNotNull()).select("entity_id").distinct().join(met, "entity_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<lexeme:string,places:array<int>>>")))
     terms = sorted({w for alt in parsed for negated, phrase in alt if not negated for _, w in phrase})
     rank = lambda v: T.cover_rank_of(v, F.array(*map(F.lit, terms))) if terms else F.lit(0.0)
-    score = F.transform(F.array(vector), lambda v: F.when(T.answers(v, query, index.stemmer), F.round(rank(v), 9)))
+    score = F.transform(F.array(vector_of(F.col("held"))), lambda v: F.when(T.answers(v, query, index.stemmer), F.round(rank(v), 9)))
     return met.select("entity_id", F.get(score, F.lit(0)).alias("score")).where("score is not null").orderBy(F.desc("score"), "entity_id").limit(k)
 
 
@@ -313,9 +316,12 @@ def keyword_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     met = rarest.select("query", "r.bucket", "r.lexeme").distinct().join(postings.select("bucket", "lexeme", "entity_id"), ["bucket", "lexeme"]).select("query", "entity_id").distinct()
     pairs = met.join(word.select("query", "bucket", "lexeme").distinct(), "query")
     places = postings.join(wanted, ["bucket", "lexeme"], "left_semi").select("bucket", "lexeme", "entity_id", "places")
-    each = pairs.join(places, ["bucket", "lexeme", "entity_id"]).select("query", "entity_id", decoded(F.col("places"), F.col("lexeme")).alias("places"))
-    vector = each.groupBy("query", "entity_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("v")).join(asked, "query")
-    scored = vector.where(T.answers_parsed(F.col("v"), F.col("parsed"))).select("query", "entity_id", F.round(T.cover_rank_of(F.col("v"), T.positive(F.col("parsed"))), 9).alias("score"))
+    each = pairs.join(places, ["bucket", "lexeme", "entity_id"]).groupBy("query", "entity_id").agg(F.collect_list(F.struct("lexeme", "places")).alias("held")).join(asked, "query")
+    names = F.transform("held", lambda h: h["lexeme"])
+    every = F.exists("parsed", lambda alt: F.forall(alt, lambda t: t["negated"] | F.forall(t["phrase"], lambda p: F.array_contains(names, p["lexeme"]))))
+    # the vector is made once, and only where the words of an alternative are there
+    score = F.transform(F.array(vector_of(F.col("held"))), lambda v: F.when(T.answers_parsed(v, F.col("parsed")), F.round(T.cover_rank_of(v, T.positive(F.col("parsed"))), 9)))
+    scored = each.where(every).select("query", "entity_id", F.get(score, F.lit(0)).alias("score")).where("score is not null")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entity_id")
     top = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     return alike.join(top, "query").select("query_id", "entity_id", "score")
