@@ -20,9 +20,11 @@ Sets equal as a whole are one class beforehand. Sets that share a signature are
 each such group a bound is tested first, on parity bitmaps of about a bit for each feature: two
 bitmaps differ in no more bits than the sets differ in features. Candidates that pass are joined
 to clusters; a cluster's features move once, and only an exact count of common n-grams makes a
-link. Groups and clusters are dealt into blocks of bounded size; a task walks two blocks from set
-to set, comparing a set with those not reached yet, and emits no pairs, only as many connections
-as it has sets.
+link. Groups and clusters are dealt into blocks of bounded size; a task walks a block from set to
+set, comparing a set with those not reached yet, and emits no pairs, only as many connections as
+it has sets. Of a group of several blocks, a few sets are in all blocks, so that sets like them are
+connected over all blocks at once. Only the sets outside the largest connected part of their group
+then meet the group's other sets, block by block, and what is known to be connected isn't compared.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ PAIRS_UP_TO = 8
 LEVELS = 5
 #: Above this number of rows a table is joined by a shuffle, not broadcast (some 40 bytes a row).
 BROADCAST_ROWS = 500_000
+#: Members of a group of several blocks that are in all of them, on average.
+EVERYWHERE = 16
 #: Texts that are worked on at once, at most: short ones have many signatures for their bytes.
 ROWS = 500
 
@@ -253,7 +257,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """The members (id, unit columns) with the features of their documents.
+    """The members (id, known, asks, units) with the features of their documents.
 
     The texts stay where they are read if a count finds few enough members to broadcast.
     """
@@ -261,14 +265,14 @@ def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     def make():
         shingles = Shingler(size)
 
-        def run(ids, labels, blocks, block, texts):
+        def run(ids, known, asks, units, texts):
             features, sizes = shingles(texts)
-            return ids, labels, blocks, block, pa.ListArray.from_arrays(np.concatenate([[0], sizes.cumsum()]).astype(np.int32), features.view(np.int64))
+            return ids, known, asks, units, pa.ListArray.from_arrays(np.concatenate([[0], sizes.cumsum()]).astype(np.int32), features.view(np.int64))
 
         return run
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(small(members), "id")
-    return each_arrow(chosen.select("id", "label", "blocks", "block", "text"), make, "id long, label long, blocks int, block int, features array<long>", ROWS)
+    return each_arrow(chosen.select("id", "known", "asks", "units", "text"), make, "id long, known long, asks boolean, units array<long>, features array<long>", ROWS)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -314,6 +318,23 @@ def walk(n: int, near) -> list[tuple[int, int]]:
     return out
 
 
+def meet(known: np.ndarray, asks: np.ndarray, near) -> list[tuple[int, int]]:
+    """(asking item, other) for each two of the known components that a near pair with an asking item joins.
+
+    An item asks those that are not connected with it yet and, if they ask themselves, come later.
+    """
+    out, root = [], np.unique(known, return_inverse=True)[1]
+    for x in np.flatnonzero(asks).tolist():
+        apart = root != root[x]
+        apart[:x] &= ~asks[:x]
+        others = np.flatnonzero(apart)
+        hit = others[near(x, others)] if len(others) else others
+        joined, first = np.unique(root[hit], return_index=True)
+        out += [(x, y) for y in hit[first].tolist()]
+        root[np.isin(root, joined)] = root[x]
+    return out
+
+
 def bitmaps_near(bits: list[bytes], sizes: np.ndarray, percent: int):
     """near() for walk(): whether sizes and bitmaps allow two sets to be similar."""
     least = min(map(len, bits))
@@ -349,42 +370,102 @@ def features_near(features: list[np.ndarray], percent: int):
     return near
 
 
-def paired_blocks(members: DataFrame, blocks: Column, unit: list) -> DataFrame:
-    """Each row once for each pair of blocks that its own is one of; low and high are the pair."""
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("id", F.lit(17)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).withColumn("unit", F.xxhash64(*unit, "low", "high")).drop("block", "other", "low", "high")
+def first_units(members: DataFrame) -> DataFrame:
+    """The members (key, id, m, blocks, weight) of groups of m members with the units that they are in: the block of their group that their hash tells.
+
+    In a group of several blocks some members, EVERYWHERE and a quarter of a block at most on average, are in all blocks.
+    """
+    share = F.least(EVERYWHERE / F.col("m"), 0.25 / F.col("blocks"))
+    everywhere = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 40)) < share * float(1 << 40))
+    own = F.array(F.pmod(F.xxhash64("id", F.lit(17)), F.col("blocks").cast("long")))
+    blocks = F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(own)
+    return members.select("id", F.col("id").alias("known"), F.lit(True).alias("asks"), F.transform(blocks, lambda b: F.xxhash64("key", b)).alias("units"))
+
+
+def second_units(members: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The members (key, id, weight) of groups of several blocks that may have connections beyond those found (a, b), with the units where they meet.
+
+    Members outside the largest connected part of their group ask; they are dealt into blocks,
+    and so are the others. Each two blocks of asking members are a unit, and each block of asking
+    members with each of others. Weights add up to one a block. Where a group is connected as a
+    whole, none of its members is left. Beside the units come the tables that they are read from.
+    """
+    labels = components(found)
+    named = written(members.join(small(labels), "id", "left").select("key", "id", "weight", F.coalesce("label", "id").alias("known")), "named")
+    drop_written(labels)
+    parts = named.groupBy("key", "known").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    largest = F.max_by("known", F.struct("n", "known"))
+    groups = parts.groupBy("key").agg(largest.alias("largest"), F.max_by("weight", F.struct("n", "known")).alias("most"), F.sum("weight").alias("all"))
+    open_ = groups.select("key", "largest", F.ceil(F.col("all") - F.col("most") - 1e-9).alias("asking"), F.greatest(F.lit(1), F.ceil("most")).alias("others")).where("asking > 0")
+    asks = F.col("known") != F.col("largest")
+    own = F.pmod(F.xxhash64("id", F.lit(23)), F.when(asks, F.col("asking")).otherwise(F.col("others")))
+    open_ = written(open_, "open")
+    dealt = named.join(small(open_), "key").withColumns({"asks": asks, "own": own})
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    among = F.transform(upto("asking"), lambda b: F.xxhash64("key", F.lit(1), F.least("own", b), F.greatest("own", b)))
+    asked = F.transform(upto("others"), lambda b: F.xxhash64("key", F.lit(2), "own", b))
+    asking = F.transform(upto("asking"), lambda b: F.xxhash64("key", F.lit(2), b, "own"))
+    return dealt.select("id", "known", "asks", F.when(F.col("asks"), F.concat(among, asked)).otherwise(asking).alias("units")), [named, open_]
+
+
+def in_two_rounds(members: DataFrame, connect) -> DataFrame:
+    """A table (a, b) of the connections that connect() finds within the groups of the members (key, id, m, blocks, weight).
+
+    connect() takes (id, known, asks, units). The features of all members of a group that is
+    connected after the first round move once, but for the few that are in all blocks.
+    """
+    found = written(connect(first_units(members)), "connected")
+    several = members.where("blocks > 1")
+    if several.isEmpty():
+        return found
+    units, read = second_units(several, found)
+    more = written(found.union(connect(units)), "connected")
+    for t in (found, *read):
+        drop_written(t)
+    return more
+
+
+def unit_connections(ids: np.ndarray, known: np.ndarray, asks: np.ndarray, near) -> list[tuple[int, int]]:
+    """walk() where nothing is known of the unit's members, else meet()."""
+    return walk(len(ids), near) if asks.all() and (known == ids).all() else meet(known, asks, near)
 
 
 def candidate_clusters(groups: DataFrame, reps: DataFrame, percent: int, most_sets: int = 2000, rows_a_bucket: int = 20_000) -> DataFrame:
     """(a, b): connections between the sets of each group (key, id) that sizes and bitmaps allow to be similar.
 
-    reps: (id, n_shingles, bits). A group of many sets is dealt into blocks; each two are compared.
+    reps: (id, n_shingles, bits). A group of many sets is dealt into blocks; see in_two_rounds().
     """
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        unit = part["unit"].to_numpy()
-        order = np.lexsort((part["id"].to_numpy(), unit))
-        unit, ids, sizes = unit[order], part["id"].to_numpy()[order], part["n_shingles"].to_numpy()[order]
-        bits, a, b = part["bits"].to_numpy()[order], [], []
+        part = part.iloc[np.lexsort((part["id"].to_numpy(), part["unit"].to_numpy()))]
+        unit, ids, sizes, bits = (part[c].to_numpy() for c in ("unit", "id", "n_shingles", "bits"))
+        known, asks, a, b = part["known"].to_numpy(), part["asks"].to_numpy(), [], []
         cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
         for x, y in zip(cuts, cuts[1:]):
-            found = walk(y - x, bitmaps_near(list(bits[x:y]), sizes[x:y], percent)) if y - x > 1 else []
+            found = unit_connections(ids[x:y], known[x:y], asks[x:y], bitmaps_near(list(bits[x:y]), sizes[x:y], percent)) if y - x > 1 else []
             a += [ids[x + i] for i, _ in found]
             b += [ids[x + j] for _, j in found]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    counted = groups.withColumn("blocks", F.ceil(F.col("key.n") / most_sets).cast("int"))
-    units = paired_blocks(counted, F.col("blocks"), ["key"]).select("unit", "id")
     buckets = max(1, groups.count() // rows_a_bucket)
-    dealt = units.join(reps, "id").withColumn("bucket", F.pmod("unit", F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+
+    def connect(members: DataFrame) -> DataFrame:
+        units = members.select("id", "known", "asks", F.explode("units").alias("unit"))
+        dealt = units.join(reps, "id").withColumn("bucket", F.pmod("unit", F.lit(buckets)))
+        return dealt.groupBy("bucket").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+
+    n = F.col("key.n")
+    return in_two_rounds(groups.select("key", "id", n.alias("m"), F.ceil(n / most_sets).alias("blocks"), F.lit(1 / most_sets).alias("weight")), connect)
 
 
 def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent: int, most_sets: int = 3000, most_features: int = 1_000_000) -> DataFrame:
     """(a, b): connections by links between the members (id, label, n_shingles) of each cluster.
 
     A cluster has so many blocks that one holds about most_sets sets or most_features features;
-    each two blocks (a block with itself, too) are one group.
+    see in_two_rounds().
     """
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
@@ -393,16 +474,21 @@ def links_in_clusters(docs: DataFrame, clusters: DataFrame, size: int, percent:
         if len(part) < 2:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         ids = part["id"].to_numpy()
-        found = walk(len(part), features_near([np.asarray(f).view(np.uint64) for f in part["features"]], percent))
+        near = features_near([np.asarray(f).view(np.uint64) for f in part["features"]], percent)
+        found = unit_connections(ids, part["known"].to_numpy(), part["asks"].to_numpy(), near)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"], dtype="int64")
 
+    def connect(members: DataFrame) -> DataFrame:
+        moved = written(members, "members")
+        units = sets_of(docs, moved, size).withColumn("unit", F.explode("units"))
+        found = written(units.groupBy("unit").applyInPandas(compare, "a long, b long").where("a <> b"), "links")
+        drop_written(moved)
+        return found
+
     sizes = clusters.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("v"))
-    blocks = sizes.select("label", F.ceil(F.greatest(F.col("m") / most_sets, F.col("v") / most_features)).cast("int").alias("blocks"))
-    dealt = clusters.join(blocks, "label").select("id", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    sets = sets_of(docs, written(dealt, "members"), size)
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = paired.groupBy("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return grouped.applyInPandas(compare, "a long, b long").where("a <> b")
+    blocks = sizes.select("label", "m", F.ceil(F.greatest(F.col("m") / most_sets, F.col("v") / most_features)).alias("blocks"))
+    weight = F.greatest(F.lit(1 / most_sets), F.col("n_shingles") / most_features)
+    return in_two_rounds(clusters.join(blocks, "label").select(F.col("label").alias("key"), "id", "m", "blocks", weight.alias("weight")), connect)
 
 
 def groups_of(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -435,7 +521,7 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     drop_written(several)
     groups = groups_of(docs, rows.select("doc_id", "id").where("doc_id is not null"), size, percent)
     reps = rows.where("doc_id = id and n_shingles > 0").select("id", "n_shingles", "bits")
-    near = written(candidate_clusters(groups, reps, percent), "near")
+    near = candidate_clusters(groups, reps, percent)
     drop_written(groups)
     slim = rows.select("doc_id", "id", "n_shingles")
     if near.isEmpty():
@@ -444,7 +530,7 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     clusters = written(labels.join(reps.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id"), "clusters")
     drop_written(labels)
     drop_written(near)
-    links = written(links_in_clusters(docs, clusters, size, percent), "links")
+    links = links_in_clusters(docs, clusters, size, percent)
     drop_written(clusters)
     if links.isEmpty():
         return slim, docs.sparkSession.createDataFrame([], "id long, label long")
