@@ -249,20 +249,33 @@ class Transducer:
 
 
 class Pieces(dict):
-    """What each piece comes to, remembered up to twice a bound.
+    """What each piece comes to, remembered from about its second time on, up to twice a bound.
 
-    When the bound is reached the older half goes, but for what has been used since.
+    When the bound is reached the older half goes, but for what has been used since. Pieces met
+    once, most of all different ones, are known by a mark at their hash alone.
     """
 
+    MARKS = 1 << 21
+
     def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
+        self.marks, self.marked = bytearray(self.MARKS), 0
 
     def __missing__(self, piece: str):
+        if piece in self.old:
+            made = self.old[piece]
+        else:
+            made, at = self.make(piece), hash(piece) % self.MARKS
+            if not self.marks[at]:
+                if self.marked > self.MARKS // 4:
+                    self.marks, self.marked = bytearray(self.MARKS), 0
+                self.marks[at] = 1
+                self.marked += 1
+                return made
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        made = self.old[piece] if piece in self.old else self.make(piece)
         self[piece] = made
         return made
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -88,6 +90,14 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, most_rows: int | No
         at = to
 
 
+def release() -> None:
+    """Gives the process's free memory back to the system, so that what the tasks before have freed doesn't add to a task's own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def each_batch(df: DataFrame, make, schema: str, **state) -> DataFrame:
     """each_arrow() for a function of columns as lists."""
 
@@ -113,11 +123,13 @@ def each_arrow(df: DataFrame, make, schema: str, most_rows: int | None = None, *
     held = df.sparkSession.sparkContext.broadcast({"state": state})
 
     def run(batches):
+        release()
         here = held.value
         f = here.get("made") or here.setdefault("made", make(**here["state"]))
         for batch in batches:
             for part in slices(batch, most_rows=most_rows):
                 out = f(*part.columns)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(out, types, strict=True)], schema=types)
+        release()
 
     return df.mapInArrow(run, schema)

@@ -36,7 +36,7 @@ def id_bytes(ids, merges, added, whole, pattern: str = public_tokenizers.PATTERN
             return number(ids[pre.encode()])
         return b"".join(map(number, merge(pre.encode())))
 
-    run = bpe.Encoder(pattern, encode, 200_000).of(b"".join)  # what a worker remembers stays below some 200 MB
+    run = bpe.Encoder(pattern, encode, 140_000).of(b"".join)  # what a worker remembers stays below some 150 MB
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
     def all_ids(text: str) -> bytes:
