@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tessera.functions import english
 from tessera.functions import text as T
 from tessera.operators import nearest
 from tessera.operators import retrieval as R
-from tessera.plans import postings
+from tessera.plans import postings, registry
 from tessera.sources.shared import shared_dir
 
 WORDS = ["wait", "waits", "waiting", "box", "boxes", "retry", "policy", "the", "of", "rare", "é", "x1"]
@@ -210,3 +211,36 @@ def test_blocks_are_skipped(spark, monkeypatch):
     known.block, known.pivot, known.radius = (__import__("numpy").array([r[c] for r in lines]) for c in ("__block", "__pivot", "radius"))
     bound = known.bounds(df.select("embedding").toArrow().column(0))
     assert (bound + nearest.SLACK >= 0.95).mean() < 0.5
+
+
+def test_index_of_the_lexemes_asked(spark):
+    """An index of a query's lexemes answers it as the whole index does, holds no other postings, and refuses other queries."""
+    df = entities(spark, 5)
+    whole = postings.build(df, FIELDS, f"{shared_dir(spark)}/index", buckets=4)
+    for query in ("wait box", "wait or box", "wait -box", '"wait box"', "wait or -box"):
+        part = postings.build(df, FIELDS, f"{shared_dir(spark)}/index", buckets=4, only=postings.lexemes_of(query))
+        assert {r.lexeme for r in part.read("postings").collect()} - {None} <= {"wait", "box"}
+        for index in (part, postings.opened(spark, part.path)):
+            assert postings.keyword_topk(index, query, 8).collect() == postings.keyword_topk(whole, query, 8).collect()
+    with pytest.raises(ValueError):
+        postings.keyword_topk(part, "other", 8)
+
+
+def test_one_query_builds_no_whole_index(spark, sf_dir):
+    """keyword_rank and its like write the postings of their own lexemes alone."""
+    before = dict(registry.INDEXES)
+    registry.INDEXES.clear()
+    try:
+        registry.QUERIES["keyword_or"](spark, sf_dir)
+        (index,) = registry.INDEXES.values()
+        assert {r.lexeme for r in index.read("postings").collect()} - {None} <= {"attion", "anea"}
+    finally:
+        registry.INDEXES.clear()
+        registry.INDEXES.update(before)
+
+
+def test_long_texts_are_turned_into_postings_in_small_parts():
+    """The bytes that a task turns into postings at once are bounded, not only the rows."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["a b " * 250_000] * 40)], names=["entity_id", "fD"])
+    parts = [p.num_rows for p in postings._parts(batch)]
+    assert sum(parts) == 40 and max(parts) <= 4
