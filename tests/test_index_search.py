@@ -244,3 +244,28 @@ def test_long_texts_are_turned_into_postings_in_small_parts():
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["a b " * 250_000] * 40)], names=["entity_id", "fD"])
     parts = [p.num_rows for p in postings._parts(batch)]
     assert sum(parts) == 40 and max(parts) <= 4
+
+
+def test_batch_ranks_as_one_query_does(spark):
+    """Covers counted for many rows at once are those of keyword_topk(), also for three terms, phrases, negated words and other alternatives."""
+    df = entities(spark, 60)
+    index = postings.build(df, FIELDS, f"{shared_dir(spark)}/index", buckets=4)
+    asked = ["wait", "wait box", "retry policy box", '"wait box" retry', "box or rare policy", "wait -box"]
+    got = postings.keyword_batch(index, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), 9).orderBy("query_id", F.desc("score"), "entity_id").collect()
+    for i, query in enumerate(asked):
+        assert [(r.entity_id, r.score) for r in got if r.query_id == i] == [tuple(r) for r in postings.keyword_topk(index, query, 9).collect()]
+
+
+def test_batch_builds_the_lexemes_asked(spark, sf_dir):
+    """keyword_topk_batch writes the postings of its queries' lexemes; where more are asked than may be sent to tasks, of all."""
+    before = dict(registry.INDEXES)
+    registry.INDEXES.clear()
+    try:
+        asked = registry.own_queries(spark, sf_dir)
+        part = registry.batch_index(spark, sf_dir, asked)
+        lexemes = {w for r in asked.collect() for w in postings.lexemes_of(r.query)}
+        assert part.only == lexemes and {r.lexeme for r in part.read("postings").collect()} - {None} == lexemes
+        assert registry.batch_index(spark, sf_dir, asked, most=1).only is None
+    finally:
+        registry.INDEXES.clear()
+        registry.INDEXES.update(before)
