@@ -15,6 +15,7 @@ import base64
 import json
 from itertools import chain
 
+import numpy as np
 import regex
 
 
@@ -118,6 +119,117 @@ def merge_long(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]])
     return [p for p in parts if p >= 0]
 
 
+#: Above every rank, where ranks are 32-bit numbers; and an id that no pair has.
+NO_RANK, NO_ID = 1 << 24, (1 << ID_BITS) - 1
+
+
+class PairRanks:
+    """The ranks of many pairs of ids at once, from a hash table in arrays; where a slot is taken, the next one is meant."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        keys = self.key(*np.array(list(merges), np.int64).reshape(-1, 2).T)
+        ranks = np.array([rank for rank, _ in merges.values()], np.int32)
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, NEVER), np.full(1 << bits, NO_RANK, np.int32)
+        at = self.slot(keys)
+        while len(keys):
+            free = self.keys[at] == NEVER
+            self.keys[at[free]] = keys[free]  # of several for one slot, one gets it
+            done = self.keys[at] == keys
+            self.ranks[at[done]] = ranks[done]
+            keys, ranks, at = keys[~done], ranks[~done], at[~done] + 1 & self.last
+
+    @staticmethod
+    def key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) << ID_BITS | right
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NO_RANK for pairs that don't merge."""
+        keys = self.key(left, right)
+        at = self.slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.ranks[at], NO_RANK)
+        more = np.flatnonzero((held != keys) & (held != NEVER))
+        at = at[more]
+        while len(more):
+            at = at + 1 & self.last
+            held = self.keys[at]
+            found, on = held == keys[more], (held != keys[more]) & (held != NEVER)
+            out[more[found]] = self.ranks[at[found]]
+            more, at = more[on], at[on]
+        return out
+
+
+class BatchMerger:
+    """Merger's work for many different pre-tokens at once.
+
+    A pre-token is a column of ids, linked to the next and the one before. A round joins in each
+    column the leftmost pair of least rank and ranks the two pairs beside it anew. Columns are of
+    pre-tokens of similar length; longer ones than the last of SIZES go to a Merger.
+    """
+
+    SIZES, COLUMNS, ROW_BITS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64), 8192, 6
+
+    def __init__(self, ids: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]]):
+        self.alone, self.rank = Merger(ids, merges), PairRanks(merges)
+        self.byte_ids = np.array([ids.get(bytes((b,)), NO_ID) for b in range(256)], np.int32)
+        self.made = np.zeros(max((rank for rank, _ in merges.values()), default=0) + 1, np.int32)
+        for rank, made in merges.values():
+            self.made[rank] = made
+        self.byte_ranks = self.rank(self.byte_ids.repeat(256), np.tile(self.byte_ids, 256))
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token (of one byte at least) as little-endian 32-bit numbers."""
+        if (self.byte_ids == NO_ID).any():
+            raise ValueError("the vocabulary lacks a byte")
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        size = np.searchsorted(self.SIZES, lengths)
+        for i in np.flatnonzero(size == len(self.SIZES)).tolist():
+            out[i] = np.array(self.alone(words[i]), "<u4").tobytes()
+        for k, rows in enumerate(self.SIZES):
+            of_size = np.flatnonzero(size == k)
+            for at in range(0, len(of_size), self.COLUMNS):
+                some = of_size[at : at + self.COLUMNS]
+                numbers = some.tolist()
+                for i, made in zip(numbers, self.columns([words[i] for i in numbers], lengths[some], rows)):
+                    out[i] = made
+        return out
+
+    def columns(self, words: list[bytes], lengths: np.ndarray, rows: int) -> list[bytes]:
+        n, never = len(words), NO_RANK << self.ROW_BITS
+        raw = np.frombuffer(b"".join(w.ljust(rows) for w in words), np.uint8).reshape(n, rows).T
+        row = np.arange(rows + 1)[:, None]
+        # the row at the end has no ids: what follows a last id and comes before a first one
+        ids = np.full((rows + 1, n), NO_ID, np.int32)
+        ids[:rows] = np.where(row[:rows] < lengths, self.byte_ids[raw], NO_ID)
+        ranks = np.full((rows + 1, n), never, np.int32)
+        pairs = self.byte_ranks[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        ranks[: rows - 1] = np.where((row[1:rows] < lengths) & (pairs < NO_RANK), pairs << self.ROW_BITS | row[: rows - 1], never)
+        after = (np.minimum(row + 1, rows) * n + np.arange(n)).ravel()
+        before = ((row - 1) % (rows + 1) * n + np.arange(n)).ravel()
+        flat, flat_ranks = ids.reshape(-1), ranks.reshape(-1)
+        while len(go := np.flatnonzero((least := ranks.min(axis=0)) < never)):
+            least = least[go]
+            i = (least & (1 << self.ROW_BITS) - 1) * n + go
+            j, made = after[i], self.made[least >> self.ROW_BITS]
+            k, h = after[j], before[i]
+            flat[i], flat[j], flat_ranks[j] = made, NO_ID, never
+            after[i], before[k] = k, i
+            both = self.rank(np.concatenate([made, flat[h]]), np.concatenate([flat[k], made]))
+            places = np.concatenate([i, h])
+            flat_ranks[places] = np.where(both < NO_RANK, both << self.ROW_BITS | places // n, never)
+        ids = ids[:rows].T
+        held = ids != NO_ID
+        ends = 4 * held.sum(axis=1).cumsum()
+        whole, ends = ids[held].astype("<u4").tobytes(), ends.tolist()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Transducer:
     """Encodes pre-tokens by the ranks of a vocabulary; see the module's text."""
 

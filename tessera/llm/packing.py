@@ -11,7 +11,10 @@ a rank falls into one slot of one copy of one pattern.
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -20,29 +23,58 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .common import each_batch, table, text_of, written
-from .tokenize import whole_tokens
 
 LENGTH, GRAIN, END_ID = 2048, 8, 1
 
+#: A space before white space or the end of a text; cuts at the others.
+run_of_space, split = re.compile(r" (?!\S)").search, re.compile(r" (?=\S)").split
 
-def id_bytes(ids, merges, added, whole, pattern: str = public_tokenizers.PATTERN):
-    """A function from a text to its ids as little-endian 32-bit numbers."""
-    import regex
 
-    number, merge = lambda i: i.to_bytes(4, "little"), bpe.Merger(ids, merges)
+def id_bytes(ids, merges, added, pattern: str = public_tokenizers.PATTERN, most_known: int = 300_000):
+    """A function from texts to the ids of each as little-endian 32-bit numbers.
 
-    def encode(pre: str) -> bytes:
-        if pre in whole:
-            return number(ids[pre.encode()])
-        return b"".join(map(number, merge(pre.encode())))
+    The pattern must take a space and the letters or marks after it as one pre-token, and ASCII marks
+    between letters and a space as one too. Texts are cut at spaces before anything but white space. Each different piece of a call is encoded once, all that are not yet known
+    together. When more than most_known pieces are known, those met in two calls stay.
+    """
+    import regex
 
-    run = bpe.Encoder(pattern, encode, 140_000).of(b"".join)  # what a worker remembers stays below some 150 MB
+    find, merge = regex.compile(pattern).findall, bpe.BatchMerger(ids, merges)
+    number = {text: i.to_bytes(4, "little") for text, i in added.items()}
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+    known: dict[str, bytes] = {}
+
+    def pre_tokens(piece: str):
+        letters = piece.rstrip(string.punctuation)
+        if not letters.isalpha():
+            return find(" " + piece)
+        return (" " + piece,) if len(letters) == len(piece) else (" " + letters, piece[len(letters) :])
+
+    def encode(texts: list[str]) -> list[bytes]:
+        nonlocal known
+        heads, rests = [], []
+        for text in texts:
+            head, *rest = split(text) if run_of_space(text) else text.split(" ")
+            heads.append(find(head))
+            rests.append(rest)
+        met = set().union(*rests)
+        tokens = {p: pre_tokens(p) for p in met if p not in known}
+        every = list({*chain.from_iterable(tokens.values()), *chain.from_iterable(heads)})
+        made = dict(zip(every, merge([t.encode() for t in every]))).__getitem__
+        known.update((p, made(t[0]) if len(t) == 1 else b"".join(map(made, t))) for p, t in tokens.items())
+        out = [b"".join((*map(made, head), *map(known.__getitem__, rest))) for head, rest in zip(heads, rests)]
+        if len(known) > most_known:
+            known = {p: known[p] for p in met if p not in tokens and len(p) <= 64}
+        else:
+            for p in tokens:
+                if len(p) > 64:
+                    del known[p]
+        return out
 
-    def all_ids(text: str) -> bytes:
-        if not any(a in text for a in added):
-            return b"".join(run(text))
-        return b"".join(number(added[p]) if i % 2 else b"".join(run(p)) for i, p in enumerate(cut(text)))
+    def all_ids(texts: list[str]) -> list[bytes]:
+        parts = [cut(t) if any(a in t for a in added) else [t] for t in texts]
+        made = iter(encode([p for of_text in parts for p in of_text[::2]]))
+        return [b"".join(number[p] if i % 2 else next(made) for i, p in enumerate(of_text)) for of_text in parts]
 
     return all_ids
 
@@ -50,13 +82,13 @@ def id_bytes(ids, merges, added, whole, pattern: str = public_tokenizers.PATTERN
 def pieces(docs: DataFrame, json_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, and row, the document's row."""
 
-    def make(ids, merges, added, whole):
-        encode, end = id_bytes(ids, merges, added, whole), end_id.to_bytes(4, "little")
+    def make(ids, merges, added):
+        encode, end = id_bytes(ids, merges, added), end_id.to_bytes(4, "little")
 
         def run(doc_ids, rows, texts):
             out = ([], [], [], [], [], [])
-            for doc_id, row, text in zip(doc_ids, rows, texts):
-                raw = encode(text) + end
+            for doc_id, row, raw in zip(doc_ids, rows, encode(texts)):
+                raw += end
                 n = len(raw) // 4
                 for at in range(0, n, length):
                     part = raw[4 * at : 4 * (at + length)]
@@ -69,7 +101,7 @@ def pieces(docs: DataFrame, json_path: str, length: int = LENGTH, end_id: int =
     ids, merges, added = bpe.read_json(json_path)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return each_batch(rows, make, f"doc_id {kind}, row long, start long, length long, ids_crc32 long, doc_tokens long", ids=ids, merges=merges, added=added, whole=whole_tokens(ids, merges))
+    return each_batch(rows, make, f"doc_id {kind}, row long, start long, length long, ids_crc32 long, doc_tokens long", ids=ids, merges=merges, added=added)
 
 
 def best_pattern(value: np.ndarray, sizes: np.ndarray, limit: np.ndarray, room: int) -> tuple[float, np.ndarray]:
