@@ -26,16 +26,17 @@ from .common import each_batch, table, text_of, written
 
 LENGTH, GRAIN, END_ID = 2048, 8, 1
 
-#: A space before white space or the end of a text; cuts at the others.
-run_of_space, split = re.compile(r" (?!\S)").search, re.compile(r" (?=\S)").split
+#: A space before white space or the end of a text; one before anything else, and cuts there.
+run_of_space, next_piece, split = re.compile(r" (?!\S)").search, re.compile(r" (?=\S)").search, re.compile(r" (?=\S)").split
 
 
-def id_bytes(ids, merges, added, pattern: str = public_tokenizers.PATTERN, most_known: int = 300_000):
+def id_bytes(ids, merges, added, pattern: str = public_tokenizers.PATTERN, most_known: int = 300_000, most_chars: int = 4 << 20):
     """A function from texts to the ids of each as little-endian 32-bit numbers.
 
     The pattern must take a space and the letters or marks after it as one pre-token, and ASCII marks
     between letters and a space as one too. Texts are cut at spaces before anything but white space. Each different piece of a call is encoded once, all that are not yet known
-    together. When more than most_known pieces are known, those met in two calls stay.
+    together. When more than most_known pieces are known, those met in two calls stay. Texts of more
+    than most_chars are encoded in parts.
     """
     import regex
 
@@ -71,10 +72,18 @@ def id_bytes(ids, merges, added, pattern: str = public_tokenizers.PATTERN, most_
                     del known[p]
         return out
 
+    def in_parts(text: str):
+        at = 0
+        while len(text) - at > most_chars and (space := next_piece(text, at + most_chars)):
+            yield text[at : space.start()]
+            at = space.start()
+        yield text[at:]
+
     def all_ids(texts: list[str]) -> list[bytes]:
         parts = [cut(t) if any(a in t for a in added) else [t] for t in texts]
-        made = iter(encode([p for of_text in parts for p in of_text[::2]]))
-        return [b"".join(number[p] if i % 2 else next(made) for i, p in enumerate(of_text)) for of_text in parts]
+        made = iter(encode([p for of_text in parts for p in of_text[::2] if len(p) <= most_chars]))
+        one = lambda p: next(made) if len(p) <= most_chars else b"".join(encode([x])[0] for x in in_parts(p))
+        return [b"".join(number[p] if i % 2 else one(p) for i, p in enumerate(of_text)) for of_text in parts]
 
     return all_ids
 
