@@ -34,9 +34,10 @@ def id_bytes(ids, merges, added, pattern: str = public_tokenizers.PATTERN, most_
     """A function from texts to the ids of each as little-endian 32-bit numbers.
 
     The pattern must take a space and the letters or marks after it as one pre-token, and ASCII marks
-    between letters and a space as one too. Texts are cut at spaces before anything but white space. Each different piece of a call is encoded once, all that are not yet known
-    together. When more than most_known pieces are known, those met in two calls stay. Texts of more
-    than most_chars are encoded in parts.
+    between letters and a space as one too. Texts are cut at spaces before anything but white space.
+    Each different piece of a call is encoded once, all that are not yet known together. When more
+    than most_known pieces are known, those met in two calls stay. Texts of more than most_chars are
+    encoded in parts.
     """
     import regex
 
